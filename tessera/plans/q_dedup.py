@@ -1 +1,167 @@
-"""Registered queries."""
+"""Registered queries: near-duplicate removal over ``documents``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import text as tx
+from tessera.operators import dedup as D
+from tessera.operators.components import connected_components
+from tessera.operators.ranking import dense_index
+from tessera.plans.catalog import register
+from tessera.sources import tables as T
+
+NONWORD = "'[^\\p{L}\\p{N}_]'"
+P = D.PRIME
+
+# Parameters of the registered queries: the reference callers' setting for
+# the full pipeline; 16 permutations (4 bands x 4 rows) where the signature
+# itself is the output.
+FULL = D.REFERENCE_CALLER
+SMALL = D.MinHashConfig(ngram=5, min_length=5, num_perm=16, threshold=0.7, bands=4, rows=4)
+
+
+def _sig_sql(num_perm: int, seed: int = 42) -> str:
+    return f"""
+w as (select doc_id as id, regexp_split_to_array(lower(text), {NONWORD}) as w from documents),
+f as (select * from w where len(w) >= 5),
+s as (select id, case when len(w) < 5 then [array_to_string(w, ' ')]
+                      else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as sh from f),
+h as (select distinct id, ('0x' || substr(md5(unnest(sh)), 1, 7))::UBIGINT::BIGINT as h from s),
+p as (select i as perm,
+             1 + (('0x' || substr(md5('{seed}:a:' || i), 1, 8))::UBIGINT % {P - 1})::BIGINT as a,
+             (('0x' || substr(md5('{seed}:b:' || i), 1, 8))::UBIGINT % {P})::BIGINT as b
+      from range(0, {num_perm}) t(i)),
+sig as (select h.id, p.perm, min((p.a * h.h + p.b) % {P}) as v from h, p group by h.id, p.perm)"""
+
+
+def _edges_sql(cfg) -> str:
+    b, r = cfg.band_rows()
+    return _sig_sql(cfg.num_perm, cfg.seed) + f""",
+bk as (select id, perm // {r} as band, list(v order by perm) as key from sig where perm < {b * r} group by id, perm // {r}),
+bu as (select band, key, min(id) as root from bk group by band, key having count(*) > 1),
+edges as (select distinct bk.id as src, bu.root as dst from bk join bu using (band, key) where bk.id <> bu.root)"""
+
+
+def _components_sql(edge_cte: str) -> str:
+    return edge_cte + """,
+und as (select src as a, dst as b from edges union select dst, src from edges),
+cc(node, comp) as (select a, a from und union select und.b, cc.comp from cc join und on und.a = cc.node),
+comps as (select node, min(comp) as component from cc group by node)"""
+
+
+def _clusters_sql(cfg) -> str:
+    return "with recursive " + _components_sql(_edges_sql(cfg).lstrip()) + """,
+clusters as (select f.id, coalesce(c.component, f.id) as cluster from f left join comps c on c.node = f.id)"""
+
+
+@register("word_split", f"""
+select doc_id, cast(len(regexp_split_to_array(lower(text), {NONWORD})) as bigint) as n_pieces,
+       array_to_string(regexp_split_to_array(lower(text), {NONWORD}), chr(31)) as pieces
+from documents
+""")
+def word_split(spark, d):
+    w = tx.word_pieces("text")
+    return T.table(spark, d, "documents").select(
+        "doc_id", F.size(w).cast("bigint").alias("n_pieces"), F.array_join(w, "\x1f").alias("pieces"))
+
+
+@register("word_shingles", "with " + _sig_sql(1).lstrip() + """
+select id as doc_id, unnest(sh) as shingle from s
+""")
+def word_shingles(spark, d):
+    docs = D.spread(T.table(spark, d, "documents").select("doc_id", tx.word_pieces("text").alias("w")))
+    docs = docs.where(F.size("w") >= 5)
+    return docs.select("doc_id", F.explode(tx.word_ngrams("w", 5, 5)).alias("shingle"))
+
+
+@register("shingle_hash", "with " + _sig_sql(1).lstrip() + """
+, hh as (select id, ('0x' || substr(md5(unnest(sh)), 1, 7))::UBIGINT::BIGINT as h from s)
+select id as doc_id, count(*) as n_shingles, min(h) as min_hash, cast(sum(h) as bigint) as sum_hash from hh group by id
+""")
+def shingle_hash(spark, d):
+    docs = D.spread(T.table(spark, d, "documents").select("doc_id", tx.word_pieces("text").alias("w")))
+    docs = docs.where(F.size("w") >= 5)
+    hs = docs.select("doc_id", F.explode(D.shingle_hashes("w", 5, 5)).alias("h"))
+    return hs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_shingles"), F.min("h").alias("min_hash"),
+                                    F.sum("h").alias("sum_hash"))
+
+
+@register("minhash_signature", "with " + _sig_sql(SMALL.num_perm).lstrip() + """
+select id as doc_id, array_to_string(list(v order by perm), ',') as signature from sig group by id
+""")
+def minhash_signature(spark, d):
+    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", SMALL, method="arrow")
+    return s.select(F.col("id").alias("doc_id"),
+                    F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+
+
+@register("lsh_bands", "with " + _sig_sql(SMALL.num_perm).lstrip() + f"""
+select id as doc_id, perm // {SMALL.rows} as band, array_to_string(list(v order by perm), ',') as band_values
+from sig where perm < {SMALL.bands * SMALL.rows} group by id, perm // {SMALL.rows}
+""")
+def lsh_bands(spark, d):
+    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", SMALL, method="expr")
+    r = SMALL.rows
+    b = s.select(F.col("id").alias("doc_id"), F.posexplode(
+        F.transform(F.sequence(F.lit(0), F.lit(SMALL.bands - 1)), lambda i: F.slice("signature", i * r + 1, r))
+    ).alias("band", "vals"))
+    return b.select("doc_id", F.col("band").cast("bigint").alias("band"),
+                    F.array_join(F.transform("vals", lambda x: x.cast("string")), ",").alias("band_values"))
+
+
+@register("lsh_star_edges", "with " + _edges_sql(FULL).lstrip() + """
+select src, dst from edges
+""")
+def lsh_star_edges(spark, d):
+    b, r = FULL.band_rows()
+    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", FULL)
+    return D.lsh_star_edges(D.lsh_bands(s, b, r))
+
+
+@register("connected_components", _components_sql("with recursive " + _edges_sql(FULL).lstrip()) + """
+select node, component from comps
+""")
+def connected_components_q(spark, d):
+    b, r = FULL.band_rows()
+    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", FULL)
+    return connected_components(D.lsh_star_edges(D.lsh_bands(s, b, r)), "src", "dst")
+
+
+@register("near_dup_clusters", _clusters_sql(FULL) + """
+select id as doc_id, cluster from clusters
+""")
+def near_dup_clusters(spark, d):
+    res = D.near_dup_clusters(T.table(spark, d, "documents"), "doc_id", "text", FULL)
+    return res.clusters.select(F.col("id").alias("doc_id"), "cluster")
+
+
+@register("dedup_keep_representative", _clusters_sql(FULL) + """
+select d.doc_id, d.lang, d.source from documents d join clusters c on c.id = d.doc_id where c.id = c.cluster
+""")
+def dedup_keep_representative(spark, d):
+    return D.dedup(T.table(spark, d, "documents"), "doc_id", "text", FULL).select("doc_id", "lang", "source")
+
+
+@register("dedup_report", _clusters_sql(FULL) + f"""
+select count(*) as n_before, cast(sum(case when id = cluster then 1 else 0 end) as bigint) as n_after,
+       count(distinct cluster) as n_clusters, cast({FULL.band_rows()[0]} as bigint) as n_bands from clusters
+""")
+def dedup_report(spark, d):
+    return D.dedup_report(T.table(spark, d, "documents"), "doc_id", "text", FULL)
+
+
+@register("dedup_columns")
+def dedup_columns(spark, d):
+    """Query column first, then the first positive: whole rows removed."""
+    ex = T.fx_examples(spark, d).select("row_id", "query", F.try_element_at("positive", F.lit(1)).alias("pos1"))
+    ex = ex.where(F.col("pos1").isNotNull())
+    return D.dedup_columns(ex, "row_id", ["query", "pos1"], FULL).select("row_id")
+
+
+@register("row_index", """
+select cast(row_number() over (order by lang, doc_id) - 1 as bigint) as idx, doc_id from documents
+""")
+def row_index(spark, d):
+    docs = T.table(spark, d, "documents").select("doc_id", "lang")
+    return dense_index(docs, ["lang", "doc_id"], out="idx").select("idx", "doc_id")
