@@ -72,3 +72,33 @@ def rank_in_group(df: DataFrame, group_cols, order_cols, out: str = "rn",
 def global_rank(df: DataFrame, order_cols, out: str = "rn") -> DataFrame:
     """1-based rank in a total order (``row_number() over (order by ...)``)."""
     return dense_index(df, order_cols, out="_gidx").withColumn(out, F.col("_gidx") + 1).drop("_gidx")
+
+
+def running_sum(df: DataFrame, order_cols, value_cols, num_partitions: int | None = None) -> DataFrame:
+    """Global position ``_pos`` (1-based) and running sums ``cum_<v>`` in the
+    total order ``order_cols`` (unique).  The running sum inside a range
+    partition is a window over that partition only (balanced by the range
+    split); a per-partition offset (bounded list) makes it global."""
+    oc = _cols(order_cols)
+    n = _parts(df, num_partitions)
+    s = (df.repartitionByRange(n, *oc).sortWithinPartitions(*oc)
+         .withColumn("_mid", F.monotonically_increasing_id())
+         .withColumn("_pid", F.shiftright("_mid", 33)))
+    s = s.checkpoint(eager=True)
+    aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(v).alias(f"_s_{v}") for v in value_cols]
+    tot = {r["_pid"]: r for r in s.groupBy("_pid").agg(*aggs).collect()}
+    pids = sorted(tot)
+    from pyspark.sql import Window
+    w = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+
+    def offsets(field):
+        acc, m = 0, []
+        for p in pids:
+            m += [F.lit(p).cast("bigint"), F.lit(acc)]
+            acc += tot[p][field] or 0
+        return F.element_at(F.create_map(*m), F.col("_pid")) if pids else F.lit(0)
+
+    out = s.withColumn("_pos", offsets("_n") + F.count(F.lit(1)).over(w))
+    for v in value_cols:
+        out = out.withColumn(f"cum_{v}", offsets(f"_s_{v}") + F.sum(v).over(w))
+    return out.drop("_mid", "_pid")
