@@ -16,6 +16,7 @@ Scale notes
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from dataclasses import dataclass
 
@@ -40,6 +41,7 @@ def _integrate(f, lo: float, hi: float, n: int = 2001) -> float:
     return float(np.sum((y[1:] + y[:-1]) * 0.5 * np.diff(x)))
 
 
+@functools.lru_cache(maxsize=64)
 def lsh_params(threshold: float, num_perm: int, fp_weight: float = 0.5, fn_weight: float = 0.5):
     """Bands ``B`` and rows ``R`` (B*R <= num_perm) minimising the weighted
     area of false positives (below the threshold) and false negatives (above)."""
@@ -97,10 +99,17 @@ def spread(df: DataFrame) -> DataFrame:
     than the cluster has task slots (one small file = one task).  At scale the
     input already has many splits and this is a no-op."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(4 * slots) if df.rdd.getNumPartitions() < slots else df
 
 
 # ---------------------------------------------------------------- signatures
+def _mod_p(x: np.ndarray) -> np.ndarray:
+    """x mod (2^31 - 1) for 0 <= x < 2^62 by folding (no integer division)."""
+    r = (x & PRIME) + (x >> 31)
+    r = (r & PRIME) + (r >> 31)
+    return np.where(r >= PRIME, r - PRIME, r)
+
+
 def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, budget: int = 1 << 22) -> list:
     """Row-wise min of (a*h + b) mod p over the hashes of each row; rows are
     stacked in blocks of ~``budget`` cells so numpy works on big arrays."""
@@ -166,7 +175,7 @@ def minhash_signature(df: DataFrame, id_col: str, text_col: str, cfg: MinHashCon
     if cfg.min_length > 0:
         d = d.where(F.size("w") >= cfg.min_length)
     hs = shingle_hashes("w", cfg.ngram, cfg.min_length)
-    if method == "expr" or (method == "auto" and cfg.num_perm <= 32):
+    if method == "expr":
         return d.select("id", signature_expr(hs, cfg.num_perm, cfg.seed).alias("signature"))
     return d.select("id", signature_udf(cfg.num_perm, cfg.seed)(hs).alias("signature"))
 

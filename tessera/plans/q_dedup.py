@@ -101,7 +101,7 @@ select id as doc_id, perm // {SMALL.rows} as band, array_to_string(list(v order
 from sig where perm < {SMALL.bands * SMALL.rows} group by id, perm // {SMALL.rows}
 """)
 def lsh_bands(spark, d):
-    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", SMALL, method="expr")
+    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", SMALL)
     r = SMALL.rows
     b = s.select(F.col("id").alias("doc_id"), F.posexplode(
         F.transform(F.sequence(F.lit(0), F.lit(SMALL.bands - 1)), lambda i: F.slice("signature", i * r + 1, r))
