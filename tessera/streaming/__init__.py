@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The reference reads bounded datasets whole; it has no watermark, window,
+session, stateful operator or late-data handling (SURVEY §2.14), so no
+streaming operator is built here.  Every operator in ``tessera.operators``
+is a DataFrame -> DataFrame function and can be applied to a micro-batch
+from ``writeStream.foreachBatch`` unchanged.
+"""
