@@ -64,3 +64,38 @@ def assign_replica(plan: DataFrame, batch_size: int, world_size: int) -> DataFra
     if n % world_size:
         raise ValueError(f"plan of {n} rows is not divisible by {world_size} replicas")
     return out
+
+
+def hard_pair_mining(df: DataFrame, batch: str, key: str, label: str, vec: str, epsilon: float = 0.25) -> DataFrame:
+    """Multi-similarity mining inside each batch (cosine similarity): keep a
+    negative (a, n) when sim(a, n) + eps > the anchor's least similar
+    positive, a positive (a, p) when sim(a, p) - eps < the anchor's most
+    similar negative.  One ``applyInPandas`` call per batch (bounded by the
+    batch size) computes the similarity matrix; only mined pairs leave it."""
+    import numpy as np
+    import pandas as pd
+
+    out_schema = f"{batch} long, anchor long, other long, kind string, sim double"
+
+    def mine(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
+        X = X / np.maximum(np.linalg.norm(X, axis=1, keepdims=True), 1e-300)
+        S = X @ X.T
+        ids = pdf[key].to_numpy(dtype=np.int64)
+        lab = pdf[label].to_numpy()
+        same = lab[:, None] == lab[None, :]
+        eye = np.eye(len(ids), dtype=bool)
+        pos = same & ~eye
+        neg = ~same
+        min_pos = np.where(pos, S, np.inf).min(axis=1)
+        max_neg = np.where(neg, S, -np.inf).max(axis=1)
+        keep_neg = neg & (S + epsilon > min_pos[:, None])
+        keep_pos = pos & (S - epsilon < max_neg[:, None])
+        rows = []
+        for kind, m in (("negative", keep_neg), ("positive", keep_pos)):
+            a, o = np.nonzero(m)
+            rows.append(pd.DataFrame({batch: int(pdf[batch].iloc[0]), "anchor": ids[a], "other": ids[o],
+                                      "kind": kind, "sim": S[a, o]}))
+        return pd.concat(rows, ignore_index=True)
+
+    return df.select(batch, key, label, vec).groupBy(batch).applyInPandas(mine, out_schema)

@@ -180,3 +180,28 @@ from fx_examples x left join reg using (dataset)
 def training_view(spark, d):
     v = S.training_view(T.fx_examples(spark, d), registry_for(spark), 1, 1, seed=0)
     return v.select("dataset", "row_id", "query", joined("positive"), joined("negative"), "instruction", "cross_batch")
+
+
+_VPLAN = _plan_sql(False).replace("fx_examples", "vx").replace("dataset", "ds")
+
+
+@register("hard_pair_mining", "with vx as (select 'v' as ds, vec_id as row_id, cluster from fx_vectors), p as (" + _VPLAN.strip() + """),
+b as (select p.batch_order, p.row_id as id, v.cluster, v.embedding from p join fx_vectors v on v.vec_id = p.row_id),
+s as (select a.batch_order, a.id as anchor, o.id as other, a.cluster = o.cluster as same,
+             list_sum(list_transform(list_zip(a.embedding, o.embedding), lambda z: z[1]::double * z[2]::double))
+             / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double)))
+                * sqrt(list_sum(list_transform(o.embedding, lambda x: x::double * x::double)))) as sim
+      from b a join b o on a.batch_order = o.batch_order and a.id <> o.id),
+m as (select batch_order, anchor, min(case when same then sim end) as min_pos, max(case when not same then sim end) as max_neg
+      from s group by batch_order, anchor)
+select s.batch_order, s.anchor, s.other, case when s.same then 'positive' else 'negative' end as kind, round(s.sim, 6) as sim
+from s join m using (batch_order, anchor)
+where (not s.same and m.min_pos is not null and s.sim + 0.25 > m.min_pos)
+   or (s.same and m.max_neg is not null and s.sim - 0.25 < m.max_neg)
+""")
+def hard_pair_mining(spark, d):
+    v = T.fx_vectors(spark, d).withColumn("ds", F.lit("v")).withColumnRenamed("vec_id", "row_id")
+    p = BT.plan_batches(v, B, seed=SEED, epoch=0, dataset="ds").select("batch_order", "row_id")
+    j = p.join(v.select("row_id", "cluster", "embedding"), "row_id")
+    m = BT.hard_pair_mining(j, "batch_order", "row_id", "cluster", "embedding", 0.25)
+    return m.select("batch_order", "anchor", "other", "kind", F.round("sim", 6).alias("sim"))
