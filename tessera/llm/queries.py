@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import rules, simhash
+from tessera.llm import rules, simhash, substring
 from tessera.llm.catalog import register, table
 
 #: Words as DuckDB finds them.
@@ -17,6 +17,22 @@ def op1(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op6_substring_dedup", f"""
+with d as (select doc_id, {WORDS_SQL} as w from documents),
+win as (select doc_id, i, array_to_string(w[i:i+12], ' ') as s
+        from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13)),
+dup as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by s) as f from win) where f < doc_id),
+cov as (select distinct doc_id, i + k as p from dup, range(0, 13) t(k)),
+gone as (select doc_id, count(*) as n, list(p) as ps from cov group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: ps is null or not list_contains(ps, i)), ' ')) as kept_sha256
+from d left join gone using (doc_id)""")
+def op6(spark, sf_dir):
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc.doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register("op7_quality_rules", f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, {WORDS_SQL} as w from documents),
 l as (select r, unnest(string_split(t, chr(10))) as line from d),
