@@ -3,11 +3,14 @@ production parameters to the whole of its table."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import rules, simhash, substring
+from tessera.llm import bpe, decontam, rules, simhash, substring
 from tessera.llm.catalog import register, table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 #: Words as DuckDB finds them.
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -58,3 +61,15 @@ def op7(spark, sf_dir):
     return book.withColumns({
         "base_failed": ~rules.passes(rules.POLICIES[0]),
         "kept": rules.passes(rules.POLICIES[-1])})
+
+
+@register("op9_benchmark_decontamination")
+def op9(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op10_bpe_encoding")
+def op10(spark, sf_dir):
+    out = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                      F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -160,8 +160,9 @@ def _boundary_rows(window: int):
     return lambda batches: _merged(batches, rows_of)
 
 
-def _kept_batches(window: int):
+def _kept_batches(window: int, keep_text: bool):
     """Last pass: words under a marked phrase or window go."""
+    passed = ["text"] * keep_text + ["doc"]
 
     def run(batches):
         for b in text_slices(batches):
@@ -197,9 +198,9 @@ def _kept_batches(window: int):
                     spans.append([])
                 kept.append(b" ".join(words).decode("utf-8"))
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(2, b.num_columns)), pa.array(w.count), pa.array(kept, pa.string()),
+                [*(b.column(b.schema.get_field_index(c)) for c in passed), pa.array(w.count), pa.array(kept, pa.string()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                [*b.schema.names[2:], "n_words", "kept", "spans"])
+                [*passed, "n_words", "kept", "spans"])
 
     return run
 
@@ -221,10 +222,11 @@ def _first_holders(rows: DataFrame, n: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = 13, carry: list[str] | None = None) -> DataFrame:
+                   window: int = 13, carry: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """Per row: ``doc`` (struct of the columns ``carry``; default the id),
     ``n_words``, ``kept`` (kept words joined by one space) and ``spans``
-    (removed word ranges, end exclusive)."""
+    (removed word ranges, end exclusive); ``keep_text`` adds the text as it
+    was."""
     if window < ANCHOR:
         raise ValueError(f"window must be at least {ANCHOR}")
     spark = docs.sparkSession
@@ -249,4 +251,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     unnamed = base.where(F.col("id").isNull()).select("text", F.lit(None).cast(marked.schema["marks"].dataType).alias("marks"), "doc")
     doc_type = base.schema["doc"].dataType.simpleString()
     return marked.unionByName(unnamed).mapInArrow(
-        _kept_batches(window), f"doc {doc_type}, n_words long, kept string, spans array<struct<start:int,end:int>>")
+        _kept_batches(window, keep_text), f"{'text string, ' * keep_text}doc {doc_type}, n_words long, kept string,"
+        " spans array<struct<start:int,end:int>>")
