@@ -6,8 +6,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, rules, simhash, substring
+from tessera.llm import bpe, decontam, rules, sharding, simhash, substring, urlfilter
 from tessera.llm.catalog import register, table
+from tessera.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -20,6 +21,30 @@ def op1(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+RULES_SQL = """select * from values ('net', '/', 'block'), ('example.net', '/en/', 'allow'),
+('example.com', '/de/', 'block'), ('org', '/fr/', 'allow') as rules(host, path, verdict)"""
+
+
+@register("op3_url_filters", f"""
+with rules as ({RULES_SQL.replace("select * from values", "select * from (values").replace(" as rules(", ") as rules(")}),
+u as (select row_number() over () as r, page_id,
+             case when url is null or instr(url, '://') = 0 then '' else substr(url, instr(url, '://') + 3) end as rest from pages),
+p as (select r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+m as (select p.r, arg_max(rules.host || rules.path, length(rules.host || rules.path)) as rule,
+             arg_max(verdict, length(rules.host || rules.path)) as verdict
+      from p join rules on (p.host = rules.host or ends_with(p.host, '.' || rules.host)) and starts_with(p.path, rules.path) group by p.r)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join m using (r)""")
+def op3(spark, sf_dir):
+    return urlfilter.judge(table(spark, sf_dir, "pages"), spark.sql(RULES_SQL))
+
+
+@register("op4_sharding")
+def op4(spark, sf_dir):
+    out = sharding.shard(table(spark, sf_dir, "documents"), 40, map_path=scratch_path(spark, "slot_map"))
+    return out.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 @register("op6_substring_dedup", f"""
 with d as (select doc_id, {WORDS_SQL} as w from documents),
 win as (select doc_id, i, array_to_string(w[i:i+12], ' ') as s
