@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, rules, sharding, simhash, substring, urlfilter
+from tessera.llm import bpe, decontam, rules, sharding, simhash, substring, toxicity, urlfilter
 from tessera.llm.catalog import register, table
 from tessera.session import scratch_path
 
@@ -98,3 +98,8 @@ def op10(spark, sf_dir):
     out = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register("op5_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -15,6 +15,7 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = np.where(_WHITE, 0, np.arange(256) + 1).astype(U)
 _LOWER = _VALUE.copy()
 _LOWER[65:91] = _VALUE[97:123]
+_MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -56,12 +57,16 @@ class Words:
         return len(self.doc)
 
 
-def hash_words(texts: list[bytes], n_hashes: int = 1, lower: bool = False, piece: int = 1 << 22) -> Words:
+def hash_words(texts: list[bytes], n_hashes: int = 1, lower: bool = False, marks: bool = False,
+               prefix: int = 0, piece: int = 1 << 22) -> Words:
+    """``marks``: all ASCII characters but letters and digits part words.
+    ``prefix``: a last array hashes the first bytes of each word (zero for
+    words that are no longer)."""
     joined = b" ".join(texts) + b" "
     buf = np.frombuffer(joined, dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     offsets = np.cumsum(sizes) - sizes
-    word = ~_WHITE[buf]
+    word = ~(_MARKS if marks else _WHITE)[buf]
     edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
     starts, ends = edge[::2], edge[1::2]  # the last byte is white, so words end
     doc = np.searchsorted(offsets, starts, side="right") - 1
@@ -74,10 +79,18 @@ def hash_words(texts: list[bytes], n_hashes: int = 1, lower: bool = False, piece
         lo, hi = int(starts[at]), int(ends[to - 1])
         rel = starts[at:to] - lo
         values = (_LOWER if lower else _VALUE)[buf[lo:hi]]
+        if marks:
+            values[~word[lo:hi]] = 0
         for base, out in zip(_BASES, hashes):
             up, down = _powers(base, hi - lo)
             out[at:to] = mix(np.add.reduceat(values * up[: hi - lo], rel) * down[rel])
         at = to
+    if prefix:
+        up, _ = _powers(_BASES[0], prefix)
+        head = np.zeros(len(starts), dtype=U)
+        for j in range(prefix):
+            head += (_LOWER if lower else _VALUE)[buf[np.minimum(starts + j, len(buf) - 1)]] * up[j]
+        hashes.append(np.where(ends - starts > prefix, mix(head), U(0)))
     pos = np.arange(len(starts)) - first[doc] if len(starts) else doc
     return Words(doc, pos, first, count, hashes)
 
