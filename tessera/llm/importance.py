@@ -1,9 +1,10 @@
 """Quality selection by importance resampling.
 
-Two generative models over hashed word 1-grams and 2-grams, one of the target
-(documents labelled good) and one of the raw text (all documents), give each
-document a log weight: the sum over its n-grams of the log ratio of the two.
-Adding Gumbel noise and taking the ``keep`` largest sums draws that many
+Two generative models over hashed 1-grams and 2-grams of words and runs of
+marks, one of the target (documents labelled good) and one of the raw text (all
+documents), give each document a log weight: the sum over its n-grams of the
+log ratio of the two.  The n-grams of a long text are far from independent, so
+a text of more than ``span`` of them counts as that many of its mean.  Adding Gumbel noise and taking the ``keep`` largest sums draws that many
 documents without replacement in proportion to their weights.
 
 The raw counts cover every document.  The target is at most about
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.rows import text_slices, utf8
-from tessera.llm.wordhash import U, hash_words, ngrams
+from tessera.llm.wordhash import MARKS, U, hash_words, ngrams
 from tessera.session import scratch_path
 
 BUCKET_BITS = 14
@@ -36,7 +37,8 @@ BUCKET_BITS = 14
 
 @dataclass(frozen=True)
 class Settings:
-    keep: float = 0.8
+    keep: float = 0.85
+    span: int = 100
     smoothing: float = 1.0
     max_target: int = 200_000
     seed: int = 17
@@ -44,7 +46,7 @@ class Settings:
 
 def _grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every word and every pair of neighbours."""
-    w = hash_words(texts, lower=True, marks=True)
+    w = hash_words(texts, kinds=MARKS)
     h = w.hashes[0]
     pair = np.flatnonzero(w.doc[:-1] == w.doc[1:])
     doc = np.concatenate([w.doc, w.doc[pair]])
@@ -106,7 +108,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, s: Se
             texts = utf8(b.column(1))
             doc, bucket = _grams(texts)
             n = np.bincount(doc, minlength=len(texts)).astype(np.int64)
-            weight = np.bincount(doc, weights=shared.value[bucket], minlength=len(texts))
+            weight = np.bincount(doc, weights=shared.value[bucket], minlength=len(texts)) * np.minimum(1, s.span / np.maximum(n, 1))
             u = ((b.column(2).to_numpy().view(np.uint64) >> U(12)).astype(np.float64) + 0.5) / 2.0 ** 52
             key = weight - np.log(-np.log(u))
             yield pa.RecordBatch.from_arrays(

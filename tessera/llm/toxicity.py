@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.rows import text_slices, utf8
-from tessera.llm.wordhash import U, hash_words
+from tessera.llm.wordhash import LETTERS, U, hash_words
 from tessera.session import scratch_path
 
 BUCKET_BITS = 18
@@ -56,7 +56,7 @@ def fold(id_col: str, folds: int) -> Column:
 
 def _doc_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every distinct bucket of every text."""
-    w = hash_words(texts, lower=True, marks=True, prefix=PREFIX)
+    w = hash_words(texts, lower=True, kinds=LETTERS, prefix=PREFIX)
     begun = np.flatnonzero(w.hashes[1])
     doc = np.concatenate([w.doc, w.doc[begun]])
     h = np.concatenate([w.hashes[0], w.hashes[1][begun]]) >> U(64 - BUCKET_BITS)

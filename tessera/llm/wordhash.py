@@ -15,7 +15,11 @@ _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = np.where(_WHITE, 0, np.arange(256) + 1).astype(U)
 _LOWER = _VALUE.copy()
 _LOWER[65:91] = _VALUE[97:123]
-_MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)]) & ~_WHITE
+#: What makes a word, by byte: 0 parts words, a change of the number parts them too.
+BLANKS = (~_WHITE).astype(np.uint8)  # by white space alone
+LETTERS = np.where(_MARK, 0, BLANKS).astype(np.uint8)  # ASCII marks part words
+MARKS = np.where(_MARK, 2, BLANKS).astype(np.uint8)  # runs of marks are words
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -57,18 +61,19 @@ class Words:
         return len(self.doc)
 
 
-def hash_words(texts: list[bytes], n_hashes: int = 1, lower: bool = False, marks: bool = False,
+def hash_words(texts: list[bytes], n_hashes: int = 1, lower: bool = False, kinds: np.ndarray = BLANKS,
                prefix: int = 0, piece: int = 1 << 22) -> Words:
-    """``marks``: all ASCII characters but letters and digits part words.
-    ``prefix``: a last array hashes the first bytes of each word (zero for
+    """``prefix``: a last array hashes the first bytes of each word (zero for
     words that are no longer)."""
     joined = b" ".join(texts) + b" "
     buf = np.frombuffer(joined, dtype=np.uint8)
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
     offsets = np.cumsum(sizes) - sizes
-    word = ~(_MARKS if marks else _WHITE)[buf]
-    edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
-    starts, ends = edge[::2], edge[1::2]  # the last byte is white, so words end
+    kind = kinds[buf]
+    new = np.ones(len(buf), dtype=bool)
+    new[1:] = kind[1:] != kind[:-1]
+    starts = np.flatnonzero(new & (kind > 0))
+    ends = np.flatnonzero(new[1:] & (kind[:-1] > 0)) + 1  # the last byte is white, so words end
     doc = np.searchsorted(offsets, starts, side="right") - 1
     count = np.bincount(doc, minlength=len(texts)).astype(np.int64)
     first = np.cumsum(count) - count
@@ -79,8 +84,8 @@ def hash_words(texts: list[bytes], n_hashes: int = 1, lower: bool = False, marks
         lo, hi = int(starts[at]), int(ends[to - 1])
         rel = starts[at:to] - lo
         values = (_LOWER if lower else _VALUE)[buf[lo:hi]]
-        if marks:
-            values[~word[lo:hi]] = 0
+        if kinds is not BLANKS:
+            values[kind[lo:hi] == 0] = 0
         for base, out in zip(_BASES, hashes):
             up, down = _powers(base, hi - lo)
             out[at:to] = mix(np.add.reduceat(values * up[: hi - lo], rel) * down[rel])
