@@ -8,8 +8,6 @@ retries draw the same values.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,14 +28,3 @@ def uniform(seed, tag: str, *keys) -> Column:
     """u in [0, 1) from the first 8 hex digits of the md5 order key."""
     h = F.substring(order_key(seed, tag, *keys), 1, 8)
     return F.conv(h, 16, 10).cast("bigint") / F.lit(4294967296.0)
-
-
-def py_uniform(*parts) -> float:
-    """Driver-side twin of :func:`uniform` for scalar draws."""
-    s = ":".join(str(p) for p in parts)
-    return int(hashlib.md5(s.encode()).hexdigest()[:8], 16) / 4294967296.0
-
-
-def py_hash32(*parts) -> int:
-    s = ":".join(str(p) for p in parts)
-    return int(hashlib.md5(s.encode()).hexdigest()[:8], 16)

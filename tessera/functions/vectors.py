@@ -30,8 +30,3 @@ def l2_normalize(a) -> Column:
 
 def cosine(a, b) -> Column:
     return dot(a, b) / (F.sqrt(sq_norm(a)) * F.sqrt(sq_norm(b)))
-
-
-def sq_l2(a, b) -> Column:
-    diffs = F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda t, v: t + v)

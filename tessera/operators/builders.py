@@ -34,20 +34,19 @@ def build_multi_positive_qa(df: DataFrame, question: str, contexts: str, long_an
                      F.concat(answer, F.lit(" "), context).alias("full_answer"))
 
 
-def label_vocabulary(df: DataFrame, label: str, max_labels: int = 100_000) -> list[str]:
-    """Distinct labels over all rows (all splits), sorted; bounded collect."""
-    rows = df.select(label).where(F.col(label).isNotNull()).distinct().limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"more than {max_labels} distinct labels")
-    return sorted(r[0] for r in rows)
+def label_vocabulary(df: DataFrame, label: str) -> DataFrame:
+    """One row with the sorted distinct labels over all rows (all splits)."""
+    return df.agg(F.sort_array(F.collect_set(label)).alias("vocabulary"))
 
 
 def build_label_examples(df: DataFrame, text: str, label_text: str, vocabulary=None, keep=()) -> DataFrame:
     """Classification -> ``(text, [label], all other labels)``.  The vocabulary
-    is the label set over the whole input unless given; it is a literal array
-    (a label set is small and its size is checked)."""
-    vocab = sorted(vocabulary) if vocabulary is not None else label_vocabulary(df, label_text)
-    allv = F.array(*[F.lit(v) for v in vocab]) if vocab else F.array().cast("array<string>")
+    is the label set over the whole input, a scalar subquery, unless given.
+    Every example lists all other labels, as its definition asks."""
+    if vocabulary is None:
+        allv = label_vocabulary(df, label_text).scalar()
+    else:
+        allv = F.array(*[F.lit(v) for v in sorted(vocabulary)]).cast("array<string>")
     return df.select(*keep, F.col(text).alias("query"), F.array(F.col(label_text)).alias("positive"),
                      F.array_except(allv, F.array(F.col(label_text))).alias("negative"),
                      F.col(label_text).alias("full_positive"))
@@ -121,14 +120,14 @@ def build_chunked_cluster_examples(df: DataFrame, text: str, group: str, order:
 
     Ranks come from a range-partitioned sort (a hot group is spread over
     tasks); the only list built is one chunk (<= ``chunk`` texts)."""
-    r = rank_in_group(df.select(group, order, text), [group], [order], out="rn")
+    r = rank_in_group(df.select(group, order), [group], [order], out="rn")  # ids only; texts join the survivors
     r = r.where(F.col("rn") <= cap).withColumn("chunk", F.floor((F.col("rn") - 1) / chunk).cast("bigint"))
     chunks = r.select(group, "chunk").distinct()
     # chunks per group <= cap / chunk, so this window is bounded in size
     from pyspark.sql import Window
     w = Window.partitionBy(group).orderBy(order_key(seed, "chunk", group, "chunk"), "chunk")
     picked = chunks.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_chunks).drop("_k")
-    members = r.join(picked, [group, "chunk"], "left_semi")
+    members = r.join(picked, [group, "chunk"], "left_semi").join(df.select(group, order, text), [group, order])
     g = members.groupBy(group, "chunk").agg(F.sort_array(F.collect_list(F.struct("rn", text))).alias("_m"))
     cl = cluster_expr(F.col(group)) if cluster_expr is not None else F.col(group)
     return g.select(
@@ -145,7 +144,7 @@ def classification_to_clustering(df: DataFrame, text: str, label: str, key: str,
     label has at most ``window + 1`` members).  O(window * n) rows via an
     equi-join on ``(label, ring rank)``; no per-label list is built."""
     base = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_label"))
-    ranked = rank_in_group(base.withColumn("_ok", order_key(seed, "ring", "_key")),
+    ranked = rank_in_group(base.select("_key", "_label", order_key(seed, "ring", "_key").alias("_ok")),
                            ["_label"], ["_ok", "_key"], out="_r", size_col="_n")
     ranked = ranked.withColumn("_r", F.col("_r") - 1).drop("_ok")
     offs = ranked.select(
@@ -153,10 +152,11 @@ def classification_to_clustering(df: DataFrame, text: str, label: str, key: str,
         F.explode(F.sequence(F.lit(1), F.least(F.lit(window), F.col("_n") - 1))).alias("_k")
     ).where(F.col("_n") > 1)
     offs = offs.withColumn("_tr", F.pmod(F.col("_r") + F.col("_k"), F.col("_n")))
-    mates = ranked.select("_label", F.col("_r").alias("_tr"), F.col("_text").alias("_mate"))
-    pos = offs.join(mates, ["_label", "_tr"]).groupBy("_key").agg(
+    mates = ranked.select("_label", F.col("_r").alias("_tr"), F.col("_key").alias("_mk"))
+    texts = base.select(F.col("_key").alias("_mk"), F.col("_text").alias("_mate"))
+    pos = offs.join(mates, ["_label", "_tr"]).join(texts, "_mk").groupBy("_key").agg(
         F.sort_array(F.collect_list(F.struct("_k", "_mate"))).alias("_p"))
-    out = ranked.join(pos, "_key", "left")
+    out = base.join(pos, "_key", "left")
     return out.select(F.col("_key").alias(key), F.col("_text").alias("query"),
                       F.coalesce(F.col("_p._mate"), F.array().cast("array<string>")).alias("positive"),
                       F.col("_label").alias("cluster"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -41,32 +40,44 @@ def centroids_by_label(df: DataFrame, vec: str, label: str) -> DataFrame:
         "cid", F.col("_c.v").alias("centroid"))
 
 
+def _nearest(shared, vec: str, out: str, cells: int):
+    """Per row the nearest centroid of one block, if nearer than what the row
+    has already (or as near, with a smaller id)."""
+    def run(it):
+        cid, cm = shared.value
+        cn = (cm * cm).sum(axis=1)
+        for pdf in it:
+            best, dist = (pdf[c].to_numpy(copy=True) for c in (out, out + "_dist"))
+            step = max(1, cells // max(len(cid), 1))
+            for s in range(0, len(pdf), step):
+                X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].iloc[s:s + step]])
+                D = (X * X).sum(axis=1)[:, None] + cn[None, :] - 2.0 * (X @ cm.T)
+                slack = 1e-14 * (X.shape[1] + 4) * ((X * X).sum(axis=1) + cn.max())
+                for i, row in enumerate(D):  # rank what roundings cannot tell apart directly
+                    near = np.flatnonzero(row <= row.min() + slack[i])
+                    exact = ((X[i] - cm[near]) ** 2).sum(axis=1)
+                    j = int(np.argmin(exact))  # first minimum = smallest id (ids sorted)
+                    if (exact[j], cid[near[j]]) < (dist[s + i], best[s + i]):
+                        best[s + i], dist[s + i] = cid[near[j]], exact[j]
+            yield pdf.assign(**{out: best, out + "_dist": dist})
+    return run
+
+
 def assign_nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "embedding",
-                            max_centroids: int = 65_536, out: str = "cluster") -> DataFrame:
+                            block: int = 65_536, out: str = "cluster") -> DataFrame:
     """Nearest centroid (squared L2; ties -> smallest centroid id).  The
-    centroid table is collected after a size check (k x dim floats) and
-    shipped as a broadcast variable to an Arrow ``mapInPandas``; no
-    vector x centroid join is materialised."""
-    rows = centroids.select("cid", "centroid").limit(max_centroids + 1).collect()
-    if len(rows) > max_centroids:
-        raise ValueError(f"more than {max_centroids} centroids")
-    rows.sort(key=lambda r: r["cid"])
-    ids = np.array([r["cid"] for r in rows], dtype=np.int64)
-    C = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    bc = df.sparkSession.sparkContext.broadcast((ids, C))
+    centroid table is split into blocks of about ``block`` rows; each is
+    shipped as a broadcast variable to one Arrow pass over the vectors, which
+    carry their best so far.  No vector x centroid join is materialised."""
+    n = max(1, -(-centroids.count() // block))
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.LongType()),
                                               T.StructField(out + "_dist", T.DoubleType())])
-
-    def run(it):
-        cid, cm = bc.value
-        cn = (cm * cm).sum(axis=1)
-        for pdf in it:
-            if len(pdf) == 0:
-                yield pdf.assign(**{out: pd.Series(dtype="int64"), out + "_dist": pd.Series(dtype="float64")})
-                continue
-            X = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            D = (X * X).sum(axis=1)[:, None] + cn[None, :] - 2.0 * (X @ cm.T)
-            j = np.argmin(D, axis=1)  # first minimum = smallest id (ids sorted)
-            exact = ((X - cm[j]) ** 2).sum(axis=1)
-            yield pdf.assign(**{out: cid[j], out + "_dist": exact})
-    return df.mapInPandas(run, schema)
+    d = df.withColumns({out: F.lit(2 ** 63 - 1), out + "_dist": F.lit(float("inf"))})
+    for b in range(n):
+        rows = centroids.where(F.pmod(F.xxhash64("cid"), F.lit(n)) == b).select("cid", "centroid").orderBy("cid").collect()
+        if not rows:
+            continue
+        shared = df.sparkSession.sparkContext.broadcast(
+            (np.array([r["cid"] for r in rows], dtype=np.int64), np.array([r["centroid"] for r in rows], dtype=np.float64)))
+        d = d.mapInPandas(_nearest(shared, vec, out, 1 << 22), schema)
+    return d

@@ -103,13 +103,6 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- signatures
-def _mod_p(x: np.ndarray) -> np.ndarray:
-    """x mod (2^31 - 1) for 0 <= x < 2^62 by folding (no integer division)."""
-    r = (x & PRIME) + (x >> 31)
-    r = (r & PRIME) + (r >> 31)
-    return np.where(r >= PRIME, r - PRIME, r)
-
-
 def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, budget: int = 1 << 22) -> list:
     """Row-wise min of (a*h + b) mod p over the hashes of each row; rows are
     stacked in blocks of ~``budget`` cells so numpy works on big arrays."""
@@ -195,7 +188,9 @@ def lsh_bands(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
 def lsh_star_edges(bands: DataFrame) -> DataFrame:
     """For every bucket with more than one member: edge (member, bucket min).
     Grouped min/count (partially aggregated), then a join back; self edges
-    dropped, duplicates removed."""
+    dropped, duplicates removed.  The band rows are checkpointed, so the
+    signatures before them are computed once."""
+    bands = bands.checkpoint(eager=True)
     buckets = (bands.groupBy("band", "k1", "k2")
                .agg(F.min("id").alias("root"), F.count(F.lit(1)).alias("n"))
                .where(F.col("n") > 1).drop("n"))
@@ -261,4 +256,5 @@ def dedup_report(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig =
         F.count(F.lit(1)).alias("n_before"),
         F.sum((F.col("id") == F.col("cluster")).cast("long")).alias("n_after"),
         F.countDistinct("cluster").alias("n_clusters"),
-    ).select("n_before", "n_after", "n_clusters", F.lit(res.n_bands).cast("bigint").alias("n_bands"))
+    ).select("n_before", "n_after", "n_clusters", F.lit(res.n_bands).cast("bigint").alias("n_bands"),
+             F.lit(res.edges.distinct().count()).alias("n_edges"))

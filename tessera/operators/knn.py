@@ -29,7 +29,10 @@ def _matrix(vals) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in vals])
 
 
-def _local_topk(k: int, metric: str, qblock_rows: int = 1024):
+def _local_topk(k: int, metric: str, cells: int = 1 << 22):
+    """Exact local top-k.  Matrix products only nominate: they are off by a few
+    roundings of the squared norms, so all within that of the cut are kept and
+    ranked by the distance computed directly."""
     def fn(cdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
         if len(cdf) == 0 or len(qdf) == 0:
             return pd.DataFrame({"qid": [], "cid": [], "score": [], "ord": []})
@@ -40,6 +43,8 @@ def _local_topk(k: int, metric: str, qblock_rows: int = 1024):
         cn = (C * C).sum(axis=1)
         out_q, out_c, out_s, out_o = [], [], [], []
         qids_all = qdf["qid"].to_numpy(dtype=np.int64)
+        qblock_rows = max(1, cells // len(C))
+        slack = 8 * np.finfo(np.float64).eps * (C.shape[1] + 4)
         for s in range(0, len(qdf), qblock_rows):
             Q = _matrix(qdf["qvec"].iloc[s:s + qblock_rows])
             qids = qids_all[s:s + qblock_rows]
@@ -53,8 +58,9 @@ def _local_topk(k: int, metric: str, qblock_rows: int = 1024):
             kk = min(k, C.shape[0])
             part = np.argpartition(ordm, kk - 1, axis=1)[:, :kk]
             cut = np.take_along_axis(ordm, part, axis=1).max(axis=1)
+            cut = cut + slack * ((Q * Q).sum(axis=1) + cn.max())
             for i in range(Q.shape[0]):
-                cand = np.nonzero(ordm[i] <= cut[i] + 1e-12)[0]
+                cand = np.nonzero(ordm[i] <= cut[i])[0]
                 if metric == "l2":
                     d = ((C[cand] - Q[i]) ** 2).sum(axis=1)
                     o, sc = d, d
@@ -74,8 +80,10 @@ def _local_topk(k: int, metric: str, qblock_rows: int = 1024):
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
              q_id: str = "qid", q_vec: str = "qvec", c_id: str = "cid", c_vec: str = "cvec",
              buckets: int | None = None, query_blocks: int | None = None,
-             rows_per_bucket: int = 100_000, queries_per_block: int = 200_000) -> DataFrame:
+             rows_per_bucket: int = 100_000, block_bytes: int = 128 << 20) -> DataFrame:
     """``(qid, rank, cid, score)``: the exact ``k`` best corpus rows per query.
+    A block has so many queries that its results (32 bytes each, ``k`` a query)
+    stay within ``block_bytes``.
 
     ``metric``: ``l2`` (squared distance, ascending - the flat-index default),
     ``ip`` (inner product, descending) or ``cosine``."""
@@ -86,7 +94,7 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
         buckets = max(slots, math.ceil(n / rows_per_bucket))
     if query_blocks is None:
         nq = queries.count()
-        query_blocks = max(1, math.ceil(nq / queries_per_block))
+        query_blocks = max(1, math.ceil(nq / max(1, block_bytes // (32 * k))))
     c = corpus.select(F.col(c_id).cast("bigint").alias("cid"), F.col(c_vec).alias("cvec"))
     c = c.withColumn("bucket", F.pmod(F.xxhash64("cid"), F.lit(buckets)))
     c = c.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ranking import dense_index, running_sum
+from tessera.operators.ranking import running_sum
 
 
 def _safe_div(a, b):
@@ -26,7 +26,8 @@ def _idcg(m):
 
 def retrieval_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """Per query: nDCG@k, MRR@k, MAP@k, recall@k, precision@k with binary
-    relevance; ``run(qid, rank, cid)``, ``qrels(qid, cid)``.  Queries without
+    relevance; ``run(qid, rank, cid)``, ``qrels(qid, cid)``.  Average precision
+    is over all relevant ids, also those beyond the cut.  Queries without
     judged ids are not scored; judged queries missing from the run score 0."""
     rel = qrels.select("qid", "cid").distinct().withColumn("rel", F.lit(1))
     r = run.where(F.col("rank") <= k).join(rel, ["qid", "cid"], "left").fillna(0, ["rel"])
@@ -44,11 +45,16 @@ def retrieval_metrics(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFram
         "qid",
         _safe_div(F.col("dcg"), _idcg(m)).alias("ndcg"),
         F.coalesce(F.col("rr"), F.lit(0.0)).alias("mrr"),
-        _safe_div(F.col("ap_num"), m.cast("double")).alias("map"),
+        _safe_div(F.col("ap_num"), F.col("n_rel").cast("double")).alias("map"),
         _safe_div(F.col("hits").cast("double"), F.col("n_rel").cast("double")).alias("recall"),
         (F.col("hits") / F.lit(float(k))).alias("precision"))
 
 
+def mean_over_queries(per_query: DataFrame, key: str = "qid") -> DataFrame:
+    """One row: the mean of every metric and the number of queries."""
+    return per_query.agg(*[F.avg(c).alias(c) for c in per_query.columns if c != key], F.count(F.lit(1)).alias("n_queries"))
+
+
 def reranking_metrics(candidates: DataFrame) -> DataFrame:
     """``candidates(qid, cid, score, rel)`` -> per query MAP and MRR over the
     candidate list ranked by score (desc), ties by id."""
@@ -62,34 +68,37 @@ def reranking_metrics(candidates: DataFrame) -> DataFrame:
         F.coalesce(F.max(F.when(F.col("rel") == 1, 1.0 / F.col("rank"))), F.lit(0.0)).alias("mrr"))
 
 
-def average_ranks(df: DataFrame, value: str, id_col: str, out: str) -> DataFrame:
-    """1-based rank of ``value`` with ties sharing their average rank."""
-    idx = dense_index(df.select(id_col, value), [value, id_col], out="_i")
-    avg = idx.groupBy(value).agg(F.avg(F.col("_i") + 1).alias(out))
-    return df.join(idx.select(id_col, value), [id_col, value]).join(avg, value)
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """``(value, out)``: 1-based rank of every distinct value, ties sharing the
+    average: counts per value, then running counts over the distinct values."""
+    by = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    r = running_sum(by, [value], ["_n"])
+    return r.select(value, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(out))
 
 
 def sts_correlation(pairs: DataFrame, score: str, gold: str, id_col: str = "id") -> DataFrame:
     """Pearson and Spearman (average ranks for ties) of a score against gold."""
-    base = pairs.select(id_col, F.col(score).alias("_s"), F.col(gold).cast("double").alias("_g"))
-    rs = average_ranks(base.select(id_col, "_s"), "_s", id_col, "_rs").select(id_col, "_rs")
-    rg = average_ranks(base.select(id_col, "_g"), "_g", id_col, "_rg").select(id_col, "_rg")
-    j = base.join(rs, id_col).join(rg, id_col)
+    base = pairs.select(F.col(score).alias("_s"), F.col(gold).cast("double").alias("_g")).checkpoint(eager=True)
+    j = base.join(average_ranks(base, "_s", "_rs"), "_s").join(average_ranks(base, "_g", "_rg"), "_g")
     return j.agg(F.corr("_s", "_g").alias("pearson"), F.corr("_rs", "_rg").alias("spearman"),
                  F.count(F.lit(1)).alias("n_pairs"))
 
 
-def pair_average_precision(pairs: DataFrame, score: str, label: str, id_col: str = "id") -> DataFrame:
+def pair_average_precision(pairs: DataFrame, score: str, label: str) -> DataFrame:
     """Average precision of ``score`` as a duplicate detector and the best
-    accuracy over thresholds between consecutive scores."""
-    base = pairs.select(id_col, F.col(score).alias("_s"), F.col(label).cast("long").alias("_y"))
-    base = base.withColumn("_neg", 1 - F.col("_y")).withColumn("_ms", -F.col("_s"))
-    r = running_sum(base, ["_ms", id_col], ["_y", "_neg"])
-    tot = base.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p")).collect()[0]
-    n, p = tot["n"], tot["p"] or 0
-    ap = F.sum(F.when(F.col("_y") == 1, F.col("cum__y") / F.col("_pos")).otherwise(0.0)) / F.lit(max(p, 1))
-    acc = F.max(F.when(F.col("_pos") < n, (F.col("cum__y") + F.lit(n - p) - F.col("cum__neg")) / F.lit(float(n))))
-    return r.agg(ap.alias("average_precision"), F.coalesce(acc, F.lit(0.0)).alias("best_accuracy"),
+    accuracy over thresholds between distinct scores.  Pairs of equal score
+    enter together, so their order does not matter: AP is the sum over the
+    distinct scores of the recall they add times the precision down to them."""
+    base = pairs.select(F.col(score).alias("_s"), F.col(label).cast("long").alias("_y"))
+    by = base.groupBy((-F.col("_s")).alias("_ms")).agg(F.sum("_y").alias("_y"), F.sum(1 - F.col("_y")).alias("_neg"))
+    by = by.checkpoint(eager=True)
+    r = running_sum(by, ["_ms"], ["_y", "_neg"])
+    tot = by.agg(F.sum(F.col("_y") + F.col("_neg")).alias("n"), F.sum("_y").alias("p")).collect()[0]
+    n, p = tot["n"] or 0, tot["p"] or 0
+    seen = F.col("cum__y") + F.col("cum__neg")
+    ap = F.sum(F.col("_y") * F.col("cum__y") / seen) / F.lit(max(p, 1))
+    acc = F.max(F.when(seen < n, (F.col("cum__y") + F.lit(n - p) - F.col("cum__neg")) / F.lit(float(max(n, 1)))))
+    return r.agg(F.coalesce(ap, F.lit(0.0)).alias("average_precision"), F.coalesce(acc, F.lit(0.0)).alias("best_accuracy"),
                  F.lit(n).cast("bigint").alias("n_pairs"))
 
 

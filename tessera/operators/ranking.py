@@ -69,11 +69,6 @@ def rank_in_group(df: DataFrame, group_cols, order_cols, out: str = "rn",
             .drop("_gidx", "_gstart"))
 
 
-def global_rank(df: DataFrame, order_cols, out: str = "rn") -> DataFrame:
-    """1-based rank in a total order (``row_number() over (order by ...)``)."""
-    return dense_index(df, order_cols, out="_gidx").withColumn(out, F.col("_gidx") + 1).drop("_gidx")
-
-
 def running_sum(df: DataFrame, order_cols, value_cols, num_partitions: int | None = None) -> DataFrame:
     """Global position ``_pos`` (1-based) and running sums ``cum_<v>`` in the
     total order ``order_cols`` (unique).  The running sum inside a range

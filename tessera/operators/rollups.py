@@ -61,16 +61,19 @@ def crosslingual_average(cells: DataFrame) -> DataFrame:
 
 
 def best_checkpoint(steps: DataFrame, group: str = "metric") -> DataFrame:
-    """Per metric: running best over evaluation steps; best step under the
-    strict rule (first step reaching the max) and the ``>=`` rule (last)."""
-    w = Window.partitionBy(group).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumn("running_best", F.max("score").over(w))
+    """Per metric: best step under the strict rule (first step reaching the
+    max) and the ``>=`` rule (last), and how many steps each rule saves: those
+    that beat (or equal) the best of the steps before, the first one included."""
+    w = Window.partitionBy(group).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    run = steps.withColumn("_before", F.max("score").over(w))
     best = steps.groupBy(group).agg(F.max("score").alias("best_score"))
     j = steps.join(best, group).where(F.col("score") == F.col("best_score"))
     pick = j.groupBy(group, "best_score").agg(F.min("step").alias("best_step_strict"),
                                               F.max("step").alias("best_step_ge"))
+    first = F.col("_before").isNull()
     improved = run.groupBy(group).agg(
-        F.sum((F.col("score") == F.col("running_best")).cast("int")).alias("n_improvements"))
+        F.sum((first | (F.col("score") > F.col("_before"))).cast("int")).alias("n_improvements_strict"),
+        F.sum((first | (F.col("score") >= F.col("_before"))).cast("int")).alias("n_improvements_ge"))
     return pick.join(improved, group)
 
 

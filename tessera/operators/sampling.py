@@ -32,18 +32,27 @@ def chunk_group(ranked: DataFrame, size: int = 32, rn: str = "rn", out: str = "c
 
 
 def sample_per_group(chunks: DataFrame, group: str, unit: str = "chunk", n: int = 16, seed: int = 0) -> DataFrame:
-    """``n`` distinct units per group without replacement (md5 order).  The
-    window runs over the distinct units of one group (chunks, not rows)."""
-    u = chunks.select(group, unit).distinct()
-    w = Window.partitionBy(group).orderBy(order_key(seed, "chunk", group, unit), unit)
-    return u.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    """``n`` distinct units per group without replacement (md5 order), ranked by
+    a range-partitioned sort: a group's units may be many."""
+    u = chunks.select(group, unit).distinct().withColumn("_ok", order_key(seed, "chunk", group, unit))
+    return rank_in_group(u, [group], ["_ok", unit], out="_k").where(F.col("_k") <= n).select(group, unit)
 
 
 def sample_n_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows (all when fewer) in md5 order of (seed, key):
-    global positions from a range-partitioned sort, then a filter."""
-    d = df.withColumn("_ok", order_key(seed, "sample", key))
-    return dense_index(d, ["_ok", key], out="_i").where(F.col("_i") < n).drop("_ok", "_i")
+    """Exactly ``n`` rows (all when fewer) in md5 order of (seed, key).  The keys
+    are uniform, so the first ``n`` lie below about n / N of their range: only
+    keys below a bound a little above that are ranked, and rows are joined to
+    the ``n`` keys found."""
+    keys = df.select(key).withColumn("_ok", order_key(seed, "sample", key))
+    total = keys.count()
+    part = min(1.0, (n + 6 * math.sqrt(n) + 20) / max(total, 1))
+    while True:
+        low = keys if part >= 1 else keys.where(F.col("_ok") < format(int(part * 2 ** 32), "08x"))
+        if part >= 1 or low.count() >= n:
+            break
+        part = min(1.0, 2 * part)
+    first = dense_index(low, ["_ok", key], out="_i").where(F.col("_i") < n)
+    return df.join(first.select(key), key, "left_semi")
 
 
 def stratified_cluster_sample(df: DataFrame, n: int, key: str = "row_id", cluster: str = "cluster",

@@ -5,6 +5,7 @@ cosine (V1-V7)."""
 from __future__ import annotations
 
 import hashlib
+import re
 from typing import Protocol
 
 import numpy as np
@@ -37,26 +38,36 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Deterministic test encoder: word pieces hashed into ``dim`` buckets
-    (md5), counts L2-normalised.  Stands in for a neural encoder; real
-    encoders implement the same ``encode`` method and are built once per
-    task inside the iterator (weights are not shipped per row)."""
+    """Deterministic test encoder of the protocol: word pieces hashed into
+    ``dim`` buckets (md5), counts L2-normalised.  A real encoder implements the
+    same ``encode`` and is built once per task (weights are not shipped per
+    row); :func:`hashing_embedding` is the same as column expressions."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
 
     def encode(self, texts):
-        import regex
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        pat = regex.compile(r"[^\p{L}\p{N}_]+")
         for i, t in enumerate(texts):
-            for w in pat.split((t or "").lower()):
+            for w in re.split(r"\W+", (t or "").lower()):
                 if w:
                     out[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim] += 1.0
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n == 0, 1.0, n)
 
 
+def hashing_embedding(df: DataFrame, text_col: str, dim: int = 64, out: str = "embedding") -> DataFrame:
+    """``out: array<double>``: word pieces hashed into ``dim`` buckets (md5),
+    counts L2-normalised; split, hash and counts stay in the JVM."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    bucket = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
+    # a one-row generator keeps the split and the hashes from being repeated per use
+    d = df.withColumn("_b", F.explode(F.array(bucket)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("_b", lambda x: x == i)))
+    d = d.withColumn("_n", F.explode(F.array(counts))).drop("_b")
+    return d.withColumn(out, vx.l2_normalize("_n")).drop("_n")
+
+
 def encode_texts(df: DataFrame, text_col: str, encoder_factory=HashingEncoder, out: str = "embedding",
                  batch_rows: int = 512) -> DataFrame:
     """Append ``out: array<float>`` computed batch-wise in ``mapInPandas``;
@@ -119,8 +130,3 @@ def cosine_pairs(df: DataFrame, a: str, b: str, out: str = "cosine") -> DataFram
     """Cosine of two vector columns of the same row (pairs given)."""
     return df.withColumn(out, vx.cosine(a, b))
 
-
-def numpy_matrix(vals: pd.Series) -> np.ndarray:
-    if len(vals) == 0:
-        return np.zeros((0, 0))
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vals])

@@ -22,12 +22,13 @@ FX = {
                     "quality*2+toxic as label from documents d join labels l using (doc_id)"),
     "fx_grouped": "select doc_id, text, lang || '.' || source || ' ' || lang || '.x' as categories, source as category from documents",
     "fx_examples": ("select doc_id as row_id, lang as dataset, source as cluster, string_split(text, chr(10))[1] as query, "
-                    "string_split(text, chr(10))[2:5] as positive, string_split(text, chr(10))[6:13] as negative from documents"),
+                    "list_filter(string_split(text, chr(10)), lambda x, i: i % 2 = 0) as positive, "
+                    "list_filter(string_split(text, chr(10)), lambda x, i: i > 1 and i % 2 = 1) as negative from documents"),
     "fx_vectors": "select vec_id, embedding, label as cluster from embeddings",
-    "fx_vec_queries": ("select vec_id, cluster, list_filter([n1,n2], lambda x: x is not null) as positive_ids from "
-                       "(select vec_id, label as cluster, lead(vec_id,1) over w as n1, lead(vec_id,2) over w as n2 from embeddings "
-                       "window w as (partition by label order by vec_id)) where vec_id % 10 = 0"),
-    "fx_token_vectors": ("select label as doc, row_number() over (partition by label order by vec_id) - 1 as pos, "
+    "fx_vec_queries": ("select e.vec_id, e.label as cluster, coalesce(list_sort(list(p.vec_id) filter (where p.vec_id is not null))[1:2], []) as positive_ids "
+                       "from embeddings e left join embeddings p on p.label = e.label and p.vec_id > e.vec_id and p.vec_id <= e.vec_id + 30 "
+                       "group by e.vec_id, e.label"),
+    "fx_token_vectors": ("select vec_id // 32 as doc, vec_id % 32 as pos, "
                          "case when vec_id % 4 = 0 then 0 else 1 end as mask, embedding from embeddings"),
     "fx_sts": ("select a.vec_id as id, a.embedding as e1, b.embedding as e2, case when a.label=b.label then 5.0 - a.vec_id % 3 "
                "else (a.vec_id % 3) * 1.0 end as gold from embeddings a join embeddings b on b.vec_id = a.vec_id + 1"),

@@ -34,11 +34,11 @@ def build_pairs_from_set(spark, d):
 
 @register("build_multi_positive_qa", """
 with e as (select row_id, query, array_to_string(positive, ' ') as context,
-                  dataset || '. ' || coalesce(negative[1], '') as answer from fx_examples)
+                  dataset || '. ' || array_to_string(negative, ' ') as answer from fx_examples)
 select row_id, query, context || chr(31) || answer as positive, answer || ' ' || context as full_answer from e
 """)
 def build_multi_positive_qa(spark, d):
-    e = T.fx_examples(spark, d).withColumn("long_answer", F.try_element_at("negative", F.lit(1)))
+    e = T.fx_examples(spark, d).withColumn("long_answer", F.array_join("negative", " "))
     b = B.build_multi_positive_qa(e, "query", "positive", "long_answer", decision="dataset", keep=("row_id",))
     return b.select("row_id", "query", joined("positive"), "full_answer")
 
@@ -92,14 +92,15 @@ def build_passage_examples(spark, d):
 
 
 @register("wrap_scalar_lists", """
-select row_id, query, positive[1] as positive, negative[1] as negative, 1::bigint as n_positive
-from fx_examples where len(positive) > 0 and len(negative) > 0
+select row_id, pos, query, p as positive, negative[pos % len(negative) + 1] as negative, 1::bigint as n_positive
+from (select *, unnest(range(len(positive))) as pos, unnest(positive) as p from fx_examples where len(positive) > 0 and len(negative) > 0)
 """)
 def wrap_scalar_lists(spark, d):
-    e = P.require_pos_neg(T.fx_examples(spark, d)).select(
-        "row_id", "query", F.try_element_at("positive", F.lit(1)).alias("positive"), F.try_element_at("negative", F.lit(1)).alias("negative"))
+    # every positive with a negative; negatives in turn, one fewer at most
+    e = P.require_pos_neg(T.fx_examples(spark, d)).select("row_id", "query", F.posexplode("positive").alias("pos", "positive"), "negative")
+    e = e.withColumn("negative", F.expr("negative[pos % size(negative)]"))
     w = B.wrap_scalar_lists(e)
-    return w.select("row_id", "query", joined("positive"), joined("negative"),
+    return w.select("row_id", F.col("pos").cast("bigint").alias("pos"), "query", joined("positive"), joined("negative"),
                     F.size("positive").cast("bigint").alias("n_positive"))
 
 

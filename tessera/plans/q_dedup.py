@@ -143,20 +143,33 @@ def dedup_keep_representative(spark, d):
     return D.dedup(T.table(spark, d, "documents"), "doc_id", "text", FULL).select("doc_id", "lang", "source")
 
 
-@register("dedup_report", _clusters_sql(FULL) + f"""
-select count(*) as n_before, cast(sum(case when id = cluster then 1 else 0 end) as bigint) as n_after,
+@register("dedup_report", _clusters_sql(FULL) + f""",
+reps as (select min(doc_id) as id from documents join f on f.id = doc_id group by md5(text)),
+rbk as (select bk.* from bk join reps using (id)),
+rbu as (select band, key, min(id) as root from rbk group by band, key having count(*) > 1),
+red as (select distinct rbk.id as src, rbu.root as dst from rbk join rbu using (band, key) where rbk.id <> rbu.root)
+select (select count(*) from red) + (select count(*) from f) - (select count(*) from reps) as n_edges, count(*) as n_before, cast(sum(case when id = cluster then 1 else 0 end) as bigint) as n_after,
        count(distinct cluster) as n_clusters, cast({FULL.band_rows()[0]} as bigint) as n_bands from clusters
 """)
 def dedup_report(spark, d):
     return D.dedup_report(T.table(spark, d, "documents"), "doc_id", "text", FULL)
 
 
-@register("dedup_columns")
+def _kept_sql(column: str, rows: str) -> str:
+    source = f"from (select row_id as doc_id, {column} as text from {rows}) documents"
+    return _clusters_sql(FULL).replace("from documents", source) + " select id as row_id from clusters where id = cluster"
+
+
+@register("dedup_columns", f"""
+with ex as (select row_id, query, array_to_string(positive, ' ') as context from fx_examples where len(positive) > 0),
+k1 as ({_kept_sql('query', 'ex')}),
+k2 as ({_kept_sql('context', 'ex join k1 using (row_id)')})
+select row_id from k2
+""")
 def dedup_columns(spark, d):
-    """Query column first, then the first positive: whole rows removed."""
-    ex = T.fx_examples(spark, d).select("row_id", "query", F.try_element_at("positive", F.lit(1)).alias("pos1"))
-    ex = ex.where(F.col("pos1").isNotNull())
-    return D.dedup_columns(ex, "row_id", ["query", "pos1"], FULL).select("row_id")
+    """Query column first, then the joined positives: whole rows removed."""
+    ex = T.fx_examples(spark, d).where(F.size("positive") > 0).select("row_id", "query", F.array_join("positive", " ").alias("context"))
+    return D.dedup_columns(ex, "row_id", ["query", "context"], FULL).select("row_id")
 
 
 @register("row_index", """

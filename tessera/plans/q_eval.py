@@ -120,18 +120,19 @@ def crosslingual_average(spark, d):
 
 
 @register("best_checkpoint", """
-with r as (select *, max(score) over (partition by metric order by step rows between unbounded preceding and current row) as rb from fx_eval_steps),
+with r as (select *, max(score) over (partition by metric order by step rows between unbounded preceding and 1 preceding) as prev from fx_eval_steps),
 b as (select metric, max(score) as best_score from fx_eval_steps group by metric)
 select b.metric, round(b.best_score, 6) as best_score,
        min(case when s.score = b.best_score then s.step end) as best_step_strict,
        max(case when s.score = b.best_score then s.step end) as best_step_ge,
-       (select cast(sum(case when r.score = r.rb then 1 else 0 end) as bigint) from r where r.metric = b.metric) as n_improvements
+       (select cast(sum(case when prev is null or r.score > prev then 1 else 0 end) as bigint) from r where r.metric = b.metric) as n_improvements_strict,
+       (select cast(sum(case when prev is null or r.score >= prev then 1 else 0 end) as bigint) from r where r.metric = b.metric) as n_improvements_ge
 from b join fx_eval_steps s using (metric) group by b.metric, b.best_score
 """)
 def best_checkpoint(spark, d):
     b = R.best_checkpoint(T.fx_eval_steps(spark, d))
     return b.select("metric", r6("best_score"), "best_step_strict", "best_step_ge",
-                    F.col("n_improvements").cast("bigint"))
+                    *[F.col(c).cast("bigint") for c in ("n_improvements_strict", "n_improvements_ge")])
 
 
 @register("lang_code_join", "with " + CELLS_SQL + ", codes as " + _values(
@@ -168,13 +169,15 @@ SCRIPT_CODES = [("de", "deu_Latn"), ("en", "eng_Latn"), ("es", "spa_Latn"), ("fr
 
 @register("lang_pair_parse", "with sc as " + _values(SCRIPT_CODES, ["short", "script"]) + """,
 p as (select distinct lang || '-en' as pair, lang as src, 'en' as tgt from documents where lang <> 'en')
-select p.pair, s.script as src_script, t.script as tgt_script from p join sc s on s.short = p.src join sc t on t.short = p.tgt
+select p.pair, s.script as src_script, t.script as tgt_script,
+       concat_ws(',', case when s.script is null then src end, case when t.script is null then tgt end) as unknown
+from p left join sc s on s.short = p.src left join sc t on t.short = p.tgt
 """)
 def lang_pair_parse(spark, d):
     docs = T.table(spark, d, "documents").where(F.col("lang") != "en")
     pairs = docs.select(F.concat(F.col("lang"), F.lit("-en")).alias("pair")).distinct()
     sc = spark.createDataFrame(SCRIPT_CODES, "short string, script string")
-    return J.lang_pair_parse(pairs, sc, "pair").select("pair", "src_script", "tgt_script")
+    return J.lang_pair_parse(pairs, sc, "pair").select("pair", "src_script", "tgt_script", "unknown")
 
 
 # --------------------------------------------------------------- alignment
@@ -236,16 +239,16 @@ def route_alignment_task(spark, d):
 
 
 @register("render_prompts", "with m as " + _values(ALIGN_NAMES, ["lang", "name", "instruction"]) + """
-select e.row_id, '<|begin_of_text|>' || m.instruction || '.' || chr(10) || e.query || '<|end_of_text|>' as query_prompt,
-       '<|begin_of_text|>' || m.instruction || '. Candidate:' || chr(10) || e.positive[1] || '<|end_of_text|>' as candidate_prompt
-from fx_examples e join m on m.lang = e.dataset where len(e.positive) > 0
+select e.row_id, pos, '<|begin_of_text|>' || m.instruction || '.' || chr(10) || e.query || '<|end_of_text|>' as query_prompt,
+       '<|begin_of_text|>' || m.instruction || '. Candidate:' || chr(10) || e.candidate || '<|end_of_text|>' as candidate_prompt
+from (select row_id, dataset, query, unnest(range(len(positive))) as pos, unnest(positive) as candidate from fx_examples) e
+join m on m.lang = e.dataset
 """)
 def render_prompts(spark, d):
     m = spark.createDataFrame(ALIGN_NAMES, "dataset string, name string, instruction string")
-    ex = T.fx_examples(spark, d).where(F.size("positive") > 0).join(m, "dataset")
-    ex = ex.withColumn("candidate", F.try_element_at("positive", F.lit(1)))
-    out = AL.render_prompts(ex, REG.special_tokens(spark), "llama")
-    return out.select("row_id", "query_prompt", "candidate_prompt")
+    ex = T.fx_examples(spark, d).select("row_id", "dataset", "query", F.posexplode("positive").alias("pos", "candidate"))
+    out = AL.render_prompts(ex.join(m, "dataset"), REG.special_tokens(spark), "llama")
+    return out.select("row_id", F.col("pos").cast("bigint").alias("pos"), "query_prompt", "candidate_prompt")
 
 
 _UI = MD5U.format(parts="'0', '{t}', cast(row_id as varchar), cast(i - 1 as varchar)")

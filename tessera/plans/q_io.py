@@ -32,13 +32,17 @@ def scan_jsonl(spark, d):
     return _examples_rendered(io.scan_jsonl(spark, path, io.EXAMPLE_SCHEMA))
 
 
-@register("scan_jsonl_lenient", "select _id, '' as title, text from fx_corpus")
+@register("scan_jsonl_lenient", """
+select _id, title, text, cast(null as varchar) as line from fx_corpus
+union all select null, null, null, '{"_id": ' || _id from fx_queries
+""")
 def scan_jsonl_lenient(spark, d):
     path = scratch_path(spark, "lenient")
     good = T.fx_corpus(spark, d).select(F.to_json(F.struct("_id", "title", "text")).alias("value"))
-    bad = T.fx_queries(spark, d).select(F.concat(F.lit('{"_id": '), F.col("text")).alias("value"))  # broken lines
+    bad = T.fx_queries(spark, d).select(F.concat(F.lit('{"_id": '), F.col("_id")).alias("value"))  # broken lines
     good.unionByName(bad).write.text(path)
-    return io.scan_jsonl_lenient(spark, path, CORPUS_SCHEMA)
+    records, lines = io.scan_jsonl_lenient(spark, path, CORPUS_SCHEMA)
+    return records.unionByName(lines, allowMissingColumns=True)
 
 
 @register("scan_qrels_tsv", "select cast(query_id as varchar) as \"query-id\", cast(corpus_id as varchar) as \"corpus-id\", score from fx_qrels")

@@ -48,11 +48,17 @@ pr as (select qv.qid, c.vec_id as cid, c.cluster as ccl, qv.cluster as qcl, qv.p
 rk as (select *, row_number() over (partition by qid order by {o}, cid) as rank from pr)""")
 
 
-@register("encode_texts")
+@register("encode_texts", f"""
+with c as (select _id, case when coalesce(title, '') <> '' then title || ' ' || text else text end as t from fx_corpus),
+p as (select _id, unnest(list_filter(regexp_split_to_array(lower('passage: ' || t), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) as w from c),
+b as (select _id, ('0x' || substr(md5(w), 1, 8))::UBIGINT::BIGINT % 64 as dim, count(*) as n from p group by all),
+n as (select _id, sqrt(sum(n * n)) as nn from b group by _id)
+select _id, dim, round(n / nn, 6) as value from b join n using (_id)
+""")
 def encode_texts(spark, d):
     c = T.fx_corpus(spark, d).select("_id", V.format_encoder_input("text", "passage:", title="title").alias("t"))
-    e = V.encode_texts(c, "t", lambda: V.HashingEncoder(64))
-    return e.select("_id", F.size("embedding").alias("dim"), r6(F.sqrt(vx.sq_norm("embedding")), "norm"))
+    e = V.hashing_embedding(c, "t", 64).select("_id", F.posexplode("embedding").alias("dim", "value"))
+    return e.where("value <> 0").select("_id", F.col("dim").cast("bigint").alias("dim"), r6("value"))
 
 
 @register("format_encoder_input", f"""
@@ -191,7 +197,7 @@ def assign_nearest_centroid(spark, d):
     return a.select("vec_id", F.col("cluster").cast("bigint").alias("cluster"), r6("cluster_dist", "dist"))
 
 
-@register("retrieval_metrics", "with " + _pairs_sql("l2") + """,
+_RETRIEVAL_SQL = "with " + _pairs_sql("l2") + """,
 rel as (select distinct qid, unnest(positive_ids) as cid from qv),
 r as (select rk.qid, rk.rank, rk.cid, case when rel.cid is null then 0 else 1 end as rel from rk left join rel using (qid, cid) where rk.rank <= 10),
 c as (select *, sum(rel) over (partition by qid order by rank rows between unbounded preceding and current row) as cum from r),
@@ -201,11 +207,13 @@ nr as (select qid, count(*) as n_rel from rel group by qid)
 select nr.qid,
   round(case when coalesce(dcg, 0) = 0 then 0 else dcg / list_sum(list_transform(range(1, least(n_rel, 10) + 1), lambda i: 1 / log2(i + 1))) end, 6) as ndcg,
   round(coalesce(rr, 0), 6) as mrr,
-  round(coalesce(ap_num, 0) / least(n_rel, 10), 6) as map,
+  round(coalesce(ap_num, 0) / n_rel, 6) as map,
   round(coalesce(hits, 0)::double / n_rel, 6) as recall,
   round(coalesce(hits, 0) / 10.0, 6) as precision
 from nr left join per using (qid)
-""")
+"""
+
+@register("retrieval_metrics", _RETRIEVAL_SQL)
 def retrieval_metrics(spark, d):
     q = _qvecs(spark, d)
     run = K.knn_topk(q, _corpus(spark, d), 10, "l2")
@@ -214,6 +222,15 @@ def retrieval_metrics(spark, d):
     return m.select("qid", *[r6(c) for c in ("ndcg", "mrr", "map", "recall", "precision")])
 
 
+@register("retrieval_metrics_mean", "select " + ", ".join(f"round(avg({c}), 5) as {c}" for c in ("ndcg", "mrr", "map", "recall", "precision"))
+          + f", count(*) as n_queries from ({_RETRIEVAL_SQL.replace(', 6) as', ', 12) as')})")
+def retrieval_metrics_mean(spark, d):
+    q = _qvecs(spark, d)
+    m = M.mean_over_queries(M.retrieval_metrics(K.knn_topk(q, _corpus(spark, d), 10, "l2"),
+                                                q.select("qid", F.explode("positive_ids").alias("cid")), 10))
+    return m.select(*[F.round(c, 5).alias(c) for c in ("ndcg", "mrr", "map", "recall", "precision")], "n_queries")
+
+
 @register("reranking_metrics", "with " + _pairs_sql("l2") + """,
 rel as (select distinct qid, unnest(positive_ids) as cid from qv),
 cand as (select qid, cid from rk where rank <= 20 union select qid, cid from rel),
@@ -252,12 +269,12 @@ def sts_correlation(spark, d):
 
 
 @register("pair_average_precision", f"""
-with s as (select id, {COS.format(a='e1', b='e2')} as s, case when gold >= 3 then 1 else 0 end as y from fx_sts),
-r as (select *, row_number() over (order by s desc, id) as pos,
-             sum(y) over (order by s desc, id rows between unbounded preceding and current row) as cy from s),
+with s as (select {COS.format(a='e1', b='e2')} as s, case when gold >= 3 then 1 else 0 end as y from fx_sts),
+g as (select s, sum(y) as y, count(*) as n from s group by s),
+r as (select *, sum(n) over w as cn, sum(y) over w as cy from g window w as (order by s desc rows between unbounded preceding and current row)),
 t as (select count(*) as n, sum(y) as p from s)
-select round(sum(case when y = 1 then cy / pos else 0 end) / max(t.p), 6) as average_precision,
-       round(max(case when pos < t.n then (cy + (t.n - t.p) - (pos - cy)) / t.n end), 6) as best_accuracy,
+select round(sum(r.y * cy / cn) / max(t.p), 6) as average_precision,
+       round(max(case when cn < t.n then (cy + (t.n - t.p) - (cn - cy)) / t.n end), 6) as best_accuracy,
        max(t.n) as n_pairs
 from r, t
 """)

@@ -62,7 +62,7 @@ LANG_GROUPS = {
     "ar": ["ar_MIRACL", "ar_MrTidy"], "bn": ["bn_MIRACL", "bn_MrTidy"],
     "de": ["de_MIRACL"], "es": ["es_MIRACL"], "fa": ["fa_MIRACL"],
     "fi": ["fi_MIRACL", "fi_MrTidy"], "fr": ["fr_MIRACL"], "hi": ["hi_MIRACL"],
-    "id": ["id_MIRACL", "id_MrTidy"], "ja": ["ja_MIRACL", "ja_MrTidy"],
+    "id": ["id_MIRACL", "id_MrTidy"],
     "ko": ["ko_MIRACL", "ko_MrTidy"], "ru": ["ru_MIRACL", "ru_MrTidy"],
     "sw": ["sw_MIRACL", "sw_MrTidy"], "te": ["te_MIRACL", "te_MrTidy"],
     "th": ["th_MIRACL", "th_MrTidy"], "vi": ["vi-HealthQA"], "yo": ["yo_MIRACL"],

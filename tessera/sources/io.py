@@ -22,22 +22,20 @@ def scan_jsonl(spark: SparkSession, path: str, schema, mode: str = "FAILFAST") -
 
 
 def scan_jsonl_lenient(spark: SparkSession, path: str, schema: T.StructType, keep=("_id", "text")) -> DataFrame:
-    """Full-schema strict scan; if any record fails, re-read keeping only
-    ``keep`` (malformed records dropped), other columns as empty strings."""
-    try:
-        df = scan_jsonl(spark, path, schema, "FAILFAST")
-        df.write.format("noop").mode("overwrite").save()  # force the parse
-        return df
-    except Exception:
-        sub = T.StructType([f for f in schema.fields if f.name in keep] +
-                           [T.StructField("_corrupt", T.StringType())])
-        df = (spark.read.schema(sub).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt").json(path))
-        df = df.where(F.col("_corrupt").isNull()).drop("_corrupt")
-        for f in schema.fields:
-            if f.name not in keep:
-                df = df.withColumn(f.name, F.lit("").cast(f.dataType))
-        return df.select(*[f.name for f in schema.fields])
+    """``(records, bad_lines)`` in one permissive pass.  A record whose other
+    columns do not parse keeps ``keep`` and has them null; a line that is no
+    record at all goes to ``bad_lines`` (one column ``line``), none is lost.
+    A missing path or a failed read is an error as ever."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    core = T.StructType([f for f in schema.fields if f.name in keep])
+    full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    narrow = T.StructType([*core.fields, T.StructField("_corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    x = lines.select("value", F.from_json("value", full, options).alias("f"), F.from_json("value", narrow, options).alias("n"))
+    broken = F.col("n").isNull() | F.col("n._corrupt").isNotNull()
+    pick = [(F.col(f"n.{f.name}") if f.name in keep else F.when(F.col("f._corrupt").isNull(), F.col(f"f.{f.name}"))).alias(f.name)
+            for f in schema.fields]
+    return x.where(~broken).select(*pick), x.where(broken).select(F.col("value").alias("line"))
 
 
 def scan_qrels_tsv(spark: SparkSession, qrels_dir: str, glob: str = "*.tsv") -> DataFrame:
@@ -101,12 +99,22 @@ def sink_replace_in_place(spark: SparkSession, path: str, transform, schema) ->
     fs = src.getFileSystem(conf)
     transform(scan_jsonl(spark, path, schema)).write.mode("overwrite").json(str(staging))
     backup = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".__old")
-    fs.rename(src, backup)
-    fs.rename(staging, src)
-    fs.delete(backup, True)
+    _swap(fs, src, staging, backup)
     return scan_jsonl(spark, path, schema)
 
 
+def _swap(fs, src, staging, backup) -> None:
+    """Puts ``staging`` in the place of ``src``; if a step fails, the data that
+    were there are put back and an error is raised."""
+    if not fs.rename(src, backup):
+        raise OSError(f"cannot set {src} aside")
+    if not fs.rename(staging, src):
+        if not fs.rename(backup, src):
+            raise OSError(f"{src} could not be replaced and is kept as {backup}")
+        raise OSError(f"cannot move {staging} to {src}; {src} is as it was")
+    fs.delete(backup, True)
+
+
 def sink_table(df: DataFrame, path: str, partition_by=()) -> DataFrame:
     """Publish under a path as partitioned Parquet; returns the published table."""
     w = df.write.mode("overwrite")

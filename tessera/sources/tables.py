@@ -23,7 +23,7 @@ def fx_corpus(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("_id"),
         F.expr("split_part(text, '\\n', 1)").alias("title"),
-        "text", "lang", "source")
+        "text", "lang", "source", F.col("doc_id").alias("row"))
 
 
 def fx_queries(spark, d) -> DataFrame:
@@ -31,21 +31,14 @@ def fx_queries(spark, d) -> DataFrame:
         F.col("item_id").cast("string").alias("_id"), "text")
 
 
-def fx_qrels(spark, d, max_bench_rows: int = 1_000_000) -> DataFrame:
+def fx_qrels(spark, d) -> DataFrame:
     """Judged pairs: benchmark passage contained in a document (score 1), a
-    score-0 row per query, and ids missing from the corpus for every 5th.
+    score-0 row per query, and ids missing from the corpus for every 5th."""
+    from tessera.operators.containment import contains_pairs
 
-    The containment pairs need a nested-loop join; the benchmark side is
-    broadcast after a row-count check (it is a fixed evaluation set, not a
-    growing table)."""
-    from tessera.operators.joins import broadcast_checked
-
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("btext"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    hits = docs.join(broadcast_checked(b, max_bench_rows, "benchmark"),
-                     F.expr("contains(text, btext)")).select(
-        F.col("item_id").alias("query_id"), F.col("doc_id").alias("corpus_id"),
-        F.lit(1).alias("score"))
+    b = table(spark, d, "benchmark")
+    pairs = contains_pairs(table(spark, d, "documents"), b, "doc_id", "text", "item_id", "text")
+    hits = pairs.select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("corpus_id"), F.lit(1).alias("score"))
     zero = b.select(F.col("item_id").alias("query_id"), F.col("item_id").alias("corpus_id"),
                     F.lit(0).alias("score"))
     missing = b.where(F.col("item_id") % 5 == 0).select(
@@ -84,11 +77,14 @@ def fx_grouped(spark, d) -> DataFrame:
 
 
 def fx_examples(spark, d) -> DataFrame:
+    """All lines of a document: the first is the query, then positives and
+    negatives in turn."""
     lines = F.split(F.col("text"), "\n")
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("lang").alias("dataset"),
         F.col("source").alias("cluster"), lines.getItem(0).alias("query"),
-        F.slice(lines, 2, 4).alias("positive"), F.slice(lines, 6, 8).alias("negative"))
+        F.filter(lines, lambda x, i: i % 2 == 1).alias("positive"),
+        F.filter(lines, lambda x, i: (i > 0) & (i % 2 == 0)).alias("negative"))
 
 
 def fx_vectors(spark, d) -> DataFrame:
@@ -96,19 +92,21 @@ def fx_vectors(spark, d) -> DataFrame:
 
 
 def fx_vec_queries(spark, d) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, d, "embeddings").select(
-        "vec_id", F.col("label").alias("cluster"),
-        F.lead("vec_id", 1).over(w).alias("n1"), F.lead("vec_id", 2).over(w).alias("n2"))
-    return e.where(F.col("vec_id") % 10 == 0).select(
-        "vec_id", "cluster",
-        F.filter(F.array("n1", "n2"), lambda x: x.isNotNull()).alias("positive_ids"))
+    """Every vector; its positives are the first two of the next 30 vectors
+    with its label."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster"))
+    near = e.select("vec_id", "cluster", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("k"))
+    other = e.select(F.col("vec_id").alias("pid"), "cluster")
+    pos = (near.withColumn("pid", F.col("vec_id") + F.col("k")).join(other, ["pid", "cluster"])
+           .groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list("pid")), 1, 2).alias("positive_ids")))
+    return e.join(pos, "vec_id", "left").select(
+        "vec_id", "cluster", F.coalesce("positive_ids", F.array().cast("array<bigint>")).alias("positive_ids"))
 
 
 def fx_token_vectors(spark, d) -> DataFrame:
-    w = Window.partitionBy("label").orderBy("vec_id")
+    """Every 32 vectors in a row are the tokens of one document."""
     return table(spark, d, "embeddings").select(
-        F.col("label").alias("doc"), (F.row_number().over(w) - 1).alias("pos"),
+        F.expr("vec_id div 32").alias("doc"), F.expr("vec_id % 32").alias("pos"),
         F.when(F.col("vec_id") % 4 == 0, 0).otherwise(1).alias("mask"), "embedding")
 
 
