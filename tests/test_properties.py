@@ -119,8 +119,9 @@ def test_batch_plan_is_permutation_minus_tail(spark):
     sizes = p.groupby("batch_order").size()
     assert (sizes == 8).all()
     assert sorted(p.batch_order.unique()) == list(range(len(sizes)))
-    per = p.groupby("batch_order").dataset.nunique()
-    assert (per >= 1).all()
+    # a batch of several datasets is pooled from the short rests, so each dataset is in few
+    mixed = p[p.groupby("batch_order").dataset.transform("nunique") > 1]
+    assert (mixed.groupby("dataset").size() < 8).all()
     # drop_last keeps only single-dataset batches
     q = BT.plan_batches(ex, 8, seed=1, epoch=0, drop_last=True).toPandas()
     assert (q.groupby("batch_order").dataset.nunique() == 1).all()
