@@ -56,6 +56,18 @@ def word_ngrams(pieces, n: int, min_length: int) -> Column:
     )
 
 
+def shingle_hash(col, func: str = "md5", bits: int = 32) -> Column:
+    """Shingle hash of 16, 32 or 64 bits: the first hex digits of md5 or sha1
+    (a 64-bit value as a signed long)."""
+    if func not in ("md5", "sha1") or bits not in (16, 32, 64):
+        raise ValueError(f"{func}, {bits} bits")
+    hexed = F.md5(_c(col).cast("binary")) if func == "md5" else F.sha1(_c(col).cast("binary"))
+    part = lambda at, n: F.conv(F.substring(hexed, at, n), 16, 10).cast("bigint")
+    if bits < 64:
+        return part(1, bits // 4)
+    return F.shiftleft(part(1, 8), 32).bitwiseOR(part(9, 8))
+
+
 def hash28(col) -> Column:
     """Shingle hash: first 7 hex digits of md5 -> [0, 2^28)."""
     return F.conv(F.substring(F.md5(_c(col)), 1, 7), 16, 10).cast("bigint")

@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.order import uniform
-from tessera.plans.registry import QUESTION_INSTRUCTION, RECONSTRUCT_INSTRUCTION
+from tessera.plans.registry import EN_NON_CROSS_BATCH, QUESTION_INSTRUCTION, RECONSTRUCT_INSTRUCTION
 
 
-def select_training_datasets(groups: DataFrame, langs: DataFrame | None) -> DataFrame:
+def select_training_datasets(groups: DataFrame, langs: DataFrame | None, retrieval_only: bool = False) -> DataFrame:
     """Dataset names of the chosen languages (``langs(lang)``; ``None`` =
-    all languages), de-duplicated and sorted."""
+    all languages), de-duplicated and sorted.  ``retrieval_only`` leaves out
+    the English datasets without cross-batch negatives."""
     chosen = groups if langs is None else groups.join(langs, "lang", "left_semi")
+    if retrieval_only:
+        chosen = chosen.where((F.col("lang") != "en") | ~F.col("name").isin(EN_NON_CROSS_BATCH))
     return chosen.select("name").distinct().orderBy("name")
 
 
+def alignment_datasets(routes: DataFrame, reconstruct: bool, alignment: bool) -> DataFrame:
+    """Names for pre-training: those to reconstruct, those to align, or both;
+    neither is an error."""
+    if not reconstruct and not alignment:
+        raise ValueError("choose reconstruction, alignment or both")
+    wanted = ["reconstruct"] * reconstruct + ["passage2query", "query2passage"] * alignment
+    return routes.where(F.col("route").isin(wanted)).select("name", "route").orderBy("name")
+
+
 def route_alignment_task(examples: DataFrame, routes: DataFrame, instructions: DataFrame | None = None,
                          seed: int = 777, key: str = "row_id", dataset: str = "dataset") -> DataFrame:
     """Per example: ``(route, query, answer, instruction)``.

@@ -57,13 +57,34 @@ def plan_batches(rows: DataFrame, batch_size: int, seed: int = 777, epoch: int =
 
 def assign_replica(plan: DataFrame, batch_size: int, world_size: int) -> DataFrame:
     """Row i of the flat plan goes to rank ``i mod R``; the flat length must be
-    divisible by R (the check is one count)."""
+    divisible by R (counted only if R does not divide the batch size)."""
+    if batch_size % world_size:  # every planned batch is full, so the flat length is a multiple of it
+        n = plan.count()
+        if n % world_size:
+            raise ValueError(f"plan of {n} rows is not divisible by {world_size} replicas")
     gp = F.col("batch_order") * F.lit(batch_size) + F.col("pos_in_batch")
-    out = plan.withColumn("global_pos", gp).withColumn("replica", F.pmod(gp, F.lit(world_size)))
-    n = plan.count()
-    if n % world_size:
-        raise ValueError(f"plan of {n} rows is not divisible by {world_size} replicas")
-    return out
+    return plan.withColumn("global_pos", gp).withColumn("replica", F.pmod(gp, F.lit(world_size)))
+
+
+def in_batch_pairs(examples: DataFrame, batch: str, key: str, mode: str = "cross") -> DataFrame:
+    """``(batch, a_key, a_slot, b_key, b_slot, kind)``: the pairs a contrastive
+    loss compares.  The items of an example are its query (slot 0), positives
+    and negatives; query and positives share a label, each negative has its
+    own, so a pair of two items of one label is a ``positive``, any other a
+    ``negative``.  ``cross`` pairs all items of a batch (bounded by the batch
+    size), ``local`` only those of one example."""
+    if mode not in ("cross", "local"):
+        raise ValueError(mode)
+    one = lambda c, own: F.transform(c, lambda _: F.lit(own))
+    items = F.concat(F.array(F.lit(False)), one("positive", False), one("negative", True))
+    x = examples.select(batch, F.col(key).alias("k"), F.posexplode(items).alias("slot", "own"))
+    a = x.select(batch, F.col("k").alias("a_key"), F.col("slot").alias("a_slot"), F.col("own").alias("_a"))
+    b = x.select(batch, F.col("k").alias("b_key"), F.col("slot").alias("b_slot"), F.col("own").alias("_b"))
+    j = a.join(b.withColumnRenamed(batch, "_batch"), [a[batch] == F.col("_batch"), *([F.col("a_key") == F.col("b_key")] if mode == "local" else [])])
+    same = (F.col("a_key") == F.col("b_key"))
+    return j.where(~(same & (F.col("a_slot") == F.col("b_slot")))).select(
+        batch, "a_key", "a_slot", "b_key", "b_slot",
+        F.when(same & ~F.col("_a") & ~F.col("_b"), "positive").otherwise("negative").alias("kind"))
 
 
 def hard_pair_mining(df: DataFrame, batch: str, key: str, label: str, vec: str, epsilon: float = 0.25) -> DataFrame:

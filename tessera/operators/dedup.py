@@ -207,8 +207,22 @@ class NearDupResult:
     n_bands: int
 
 
+def verified(edges: DataFrame, rows: DataFrame, cfg: MinHashConfig, threshold: float) -> DataFrame:
+    """Edges whose texts have a Jaccard similarity of at least ``threshold``
+    over their distinct shingles; ``rows(id, text)``."""
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a one-row generator: later uses read it, not the expression
+    used = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    sh = rows.join(used, "id", "left_semi").select("id", once(tx.word_pieces("text")).alias("w"))
+    sh = sh.select("id", once(tx.word_ngrams("w", cfg.ngram, cfg.min_length)).alias("s"))
+    j = (edges.join(sh.select(F.col("id").alias("src"), F.col("s").alias("a")), "src")
+         .join(sh.select(F.col("id").alias("dst"), F.col("s").alias("b")), "dst"))
+    common = F.size(F.array_intersect("a", "b"))
+    return j.where(common >= threshold * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+
 def near_dup_clusters(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig = REFERENCE_CALLER,
-                      method: str = "auto") -> NearDupResult:
+                      method: str = "auto", verify_threshold: float | None = None) -> NearDupResult:
+    """``verify_threshold`` drops edges of a lower exact similarity."""
     bands_n, rows_n = cfg.band_rows()
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if cfg.min_length > 0:
@@ -221,7 +235,10 @@ def near_dup_clusters(df: DataFrame, id_col: str, text_col: str, cfg: MinHashCon
     rep_rows = d.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
     sig_cfg = MinHashConfig(cfg.ngram, cfg.min_length, cfg.num_perm, cfg.threshold, bands_n, rows_n, cfg.seed)
     sigs = minhash_signature(rep_rows, "id", "text", sig_cfg, method)
-    edges = lsh_star_edges(lsh_bands(sigs, bands_n, rows_n)).unionByName(copy_edges)
+    stars = lsh_star_edges(lsh_bands(sigs, bands_n, rows_n))
+    if verify_threshold is not None:
+        stars = verified(stars, rep_rows, cfg, verify_threshold)
+    edges = stars.unionByName(copy_edges)
     edges = edges.checkpoint(eager=True)
     comp = connected_components(edges, "src", "dst")
     clusters = (d.select("id").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")

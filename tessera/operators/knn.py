@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.text import strip
+
 _OUT = T.StructType([
     T.StructField("qid", T.LongType()), T.StructField("cid", T.LongType()),
     T.StructField("score", T.DoubleType()), T.StructField("ord", T.DoubleType())])
@@ -153,9 +155,9 @@ def hard_negatives(queries: DataFrame, corpus: DataFrame, k: int = 128, skip: in
 
 def attach_negative_texts(neg: DataFrame, corpus_text: DataFrame, c_id: str = "cid",
                           text: str = "text") -> DataFrame:
-    """``(qid, negative array<string>)`` in rank order; texts joined by id
-    after the top-k."""
-    t = corpus_text.select(F.col(c_id).cast("bigint").alias("cid"), F.col(text).alias("_t"))
+    """``(qid, negative array<string>)`` in rank order, stripped; texts joined
+    by id after the top-k."""
+    t = corpus_text.select(F.col(c_id).cast("bigint").alias("cid"), strip(text).alias("_t"))
     j = neg.join(t, "cid")
     return j.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "_t"))).alias("_n")).select(
         "qid", F.col("_n._t").alias("negative"))

@@ -44,5 +44,5 @@ def r6(col, name: str | None = None) -> Column:
 def load_all() -> None:
     """Import the modules that register queries."""
     from tessera.plans import (  # noqa: F401
-        q_builders, q_dedup, q_eval, q_filters, q_io, q_retrieval, q_sampling, q_vectors,
+        q_builders, q_dedup, q_eval, q_filters, q_io, q_recipes, q_retrieval, q_sampling, q_vectors,
     )

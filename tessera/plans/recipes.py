@@ -1,0 +1,48 @@
+"""Recipes: how a source becomes training examples.
+
+A recipe is a row of the registry: what builds its examples, the column its
+rows are deduplicated on first, and how negatives are mined for it later.
+``run_recipe`` applies the parts in the order dedup, build, clean."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import builders as B
+from tessera.operators import dedup as D
+from tessera.operators import joins
+
+
+@dataclass(frozen=True)
+class Recipe:
+    name: str
+    build: Callable[[dict[str, DataFrame]], DataFrame]
+    dedup: tuple[tuple[str, str, str], ...] = ()  # (input, id column, text column)
+    clean: Callable[[DataFrame], DataFrame] | None = None
+    mining: str = "none"
+
+
+def run_recipe(recipe: Recipe, inputs: dict[str, DataFrame], cfg: D.MinHashConfig = D.REFERENCE_CALLER) -> DataFrame:
+    inputs = dict(inputs)
+    for name, key, text in recipe.dedup:
+        inputs[name] = D.dedup(inputs[name], key, text, cfg)
+    out = recipe.build(inputs)
+    return recipe.clean(out) if recipe.clean else out
+
+
+def _beir(x: dict[str, DataFrame]) -> DataFrame:
+    return joins.retrieval_examples(x["qrels"], x["corpus"], x["queries"], order="row")
+
+
+RECIPES = {r.name: r for r in [
+    # corpus and queries lose near copies before the judgements are joined
+    Recipe("beir", _beir, dedup=(("corpus", "_id", "text"), ("queries", "_id", "text")), mining="positive_ids"),
+    Recipe("qa_pairs", lambda x: B.build_pairs(x["pairs"], "query", "positive", keep=("conv_id", "turn")),
+           clean=lambda df: df.where(F.length("query") > 0), mining="none"),
+    Recipe("classification", lambda x: B.classification_to_clustering(x["labelled"], "text", "label_text", "doc_id", window=16, seed=0),
+           clean=lambda df: df.where(F.size("positive") > 0), mining="same_cluster"),
+]}
