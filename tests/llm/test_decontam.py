@@ -19,6 +19,8 @@ def brute(docs, items):
             k = min(5, len(iw))
             grams = lambda v: Counter(tuple(v[j:j + k]) for j in range(len(v) - k + 1))
             ig, m, best = grams(iw), min(len(iw), len(w)), None
+            if not ig.keys() & grams(w).keys():
+                continue  # no window can be similar
             for a in range(len(w) - m + 1):
                 c = grams(w[a:a + m])
                 s = sum((c & ig).values()) / max(1, sum((c | ig).values()))

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import importance
-from tests.llm.conftest import SF
+from .conftest import SF
 
 
 def test_kth_largest(spark):

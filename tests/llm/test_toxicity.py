@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
-from tests.llm.conftest import SF
+from .conftest import SF
 
 SF_MID = "/root/testdata/sf0.1"
 
