@@ -92,7 +92,9 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 64) -> DataFrame:
     none = fps.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).where(F.lit(False))
     if max_bits == 0:
         return none
-    index = _variants(fps, max_bits // 2 + 1)
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = fps.repartition(parts, F.xxhash64("fp"))  # 64 rows come of each, so not in a few tasks
+    index = _variants(dealt, max_bits // 2 + 1)
     sizes = (index.groupBy("bit", "part", "first")
              .agg(F.count(F.lit(1)).alias("n"), F.min("on").alias("lo"), F.max("on").alias("hi"))
              .where((F.col("n") > 1) & (F.col("first") | (F.col("lo") < F.col("hi"))))
