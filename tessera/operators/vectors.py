@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import vectors as vx
+from tessera.operators.dedup import spread
 
 
 # ---------------------------------------------------------------- V2
@@ -56,16 +57,19 @@ class HashingEncoder:
         return out / np.where(n == 0, 1.0, n)
 
 
-def hashing_embedding(df: DataFrame, text_col: str, dim: int = 64, out: str = "embedding") -> DataFrame:
-    """``out: array<double>``: word pieces hashed into ``dim`` buckets (md5),
-    counts L2-normalised; split, hash and counts stay in the JVM."""
+def hashing_embedding(df: DataFrame, key: str, text_col: str, dim: int = 64, out: str = "embedding") -> DataFrame:
+    """``(key, out array<double>)``: word pieces hashed into ``dim`` buckets
+    (md5), counts L2-normalised.  Words are counted per key and bucket, mostly
+    before the shuffle; rows of one key count together."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    bucket = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int"))
-    # a one-row generator keeps the split and the hashes from being repeated per use
-    d = df.withColumn("_b", F.explode(F.array(bucket)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter("_b", lambda x: x == i)))
-    d = d.withColumn("_n", F.explode(F.array(counts))).drop("_b")
-    return d.withColumn(out, vx.l2_normalize("_n")).drop("_n")
+    x = spread(df.select(key, text_col)).select(key, F.explode_outer(words).alias("_w"))
+    bucket = (F.conv(F.substring(F.md5(F.col("_w").cast("binary")), 1, 8), 16, 10).cast("bigint") % dim).cast("int")
+    n = x.groupBy(key, bucket.alias("_b")).agg(F.count("_w").cast("double").alias("_n"))
+    counts = n.groupBy(key).agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("_b").isNotNull(), F.struct("_b", "_n")))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
+    # a one-row generator keeps the vector from being built per use
+    return counts.select(key, F.explode(F.array(dense)).alias("_v")).select(key, vx.l2_normalize("_v").alias(out))
 
 
 def encode_texts(df: DataFrame, text_col: str, encoder_factory=HashingEncoder, out: str = "embedding",

@@ -57,7 +57,7 @@ select _id, dim, round(n / nn, 6) as value from b join n using (_id)
 """)
 def encode_texts(spark, d):
     c = T.fx_corpus(spark, d).select("_id", V.format_encoder_input("text", "passage:", title="title").alias("t"))
-    e = V.hashing_embedding(c, "t", 64).select("_id", F.posexplode("embedding").alias("dim", "value"))
+    e = V.hashing_embedding(c, "_id", "t", 64).select("_id", F.posexplode("embedding").alias("dim", "value"))
     return e.where("value <> 0").select("_id", F.col("dim").cast("bigint").alias("dim"), r6("value"))
 
 

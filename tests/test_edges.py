@@ -138,7 +138,7 @@ def test_one_signature_pass(spark):
 def test_encoders_agree(spark):
     df = spark.createDataFrame([(1, "Some words, some MORE words"), (2, ""), (3, None), (4, "é")], "id long, t string")
     a = {r.id: r.embedding for r in encode_texts(df, "t", lambda: HashingEncoder(16)).collect()}
-    b = {r.id: r.embedding for r in hashing_embedding(df, "t", 16).collect()}
+    b = {r.id: r.embedding for r in hashing_embedding(df, "id", "t", 16).collect()}
     assert all(a[i] == pytest.approx(b[i], abs=1e-6) for i in a)
 
 
