@@ -18,16 +18,19 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import text as tx
 from tessera.operators.components import connected_components
+from tessera.session import scratch_path
 
 PRIME = 2147483647  # 2^31 - 1: a*h + b < 2^59 fits a signed 64-bit integer
 
@@ -207,22 +210,8 @@ class NearDupResult:
     n_bands: int
 
 
-def verified(edges: DataFrame, rows: DataFrame, cfg: MinHashConfig, threshold: float) -> DataFrame:
-    """Edges whose texts have a Jaccard similarity of at least ``threshold``
-    over their distinct shingles; ``rows(id, text)``."""
-    once = lambda c: F.explode(F.array(c))  # noqa: E731  a one-row generator: later uses read it, not the expression
-    used = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    sh = rows.join(used, "id", "left_semi").select("id", once(tx.word_pieces("text")).alias("w"))
-    sh = sh.select("id", once(tx.word_ngrams("w", cfg.ngram, cfg.min_length)).alias("s"))
-    j = (edges.join(sh.select(F.col("id").alias("src"), F.col("s").alias("a")), "src")
-         .join(sh.select(F.col("id").alias("dst"), F.col("s").alias("b")), "dst"))
-    common = F.size(F.array_intersect("a", "b"))
-    return j.where(common >= threshold * (F.size("a") + F.size("b") - common)).select("src", "dst")
-
-
 def near_dup_clusters(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig = REFERENCE_CALLER,
-                      method: str = "auto", verify_threshold: float | None = None) -> NearDupResult:
-    """``verify_threshold`` drops edges of a lower exact similarity."""
+                      method: str = "auto") -> NearDupResult:
     bands_n, rows_n = cfg.band_rows()
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if cfg.min_length > 0:
@@ -236,8 +225,6 @@ def near_dup_clusters(df: DataFrame, id_col: str, text_col: str, cfg: MinHashCon
     sig_cfg = MinHashConfig(cfg.ngram, cfg.min_length, cfg.num_perm, cfg.threshold, bands_n, rows_n, cfg.seed)
     sigs = minhash_signature(rep_rows, "id", "text", sig_cfg, method)
     stars = lsh_star_edges(lsh_bands(sigs, bands_n, rows_n))
-    if verify_threshold is not None:
-        stars = verified(stars, rep_rows, cfg, verify_threshold)
     edges = stars.unionByName(copy_edges)
     edges = edges.checkpoint(eager=True)
     comp = connected_components(edges, "src", "dst")
@@ -246,6 +233,133 @@ def near_dup_clusters(df: DataFrame, id_col: str, text_col: str, cfg: MinHashCon
     return NearDupResult(clusters, edges, bands_n)
 
 
+# ---------------------------------------------------------------- exact similarity join
+MIX = np.uint64(0x9E3779B97F4A7C15)
+SAMPLE = 20_000   # about so many texts are counted for the order of the shingles
+RANKED = 200_000  # the commonest of their shingles get a rank; the order decides costs, not results
+
+
+def _grams(words: np.ndarray, ngram: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the word n-grams of a sequence of word hashes
+    (fewer than ``ngram`` words: one gram), ascending."""
+    w = words.astype(np.int64).view(np.uint64)
+    n = max(1, w.size - ngram + 1)
+    h = w[:n].copy()
+    for i in range(1, min(ngram, w.size)):
+        h = h * MIX + w[i:i + n]
+    return np.unique(h.view(np.int64))
+
+
+def _gram_rows(ngram: int, threshold: float | None = None, ranked=None):
+    """Of ``(id, word hashes)`` the ``(id, n, grams)``; with a threshold only the
+    prefix of the grams, rare ones first, that similar texts must share."""
+    def run(batches):
+        hashes, ranks = ranked.value if ranked is not None else (np.zeros(0, np.int64),) * 2
+        for b in batches:
+            lists, sizes = [], []
+            for w in b.column(1):
+                g = _grams(w.values.to_numpy(), ngram)
+                sizes.append(g.size)
+                if threshold is not None:
+                    rank = np.zeros(g.size, dtype=np.int64)
+                    if hashes.size:
+                        at = np.minimum(np.searchsorted(hashes, g), hashes.size - 1)
+                        rank = np.where(hashes[at] == g, ranks[at], 0)
+                    g = g[np.lexsort((g, rank))][:g.size - math.ceil(threshold * g.size - 1e-9) + 1]
+                lists.append(g)
+            offsets = np.cumsum([0] + [g.size for g in lists]).astype(np.int32)
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["id", "n", "grams"])
+    return run
+
+
+def _gram_table(rows: DataFrame, cfg: MinHashConfig, threshold: float | None = None, ranked=None) -> DataFrame:
+    words = rows.select("id", F.transform(tx.word_pieces("text"), lambda w: F.xxhash64(w)).alias("w"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return words.mapInArrow(_gram_rows(cfg.ngram, threshold, ranked), f"id {kind}, n int, grams array<long>")
+
+
+def _ranked_grams(rows: DataFrame, cfg: MinHashConfig):
+    """``(hashes, ranks)`` of the commonest grams of a sample of texts, for a
+    global order; any order gives the same pairs."""
+    share = 1 << 20
+    part = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(share)) < int(share * min(1.0, SAMPLE / max(rows.count(), 1)))
+    seen = _gram_table(rows.where(part), cfg).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    top = seen.where("c > 1").orderBy(F.desc("c"), "g").limit(RANKED).toPandas()
+    hashes = top["g"].to_numpy(dtype=np.int64)
+    by = np.argsort(hashes)
+    return hashes[by], (len(hashes) - np.arange(len(hashes), dtype=np.int64))[by]
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, cfg: MinHashConfig, threshold: float) -> DataFrame:
+    """The ``(src, dst)`` whose texts have a Jaccard similarity of at least
+    ``threshold`` over their distinct grams."""
+    used = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    g = _gram_table(rows.join(used, "id", "left_semi"), cfg)
+    j = (pairs.join(g.select(F.col("id").alias("src"), F.col("grams").alias("a")), "src")
+         .join(g.select(F.col("id").alias("dst"), F.col("grams").alias("b")), "dst"))
+    common = F.size(F.array_intersect("a", "b"))
+    return j.where(common >= threshold * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def similar_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8,
+                     cfg: MinHashConfig = REFERENCE_CALLER) -> DataFrame:
+    """``(id, cluster)`` of every row passing the filter: connected components of
+    all pairs of texts with a Jaccard similarity of at least ``threshold`` over
+    their distinct word n-grams (compared by 64-bit hashes).
+
+    Texts that similar share a gram of their prefixes, the rarest grams, so an
+    equality join on those finds every pair.  First each bucket's members meet
+    its smallest id only; then those pairs of a bucket that are still in
+    different components meet, so a bucket of near-copies is not squared.
+    """
+    d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    d = d.where(tx.n_word_pieces("text") >= max(cfg.min_length, 1)).withColumn("_th", F.md5(F.col("text")))
+    reps = d.groupBy("_th").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    copies = _stored(d.select("id", "_th").join(reps, "_th").where("id <> rep"), "copies")
+    rows = spread(d.join(copies, ["_th", "id"], "left_anti").select("id", "text"))
+
+    ranked = df.sparkSession.sparkContext.broadcast(_ranked_grams(rows, cfg))
+    keys = _gram_table(rows, cfg, threshold, ranked).select("id", "n", F.posexplode("grams").alias("at", "key"))
+    roots = (keys.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("root"), F.count(F.lit(1)).alias("c"))
+             .where("c > 1").drop("c"))
+    shared = _stored(keys.join(roots, "key"), "prefixes")
+
+    def may(n, at, m, bt):
+        """By length, and by what is left after the first common gram."""
+        most = F.least(n - at, m - bt)
+        return (F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9) & (most >= threshold / (1 + threshold) * (n + m) - 1e-9)
+
+    c = F.col
+    stars = (shared.where((c("id") != c("root.id")) & may(c("n"), c("at"), c("root.n"), c("root.at")))
+             .select(c("id").alias("src"), c("root.id").alias("dst")).distinct())
+    links = _stored(_similar(_stored(stars, "stars"), rows, cfg, threshold), "links")
+
+    comp = connected_components(links, "src", "dst").select(c("node").alias("id"), "component")
+    placed = shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo <> hi").select("key"))
+    open_rows = _stored(placed.join(mixed, "key", "left_semi").where(c("id") != c("root.id")).drop("root"), "open")
+    a, b = open_rows.alias("a"), open_rows.alias("b")
+    rest = (a.join(b, c("a.key") == c("b.key"))
+            .where((c("a.id") > c("b.id")) & (c("a.component") != c("b.component")) & may(c("a.n"), c("a.at"), c("b.n"), c("b.at")))
+            .select(c("a.id").alias("src"), c("b.id").alias("dst")).distinct())
+    more = _similar(_stored(rest, "rest"), rows, cfg, threshold)
+
+    edges = links.unionByName(more).unionByName(copies.select(c("id").alias("src"), c("rep").alias("dst")))
+    comp = connected_components(edges, "src", "dst")
+    return (d.select("id").join(comp.select(c("node").alias("id"), "component"), "id", "left")
+            .select("id", F.coalesce("component", "id").alias("cluster")))
+
+
 def dedup(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig = REFERENCE_CALLER,
           method: str = "auto") -> DataFrame:
     """Rows that pass the piece-count filter and are their cluster's root."""

@@ -1,6 +1,7 @@
 """Unit and property tests for the quirks and invariants of SURVEY §0/§5."""
 
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -168,3 +169,47 @@ def test_signature_paths_agree(spark):
     a = {r.id: list(r.signature) for r in D.minhash_signature(docs, "doc_id", "text", cfg, "arrow").collect()}
     b = {r.id: list(r.signature) for r in D.minhash_signature(docs, "doc_id", "text", cfg, "expr").collect()}
     assert a == b
+
+
+def _all_pairs_clusters(texts: dict, threshold: float) -> dict:
+    sets, top = {}, {}
+    for i, t in texts.items():
+        w = re.split(r"\W", t.lower())
+        if len(w) >= 5:
+            sets[i], top[i] = {" ".join(w[k:k + 5]) for k in range(len(w) - 4)}, i
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+    for x in sets:
+        for y in sets:
+            if x < y and len(sets[x] & sets[y]) >= threshold * len(sets[x] | sets[y]):
+                p, q = find(x), find(y)
+                top[max(p, q)] = min(p, q)
+    return {i: find(i) for i in sets}
+
+
+def test_similar_clusters_equal_all_pairs(spark):
+    """An outlier as the smallest id, pairs right at 0.8, chains, copies, short texts."""
+    rnd = random.Random(5)
+    base = [f"t{i}" for i in range(104)]
+    texts = {0: " ".join(base[:80] + [f"x{i}" for i in range(24)]), 1: " ".join(base), 2: " ".join(base[:103] + ["z"]),
+             3: "a b c d", 4: "a b c d e", 5: "A b c d e", 6: "a b c d e"}
+    texts |= {10 + k: " ".join(f"c{i}" for i in range(k * 8, k * 8 + 104)) for k in range(6)}  # chain, each 0.85 like the next
+    for k in range(150):  # one template with single words changed, about 0.6 to 1 alike
+        w = [f"b{i}" for i in range(60)]
+        for i in rnd.sample(range(60), rnd.randint(0, 3)):
+            w[i] = f"v{rnd.randint(0, 4)}"
+        texts[100 + k] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.cluster for r in D.similar_clusters(df, "doc_id", "text", 0.8).collect()}
+    want = _all_pairs_clusters(texts, 0.8)
+    assert got == want and want[2] == want[1] != want[0] and want[15] == 10
+
+
+def test_verified_clusters_lose_no_link(spark):
+    import __spark_entry__ as E
+    got = {r.doc_id: r.cluster for r in E.queries()["near_dup_clusters_verified"](spark, SF_SMALL).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    assert got == _all_pairs_clusters(texts, 0.8)
