@@ -41,8 +41,9 @@ def route_alignment_task(examples: DataFrame, routes: DataFrame, instructions: D
     - query->passage: u1 < 0.1 -> reconstruct the query; else
       ``(query -> positive)`` with the dataset instruction.
     The positive is element ``1 + floor(u3 * size)``; examples of the two
-    pair routes without any positive are dropped."""
-    j = examples.join(routes.withColumnRenamed("name", dataset), dataset)
+    pair routes without any positive are dropped.  Examples of a dataset
+    without a route are reported: route, answer and instruction are null."""
+    j = examples.join(routes.withColumnRenamed("name", dataset), dataset, "left")
     if instructions is not None:
         j = j.join(instructions, dataset, "left")
     else:
@@ -64,8 +65,9 @@ def route_alignment_task(examples: DataFrame, routes: DataFrame, instructions: D
     instr = (F.when(rt == "reconstruct", rec)
              .when(rt == "passage2query", F.when(p2q_a, dins).when(p2q_b, rec).otherwise(F.lit(QUESTION_INSTRUCTION)))
              .otherwise(F.when(q2p_a, rec).otherwise(dins)))
-    kept = j.where((rt == "reconstruct") | (n > 0))
-    return kept.select(key, dataset, "route", query.alias("query"), answer.alias("answer"), instr.alias("instruction"))
+    kept = j.where(rt.isNull() | (rt == "reconstruct") | (n > 0))
+    return kept.select(key, dataset, "route", query.alias("query"), F.when(rt.isNotNull(), answer).alias("answer"),
+                       F.when(rt.isNotNull(), instr).alias("instruction"))
 
 
 def render_prompts(df: DataFrame, tokens: DataFrame, backbone: str, instruction: str = "instruction",

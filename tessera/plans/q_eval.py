@@ -91,11 +91,16 @@ def quick_subset(spark, d):
     return R.quick_subset(_cells(spark, d), q).select("lang", "dataset", r6("score"))
 
 
-def _sheet(spark):
+def _sheet(spark, cells):
     """Fixture sheet: datasets src0..src19 in numeric order for each language;
-    German lists 'src5.v2'-style names resolved by the '.v2' fallback."""
-    rows = [(lang, i, f"src{i}") for lang in ("de", "en", "es", "fr") for i in range(20)]
-    return spark.createDataFrame(rows, "lang string, pos int, dataset string")
+    German lists 'src5.v2'-style names resolved by the '.v2' fallback.  Other
+    languages and sources that have scores are added, English with all of them;
+    the position is the number of the source, null if it has none."""
+    rows = [(lang, f"src{i}") for lang in ("de", "en", "es", "fr") for i in range(20)]
+    own = cells.select("lang", F.regexp_replace("dataset", r"\.v2$", "").alias("dataset"))
+    sheet = spark.createDataFrame(rows, "lang string, dataset string").union(own).union(own.select(F.lit("en"), "dataset"))
+    pos = F.expr(r"try_cast(regexp_extract(dataset, '^src(\\d+)$', 1) as int)")
+    return sheet.distinct().select("lang", pos.alias("pos"), "dataset")
 
 
 @register("score_sheet", "with " + CELLS_SQL + """,
@@ -107,7 +112,8 @@ select lang, cast(pos as int) as pos, dataset, round(case when s is null and lan
 from s where s is not null or lang = 'en'
 """)
 def score_sheet(spark, d):
-    return R.score_sheet(_sheet(spark), _cells(spark, d)).select("lang", "pos", "dataset", r6("score"))
+    cells = _cells(spark, d)
+    return R.score_sheet(_sheet(spark, cells), cells).select("lang", "pos", "dataset", r6("score"))
 
 
 @register("crosslingual_average", "with " + CELLS_SQL + """
@@ -210,8 +216,8 @@ def _routes_sql():
 
 def _aligned(spark, d):
     m = spark.createDataFrame(ALIGN_NAMES, "lang string, name string, instruction string")
-    ex = T.fx_examples(spark, d).join(m.select(F.col("lang").alias("dataset"), "name"), "dataset")
-    ex = ex.drop("dataset").withColumnRenamed("name", "dataset")
+    ex = T.fx_examples(spark, d).join(m.select(F.col("lang").alias("dataset"), "name"), "dataset", "left")
+    ex = ex.withColumn("dataset", F.coalesce("name", "dataset")).drop("name")  # an unknown language keeps its name
     ins = m.select(F.col("name").alias("dataset"), "instruction")
     return AL.route_alignment_task(ex, REG.alignment_routes(spark), ins, seed=777)
 
@@ -245,9 +251,10 @@ from (select row_id, dataset, query, unnest(range(len(positive))) as pos, unnest
 join m on m.lang = e.dataset
 """)
 def render_prompts(spark, d):
+    """Examples of a language without an instruction have null prompts."""
     m = spark.createDataFrame(ALIGN_NAMES, "dataset string, name string, instruction string")
     ex = T.fx_examples(spark, d).select("row_id", "dataset", "query", F.posexplode("positive").alias("pos", "candidate"))
-    out = AL.render_prompts(ex.join(m, "dataset"), REG.special_tokens(spark), "llama")
+    out = AL.render_prompts(ex.join(m, "dataset", "left"), REG.special_tokens(spark), "llama")
     return out.select("row_id", F.col("pos").cast("bigint").alias("pos"), "query_prompt", "candidate_prompt")
 
 

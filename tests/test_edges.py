@@ -197,3 +197,22 @@ def test_no_private_checkpoint_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_other_languages_and_sources_stay(spark, tmp_path):
+    import __spark_entry__ as E
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    other = spark.createDataFrame([(10 ** 6, "q\np\nn", "it", "src3", 5), (10 ** 6 + 1, "q", None, "web", 1), (10 ** 6 + 2, "q\np", "de", "src40", 3)],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    docs.unionByName(other.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    more = other.select(*[F.col(c) if c == "doc_id" else F.lit(1).cast(labels.schema[c].dataType).alias(c) for c in labels.columns])
+    labels.unionByName(more).write.parquet(f"{tmp_path}/labels.parquet")
+    q = E.queries()
+    routes = {r.row_id: r for r in q["route_alignment_task"](spark, str(tmp_path)).where("row_id >= 1000000").collect()}
+    assert routes[10 ** 6].dataset == "it" and routes[10 ** 6].route is None and routes[10 ** 6 + 1].query == "q"
+    prompts = q["render_prompts"](spark, str(tmp_path)).where("row_id >= 1000000").collect()
+    assert sorted((r.row_id, r.pos, r.query_prompt is None) for r in prompts) == [(10 ** 6, 0, True), (10 ** 6 + 2, 0, False)]
+    sheet = {(r.lang, r.dataset): (r.pos, r.score) for r in q["score_sheet"](spark, str(tmp_path)).collect()}
+    assert sheet["it", "src3"] == (3, 100.0) and sheet["de", "src40"] == (40, 100.0) and sheet["en", "src40"] == (40, 0.0)
+    assert sheet["en", "web"] == (None, 0.0) and len([k for k in sheet if k[1] == "web"]) >= 1
