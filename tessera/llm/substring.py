@@ -1,9 +1,10 @@
-"""Exact substring dedup by relative Lempel-Ziv parsing.
+"""Exact substring dedup by content-cut phrases and window hashes, in place of a
+greedy relative Lempel-Ziv parse: no longest-match factors are formed.
 
 A window is ``window`` consecutive words.  A word goes if some window over it
 also starts in a document with a smaller id.  The reference is the text of all
 smaller ids; it is cut into phrases, indexed in blocks, and every document is
-parsed against it:
+looked up in it:
 
 1. *Phrases.*  Each window has an anchor, the smallest hash of the 5-word runs
    in it; windows in a row with one anchor make a phrase.  A phrase depends on
@@ -14,10 +15,10 @@ parsed against it:
    equal phrases it has read, so a passage that stands in a third of all
    documents sends one row per task; an anchor with many different phrases in
    a task sends two that stand for them, and those phrases go straight to 4.
-3. *Factors.*  A phrase whose words an earlier document has is copied from it:
-   all its windows are duplicates.  Runs of such phrases are the long factors.
-4. *Factor boundaries.*  Where an earlier document has the anchor but no such
-   phrase, a factor may end inside the phrase.  The windows of those phrases
+3. *Copied phrases.*  A phrase whose words an earlier document has is copied
+   from it: all its windows are duplicates.
+4. *Boundaries.*  Where an earlier document has the anchor but no such phrase, a
+   repeat may end inside the phrase.  The windows of those phrases
    alone are looked up one by one, in the same way.
 
 Words are compared by hashes of 128 bits (anchor and phrase, or two window
