@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontam, importance, rules, sharding, simhash, substring, toxicity, urlfilter
+from tessera.llm import bpe, chat, decontam, importance, langid, rules, sharding, simhash, substring, toxicity, urlfilter
 from tessera.llm.catalog import register, table
 from tessera.session import scratch_path
 
@@ -129,3 +129,8 @@ def op10(spark, sf_dir):
 @register("op5_toxicity")
 def op5(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_language_id")
+def op13(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"), scratch_path(spark, "languages"))
