@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontam, importance, langid, rules, sharding, simhash, substring, toxicity, urlfilter
+from tessera.llm import bpe, chat, decontam, importance, langid, lexical, rules, sharding, simhash, substring, toxicity, trie, urlfilter
 from tessera.llm.catalog import register, table
 from tessera.session import scratch_path
 
@@ -70,7 +70,7 @@ def op6(spark, sf_dir):
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as t, {WORDS_SQL} as w from documents),
 l as (select r, unnest(string_split(t, chr(10))) as line from d),
 ll as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup from l
-       where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by r),
+       where regexp_matches(line, '[^\x20\x09-\x0D]') group by r),
 g as (select r, unnest(range(1, len(w) - 6)) as i, w from d where len(w) >= 8),
 gw as (select r, i, array_to_string(w[i:i+7], ' ') as s from g),
 dup as (select r, i from (select r, i, count(*) over (partition by r, s) as c from gw) where c > 1),
@@ -134,3 +134,49 @@ def op5(spark, sf_dir):
 @register("op13_language_id")
 def op13(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"), scratch_path(spark, "languages"))
+
+
+@register("op12_lexical_search", r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+q as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from (select distinct item_id, text from benchmark)),
+tot as (select cast(count(*) as bigint) as nn, cast(sum(len(ts)) as bigint) as ll from d where len(ts) > 0),
+p as (select r, doc_id, t, count(*) as tf, any_value(n) as n from (select r, doc_id, len(ts) as n, unnest(ts) as t from d) group by r, doc_id, t),
+qt as (select item_id, t, count(*) as times from (select item_id, unnest(ts) as t from q) group by item_id, t),
+dfs as (select t, count(*) as df from p group by t),
+w as (select qt.item_id, qt.t, qt.times * cast(floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double)) as bigint) as w from qt join dfs using (t), tot),
+s as (select w.item_id, p.r, p.doc_id, cast(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * nn) // ll)))) as bigint) as score
+      from w join p using (t), tot group by w.item_id, p.r, p.doc_id),
+k as (select *, row_number() over (partition by item_id order by score desc, doc_id nulls first) as rank from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from k where rank <= 10""")
+def op12(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch_path(spark, "lexical"))
+
+
+@register("op11_prefix_trie", """
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+             row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+           from conversations where conv_id is not null),
+n as (select conv_id, count(*) as n from t group by conv_id),
+h as (select conv_id, n, conv_id - conv_id % 5 as base, xor(list_reduce(
+        [4294967295::bigint] || flatten(list_transform(string_split(conv_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1])),
+        lambda a, b: case when b >= 0 then xor(a, b) else xor(a >> 1, (a & 1) * 3988292384) end), 4294967295) % 9 as h from n),
+i as (select h.*, least(h.h, coalesce(b.n, 0)) as taken from h left join n b on b.conv_id = h.base),
+r as (select i.conv_id, t.pos, t.role, t.text from i join t on t.conv_id = i.base and t.pos <= i.h
+      union all select i.conv_id, t.pos - i.h + i.taken, t.role, t.text from i join t on t.conv_id = i.conv_id and t.pos > i.h),
+w as (select conv_id, pos, strlen(text) as b, string_agg(md5(length(role) || ':' || role || text), '') over (partition by conv_id order by pos) as k from r),
+z as (select i.conv_id, coalesce(max(r.pos), 0) as len from i left join r using (conv_id) group by i.conv_id),
+m as (select conv_id, 0 as d, '' as k, 0 as b, len from z union all select conv_id, pos, k, b, len from w join z using (conv_id)),
+nodes as (select d, k, left(k, greatest(length(k) - 32, 0)) as pk, min(conv_id) as conv_id, count(*) as n_convs, max(b) as b,
+                 coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len = d), '') as ends from m group by d, k),
+kids as (select d - 1 as d, pk as k, count(*) as n_children from nodes where d > 0 group by d, pk),
+x as (select nodes.*, coalesce(n_children, 0) as n_children from nodes left join kids using (d, k)),
+sub as (select v.d, v.k, sum((u.n_children = 0)::int) as n_leaves, sum((u.n_convs - 1) * u.b) as saved_tokens
+        from x v join x u on u.d >= v.d and starts_with(u.k, v.k) group by v.d, v.k)
+select x.conv_id, cast(x.d as bigint) as depth, p.conv_id as parent_conv_id, x.n_convs, x.n_children, cast(n_leaves as bigint) as n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, sha256(x.ends) as ends_sha256
+from x join sub on sub.d = x.d and sub.k = x.k left join x p on x.d > 0 and p.d = x.d - 1 and p.k = x.pk""")
+def op11(spark, sf_dir):
+    turns, sizes = trie.shared_heads(trie.placed_turns(table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(turns, sizes)
