@@ -1,115 +1,329 @@
 """Exact k nearest neighbours and hard-negative mining.
 
-Plan: the corpus is hash-split into ``buckets``; queries are split into
-``query_blocks``.  Group ``(bucket, qblock)`` gets the bucket's corpus rows
-and the block's query rows through a ``cogroup`` (each corpus row is copied
-once per query block, each query row once per bucket - the data volume is
-N*QB + Q*B, never N*Q).  Inside the group numpy computes the score matrix
-block-wise and keeps a local top-k (ties at the cut kept); a final
-per-query rank over <= B*k candidates gives the exact top-k, ties broken by
-corpus id.  Texts are joined only after the top-k (ids travel, not strings).
+Metric partitioning.  A few corpus rows are pivots; every row belongs to the
+cell of its nearest pivot and keeps its distance to it.  Cells are packed into
+groups of bounded bytes (a large cell is split), queries into blocks in the order
+of their own nearest pivots.  The triangle inequality bounds from below what any
+row at pivot distances [low, high] can score against a query:
+
+    |q - x| >= max(|q - p| - high, low - |q - p|)         l2 and cosine
+    q.x     <= q.p + |q| high                             inner product
+
+Round 1 sends every query to the group of its own cell, which gives an upper
+bound of its k-th best.  Round 2 sends it to just those other groups whose bound
+is still open.  Inside a group a cell is cut into rings of sorted pivot
+distances; a block of queries first meets its nearest rings, then only those
+that some query's bound leaves open.  Whatever is skipped cannot hold a result:
+the answer is exact (ties by id), with pruning or without.
+
+A group returns at most ``k`` rows per query.  Where nothing can be pruned (no
+structure, many dimensions), each query meets every row once, in matrix
+products.  Texts are joined only after the top-k (ids travel, not strings).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.text import strip
+from tessera.session import scratch_path
+
+METRICS = ("l2", "ip", "cosine")
+PIVOTS, SAMPLE = 256, 2048  # cells, and rows that they are chosen from
+RING = 1024                 # rows of a cell that share a bound inside a group
+LOOSE = 4e-6                # bounds are widened by this share of the lengths involved: above the rounding of distances
+_OUT = "qid long, cid long, score double, ord double"
+
+
+# ---------------------------------------------------------------- bounds
+def _rows(col) -> np.ndarray:
+    """Matrix of a list column without nulls."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray, mid: np.ndarray) -> np.ndarray:
+    """Euclidean distances, taken from ``mid``, so that a common offset costs no digits."""
+    a, b = x - mid, pivots - mid
+    return np.sqrt(np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)))
+
 
-_OUT = T.StructType([
-    T.StructField("qid", T.LongType()), T.StructField("cid", T.LongType()),
-    T.StructField("score", T.DoubleType()), T.StructField("ord", T.DoubleType())])
-
-
-def _matrix(vals) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vals])
-
-
-def _local_topk(k: int, metric: str, cells: int = 1 << 22):
-    """Exact local top-k.  Matrix products only nominate: they are off by a few
-    roundings of the squared norms, so all within that of the cut are kept and
-    ranked by the distance computed directly."""
-    def fn(cdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
-        if len(cdf) == 0 or len(qdf) == 0:
-            return pd.DataFrame({"qid": [], "cid": [], "score": [], "ord": []})
-        C = _matrix(cdf["cvec"])
-        cids = cdf["cid"].to_numpy(dtype=np.int64)
-        if metric == "cosine":
-            C = C / np.maximum(np.linalg.norm(C, axis=1, keepdims=True), 1e-300)
-        cn = (C * C).sum(axis=1)
-        out_q, out_c, out_s, out_o = [], [], [], []
-        qids_all = qdf["qid"].to_numpy(dtype=np.int64)
-        qblock_rows = max(1, cells // len(C))
-        slack = 8 * np.finfo(np.float64).eps * (C.shape[1] + 4)
-        for s in range(0, len(qdf), qblock_rows):
-            Q = _matrix(qdf["qvec"].iloc[s:s + qblock_rows])
-            qids = qids_all[s:s + qblock_rows]
-            if metric == "cosine":
-                Q = Q / np.maximum(np.linalg.norm(Q, axis=1, keepdims=True), 1e-300)
-            S = Q @ C.T
-            if metric == "l2":
-                ordm = (Q * Q).sum(axis=1)[:, None] + cn[None, :] - 2.0 * S
+def lower_bounds(metric: str, q: np.ndarray, pivots: np.ndarray, mid: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """By query and ring the least ``ord`` (smaller is better) that a row can
+    have whose distance to the ring's pivot is in [low, high]."""
+    if metric == "ip":
+        size = np.linalg.norm(q, axis=1)[:, None]
+        far = np.linalg.norm(pivots, axis=1) + np.linalg.norm(pivots - mid, axis=1) + high
+        return -(q @ pivots.T + size * high + LOOSE * size * far)
+    dist = _distances(q, pivots, mid)
+    loose = LOOSE * (np.linalg.norm(q - mid, axis=1)[:, None] + np.linalg.norm(pivots - mid, axis=1) + high)
+    gap = np.maximum(np.maximum(dist - high, low - dist) - loose, 0.0)
+    return gap * gap if metric == "l2" else gap * gap / 2 - 1 - LOOSE
+
+
+@dataclass
+class Cells:
+    """The cells of a corpus: pivot, least and greatest distance to it, rows,
+    first group and number of groups.  One entry per pivot."""
+
+    metric: str
+    pivots: np.ndarray
+    mid: np.ndarray  # distances are taken from here
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    first: np.ndarray | None = None
+    parts: np.ndarray | None = None
+
+    @property
+    def n_groups(self) -> int:
+        return int((self.first + self.parts).max())
+
+    def pack(self, rows_per_group: int) -> None:
+        """Small cells share a group, large ones are split."""
+        self.parts = np.maximum(1, -(-self.rows // rows_per_group))
+        self.first, group, held = np.zeros(len(self.rows), dtype=np.int64), 0, 0
+        for i, n in enumerate(self.rows):
+            if held and held + n > rows_per_group:
+                group, held = group + 1, 0
+            self.first[i] = group
+            if self.parts[i] > 1:
+                group, held = group + int(self.parts[i]), 0
             else:
-                ordm = -S
-            kk = min(k, C.shape[0])
-            part = np.argpartition(ordm, kk - 1, axis=1)[:, :kk]
-            cut = np.take_along_axis(ordm, part, axis=1).max(axis=1)
-            cut = cut + slack * ((Q * Q).sum(axis=1) + cn.max())
-            for i in range(Q.shape[0]):
-                cand = np.nonzero(ordm[i] <= cut[i])[0]
-                if metric == "l2":
-                    d = ((C[cand] - Q[i]) ** 2).sum(axis=1)
-                    o, sc = d, d
-                else:
-                    sc = C[cand] @ Q[i]
-                    o = -sc
-                order = np.lexsort((cids[cand], o))[:kk]
-                out_q.append(np.full(len(order), qids[i], dtype=np.int64))
-                out_c.append(cids[cand][order])
-                out_s.append(sc[order])
-                out_o.append(o[order])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c),
-                             "score": np.concatenate(out_s), "ord": np.concatenate(out_o)})
-    return fn
+                held += n
+
+    def open_groups(self, q: np.ndarray, home: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
+        """Per query the groups, but for its home, that can hold a row with
+        ``ord`` of at most ``most``."""
+        near = lower_bounds(self.metric, q, self.pivots, self.mid, self.low, self.high) <= most[:, None]
+        of_cell = [range(f, f + n) for f, n in zip(self.first.tolist(), self.parts.tolist())]
+        out = []
+        for i in range(len(q)):
+            found = {g for c in np.flatnonzero(near[i]) for g in of_cell[c]}
+            out.append(np.array(sorted(found - {int(home[i])}), dtype=np.int64))
+        return out
+
+
+# ---------------------------------------------------------------- one group
+def _nominate(ordm: np.ndarray, k: int, slack: np.ndarray) -> list[np.ndarray]:
+    """Columns per row that can be among the ``k`` smallest once rounding is
+    taken out."""
+    kk = min(k, ordm.shape[1])
+    cut = np.partition(ordm, kk - 1, axis=1)[:, kk - 1] + slack
+    return [np.flatnonzero(ordm[i] <= cut[i]) for i in range(len(ordm))]
+
+
+def block_topk(metric: str, k: int, x: np.ndarray, ids: np.ndarray, rings: list[slice], bounds: np.ndarray, q: np.ndarray,
+               most: np.ndarray, seen: dict | None = None) -> list[tuple[np.ndarray, ...]]:
+    """Per query ``(ids, scores, ords)`` of the best ``k`` rows of a group with
+    ``ord`` of at most ``most`` (the bound known so far).  ``bounds`` are the
+    ``lower_bounds`` by query and ring; ``seen`` counts those pairs and the
+    ones that were skipped."""
+    sizes = np.array([r.stop - r.start for r in rings])
+    mid = x.mean(axis=0) if metric == "l2" else 0.0  # distances do not change, digits are kept
+    xc, qc = x - mid, q - mid
+    xn, qn = (xc * xc).sum(axis=1), (qc * qc).sum(axis=1)
+    slack = 8 * np.finfo(np.float64).eps * (x.shape[1] + 4) * (qn + xn.max())
+
+    def scores(rows: np.ndarray) -> np.ndarray:
+        s = qc @ xc[rows].T
+        return qn[:, None] + xn[rows][None, :] - 2.0 * s if metric == "l2" else -s
+
+    nearest = np.argsort(bounds.min(axis=0), kind="stable")
+    wanted = np.searchsorted(np.cumsum(sizes[nearest]), max(4 * k, RING)) + 1
+    done = nearest[:wanted]
+    rows = np.concatenate([np.arange(rings[r].start, rings[r].stop) for r in done])
+    ordm = scores(rows)
+    if len(rows) >= k:
+        most = np.minimum(most, np.partition(ordm, k - 1, axis=1)[:, k - 1] + slack)
+    open_rings = np.setdiff1d(np.flatnonzero((bounds <= most[:, None]).any(axis=0)), done)
+    if seen is not None:
+        seen["pairs"] += len(q) * len(rings)
+        seen["skipped"] += len(q) * (len(rings) - len(done) - len(open_rings))
+    if len(open_rings):
+        more = np.concatenate([np.arange(rings[r].start, rings[r].stop) for r in open_rings])
+        ordm, rows = np.hstack([ordm, scores(more)]), np.concatenate([rows, more])
+    out = []
+    for i, cand in enumerate(_nominate(ordm, k, slack)):
+        at = rows[cand]
+        if metric == "l2":
+            score = o = ((x[at] - q[i]) ** 2).sum(axis=1)
+        else:
+            score = x[at] @ q[i]
+            o = -score
+        keep = o <= most[i] + slack[i]
+        at, score, o = at[keep], score[keep], o[keep]
+        best = np.lexsort((ids[at], o))[:k]
+        out.append((ids[at[best]], score[best], o[best]))
+    return out
+
+
+def _group_topk(shared, k: int, counts=None, cells: int = 1 << 22):
+    """A group's rows and a block of queries -> each query's best there."""
+    def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
+        none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], ["qid", "cid", "score", "ord"])
+        if not corpus.num_rows or not queries.num_rows:
+            return none
+        own: Cells = shared.value
+        corpus = corpus.sort_by([("cell", "ascending"), ("dist", "ascending")])
+        queries = queries.sort_by([("cell", "ascending"), ("qid", "ascending")])
+        x, ids = _rows(corpus["cvec"]), corpus["cid"].to_numpy()
+        cell, dist = corpus["cell"].to_numpy(), corpus["dist"].to_numpy()
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        rings = [slice(a, min(a + RING, end)) for s, end in zip(starts, [*starts[1:], len(cell)]) for a in range(s, end, RING)]
+        of = np.array([cell[r.start] for r in rings])
+        low, high = np.array([dist[r.start] for r in rings]), np.array([dist[r.stop - 1] for r in rings])
+        q_all, most = _rows(queries["qvec"]), queries["most"].to_numpy()
+        qid = queries["qid"].to_numpy()
+        step, seen, parts = max(1, cells // len(x)), {"pairs": 0, "skipped": 0}, []
+        for at in range(0, len(q_all), step):
+            q = q_all[at:at + step]
+            bounds = lower_bounds(own.metric, q, own.pivots[of], own.mid, low, high)
+            found = block_topk(own.metric, k, x, ids, rings, bounds, q, most[at:at + step], seen)
+            parts += [(np.full(len(c), qid[at + i]), c, s, o) for i, (c, s, o) in enumerate(found)]
+        if counts:
+            counts[0].add(seen["pairs"])
+            counts[1].add(seen["skipped"])
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts)], ["qid", "cid", "score", "ord"])
+
+    return run
+
+
+# ---------------------------------------------------------------- plan
+def _placed(df: DataFrame, id_col: str, vec_col: str, names: tuple[str, str], metric: str, pivots: np.ndarray, mid: np.ndarray) -> DataFrame:
+    """``(id, vector, cell, dist)`` of the rows with a vector, stored."""
+    shared = df.sparkSession.sparkContext.broadcast((pivots, mid))  # at most PIVOTS vectors
+    rows = df.select(F.col(id_col).cast("bigint").alias(names[0]), F.col(vec_col).cast("array<double>").alias(names[1])).where(f"{names[1]} is not null")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _rows(b.column(1))
+            x = _unit(x) if metric == "cosine" else x
+            d = _distances(x, *shared.value)
+            cell = d.argmin(axis=1)
+            at = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(at, pa.array(x.ravel())), pa.array(cell),
+                                              pa.array(d[np.arange(len(x)), cell])], [*names, "cell", "dist"])
+
+    path = scratch_path(df.sparkSession, "cells")
+    rows.mapInArrow(run, f"{names[0]} long, {names[1]} array<double>, cell long, dist double").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _choose_pivots(corpus: DataFrame, c_id: str, c_vec: str, metric: str) -> np.ndarray:
+    """Rows with the smallest hashes: at most ``PIVOTS``, few for a small table."""
+    own = corpus.where(F.col(c_vec).isNotNull()).select(F.col(c_id).cast("bigint").alias("cid"), F.col(c_vec).cast("array<double>").alias("v"))
+    got = own.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()
+    if not got.num_rows:
+        return np.zeros((0, 0))
+    x = _rows(got["v"])[:max(1, min(PIVOTS, got.num_rows // 8))]
+    return np.unique(_unit(x) if metric == "cosine" else x, axis=0)
+
+
+def _blocks(cell_rows: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of the queries of a cell: about equal
+    runs of cells, a large cell split."""
+    rows = np.array([cell_rows.get(c, 0) for c in range(max(cell_rows, default=0) + 1)], dtype=np.int64)
+    per = max(1, -(-int(rows.sum()) // n))
+    before = np.cumsum(rows) - rows
+    return np.minimum(before // per, n - 1), np.maximum(1, -(-rows // per))
 
 
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
              q_id: str = "qid", q_vec: str = "qvec", c_id: str = "cid", c_vec: str = "cvec",
              buckets: int | None = None, query_blocks: int | None = None,
-             rows_per_bucket: int = 100_000, block_bytes: int = 128 << 20) -> DataFrame:
+             group_bytes: int = 64 << 20, block_bytes: int = 64 << 20, counts=None) -> DataFrame:
     """``(qid, rank, cid, score)``: the exact ``k`` best corpus rows per query.
-    A block has so many queries that its results (32 bytes each, ``k`` a query)
-    stay within ``block_bytes``.
 
     ``metric``: ``l2`` (squared distance, ascending - the flat-index default),
-    ``ip`` (inner product, descending) or ``cosine``."""
+    ``ip`` (inner product, descending) or ``cosine``.  A group holds about
+    ``group_bytes`` of vectors, a block so many queries that its results (32
+    bytes each) stay within ``block_bytes``; ``buckets`` and ``query_blocks``
+    set their numbers instead.  ``counts``: two accumulators for the (query,
+    ring) pairs met and those of them skipped.  Rows without a vector are left
+    out."""
+    if metric not in METRICS:
+        raise ValueError(metric)
     spark = corpus.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    if buckets is None:
-        n = corpus.count()
-        buckets = max(slots, math.ceil(n / rows_per_bucket))
+    pivots = _choose_pivots(corpus, c_id, c_vec, metric)
+    if not len(pivots):
+        return spark.createDataFrame([], "qid long, rank int, cid long, score double")
+    mid = pivots.mean(axis=0)
+    c = _placed(corpus, c_id, c_vec, ("cid", "cvec"), metric, pivots, mid)
+    stats = c.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).orderBy("cell").collect()
+    number = np.array([r["cell"] for r in stats])  # of the pivots with rows; at most PIVOTS
+    own = Cells(metric, pivots[number], mid, *(np.array([r[f] for r in stats]) for f in ("low", "high", "n")))
+    n_rows = int(own.rows.sum())
+    own.pack(max(1, -(-n_rows // buckets) if buckets else group_bytes // (8 * pivots.shape[1])))
+    renumber = {int(old): new for new, old in enumerate(number)}
+    q = _placed(queries, q_id, q_vec, ("qid", "qvec"), metric, own.pivots, mid)
+    asked = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_queries = sum(asked.values())
     if query_blocks is None:
-        nq = queries.count()
-        query_blocks = max(1, math.ceil(nq / max(1, block_bytes // (32 * k))))
-    c = corpus.select(F.col(c_id).cast("bigint").alias("cid"), F.col(c_vec).alias("cvec"))
-    c = c.withColumn("bucket", F.pmod(F.xxhash64("cid"), F.lit(buckets)))
-    c = c.withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    q = queries.select(F.col(q_id).cast("bigint").alias("qid"), F.col(q_vec).alias("qvec"))
-    q = q.withColumn("qblock", F.pmod(F.xxhash64("qid"), F.lit(query_blocks)))
-    q = q.withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    local = (c.groupBy("bucket", "qblock").cogroup(q.groupBy("bucket", "qblock"))
-             .applyInPandas(_local_topk(k, metric), _OUT))
+        query_blocks = max(math.ceil(n_queries / max(1, block_bytes // (32 * k))),
+                           min(math.ceil(n_queries / 64), spark.sparkContext.defaultParallelism // own.n_groups))
+    first_block, n_blocks = _blocks(asked, max(1, query_blocks))
+
+    def pick(values, col="cell"):
+        return F.element_at(F.lit([int(v) for v in values]).cast("array<long>"), (F.col(col) + 1).cast("int"))
+
+    def spread(key: str, first, parts):
+        return pick(first) + F.pmod(F.xxhash64(key, F.lit(7)), pick(parts))
+
+    if list(renumber) != list(range(len(pivots))):
+        c = c.withColumn("cell", pick([renumber.get(i, 0) for i in range(len(pivots))]))
+    c = c.withColumn("grp", spread("cid", own.first, own.parts))
+    q = q.withColumn("grp", spread("qid", own.first, own.parts))
+    q = q.withColumn("block", F.least(spread("qid", first_block, n_blocks), F.lit(max(1, query_blocks) - 1)))
+    shared = spark.sparkContext.broadcast(own)
+
+    def meet(sent: DataFrame) -> DataFrame:
+        pairs = sent.select(F.col("grp").alias("_g"), F.col("block").alias("_b")).distinct()  # a group goes to the blocks that ask for it
+        there = c.join(pairs, F.col("grp") == F.col("_g")).select("grp", F.col("_b").alias("block"), "cid", "cvec", "cell", "dist")
+        return (there.groupBy("grp", "block").cogroup(sent.select("grp", "block", "qid", "qvec", "cell", "most").groupBy("grp", "block"))
+                .applyInArrow(_group_topk(shared, k, counts), _OUT))
+
+    found = meet(q.withColumn("most", F.lit(float("inf"))))
+    if own.n_groups > 1:
+        path = scratch_path(spark, "home")
+        found.write.parquet(path)
+        found = spark.read.parquet(path)
+        worst = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("most"))
+        q = q.join(worst, "qid", "left").withColumn("most", F.when(F.col("n") >= k, F.col("most")).otherwise(float("inf"))).drop("n")
+        found = found.unionByName(meet(_open(q, shared)))
     w = Window.partitionBy("qid").orderBy("ord", "cid")
-    ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("qid", "rank", "cid", "score")
 
 
+def _open(q: DataFrame, shared) -> DataFrame:
+    """A row per query and further group that its bound leaves open."""
+    columns = ["block", "qid", "qvec", "cell", "most"]
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            groups = shared.value.open_groups(_rows(b.column(2)), b.column(5).to_numpy(), b.column(4).to_numpy())
+            at = pa.array(np.repeat(np.arange(len(groups)), list(map(len, groups))))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(5)), pa.array(np.concatenate(groups))], [*columns, "grp"])
+
+    return q.select(*columns, "grp").mapInArrow(run, "block long, qid long, qvec array<double>, cell long, most double, grp long")
+
+
 def rank_slice(ranked: DataFrame, skip: int, take: int | None, key: str = "qid",
                order=("rank",), out: str = "rank") -> DataFrame:
     """Ranks ``(skip, skip + take]`` after re-ranking by ``order`` within key
