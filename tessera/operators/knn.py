@@ -18,7 +18,8 @@ the answer is exact (ties by id), with pruning or without.
 
 A group returns at most ``k`` rows per query.  Where nothing can be pruned (no
 structure, many dimensions), each query meets every row once, in matrix
-products.  Texts are joined only after the top-k (ids travel, not strings).
+products.  A corpus that is one group is broadcast to the queries where they
+are.  Texts are joined only after the top-k (ids travel, not strings).
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ METRICS = ("l2", "ip", "cosine")
 PIVOTS, SAMPLE = 256, 2048  # cells, and rows that they are chosen from
 RING = 1024                 # rows of a cell that share a bound inside a group
 LOOSE = 4e-6                # bounds are widened by this share of the lengths involved: above the rounding of distances
-_OUT = "qid long, cid long, score double, ord double"
+_OUT, _NAMES = "qid long, cid long, score double, ord double", ["qid", "cid", "score", "ord"]
 
 
 # ---------------------------------------------------------------- bounds
@@ -79,9 +80,9 @@ class Cells:
     metric: str
     pivots: np.ndarray
     mid: np.ndarray  # distances are taken from here
-    low: np.ndarray
-    high: np.ndarray
-    rows: np.ndarray
+    low: np.ndarray | None = None
+    high: np.ndarray | None = None
+    rows: np.ndarray | None = None
     first: np.ndarray | None = None
     parts: np.ndarray | None = None
 
@@ -168,33 +169,58 @@ def block_topk(metric: str, k: int, x: np.ndarray, ids: np.ndarray, rings: list[
     return out
 
 
-def _group_topk(shared, k: int, counts=None, cells: int = 1 << 22):
+class Group:
+    """The rows of a group, cut into rings of their cells."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, cell: np.ndarray, dist: np.ndarray):
+        by = np.lexsort((dist, cell))
+        self.x, self.ids, cell, dist = x[by], ids[by], cell[by], dist[by]
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.rings = [slice(a, min(a + RING, end)) for s, end in zip(starts, [*starts[1:], len(cell)]) for a in range(s, end, RING)]
+        self.cell = np.array([cell[r.start] for r in self.rings])
+        self.low, self.high = np.array([dist[r.start] for r in self.rings]), np.array([dist[r.stop - 1] for r in self.rings])
+
+    def answer(self, own: Cells, k: int, qid: np.ndarray, q: np.ndarray, most: np.ndarray, counts=None, cells: int = 1 << 22) -> list[np.ndarray]:
+        """``qid, cid, score, ord`` of the best of every query; near queries
+        should stand side by side."""
+        step, seen, parts = max(1, cells // len(self.x)), {"pairs": 0, "skipped": 0}, []
+        for at in range(0, len(q), step):
+            some = q[at:at + step]
+            bounds = lower_bounds(own.metric, some, own.pivots[self.cell], own.mid, self.low, self.high)
+            found = block_topk(own.metric, k, self.x, self.ids, self.rings, bounds, some, most[at:at + step], seen)
+            parts += [(np.full(len(c), qid[at + i]), c, s, o) for i, (c, s, o) in enumerate(found)]
+        if counts:
+            counts[0].add(seen["pairs"])
+            counts[1].add(seen["skipped"])
+        return [np.concatenate(c) for c in zip(*parts)]
+
+
+def _group_topk(shared, k: int, counts=None):
     """A group's rows and a block of queries -> each query's best there."""
     def run(corpus: pa.Table, queries: pa.Table) -> pa.Table:
-        none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], ["qid", "cid", "score", "ord"])
+        none = pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], _NAMES)
         if not corpus.num_rows or not queries.num_rows:
             return none
         own: Cells = shared.value
-        corpus = corpus.sort_by([("cell", "ascending"), ("dist", "ascending")])
+        group = Group(_rows(corpus["cvec"]), *(corpus[c].to_numpy() for c in ("cid", "cell", "dist")))
         queries = queries.sort_by([("cell", "ascending"), ("qid", "ascending")])
-        x, ids = _rows(corpus["cvec"]), corpus["cid"].to_numpy()
-        cell, dist = corpus["cell"].to_numpy(), corpus["dist"].to_numpy()
-        starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        rings = [slice(a, min(a + RING, end)) for s, end in zip(starts, [*starts[1:], len(cell)]) for a in range(s, end, RING)]
-        of = np.array([cell[r.start] for r in rings])
-        low, high = np.array([dist[r.start] for r in rings]), np.array([dist[r.stop - 1] for r in rings])
-        q_all, most = _rows(queries["qvec"]), queries["most"].to_numpy()
-        qid = queries["qid"].to_numpy()
-        step, seen, parts = max(1, cells // len(x)), {"pairs": 0, "skipped": 0}, []
-        for at in range(0, len(q_all), step):
-            q = q_all[at:at + step]
-            bounds = lower_bounds(own.metric, q, own.pivots[of], own.mid, low, high)
-            found = block_topk(own.metric, k, x, ids, rings, bounds, q, most[at:at + step], seen)
-            parts += [(np.full(len(c), qid[at + i]), c, s, o) for i, (c, s, o) in enumerate(found)]
-        if counts:
-            counts[0].add(seen["pairs"])
-            counts[1].add(seen["skipped"])
-        return pa.table([pa.array(np.concatenate(c)) for c in zip(*parts)], ["qid", "cid", "score", "ord"])
+        out = group.answer(own, k, queries["qid"].to_numpy(), _rows(queries["qvec"]), queries["most"].to_numpy(), counts)
+        return pa.table([pa.array(c) for c in out], _NAMES)
+
+    return run
+
+
+def _whole_topk(shared, k: int, counts=None):
+    """Queries against a corpus that is a single group."""
+    def run(batches):
+        own, group = shared.value
+        for b in batches:
+            if b.num_rows:
+                q, qid = _rows(b.column(1)), b.column(0).to_numpy()
+                q = _unit(q) if own.metric == "cosine" else q
+                by = np.lexsort((qid, _distances(q, own.pivots, own.mid).argmin(axis=1)))
+                out = group.answer(own, k, qid[by], q[by], np.full(len(q), np.inf), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], _NAMES)
 
     return run
 
@@ -222,14 +248,10 @@ def _placed(df: DataFrame, id_col: str, vec_col: str, names: tuple[str, str], me
     return df.sparkSession.read.parquet(path)
 
 
-def _choose_pivots(corpus: DataFrame, c_id: str, c_vec: str, metric: str) -> np.ndarray:
-    """Rows with the smallest hashes: at most ``PIVOTS``, few for a small table."""
-    own = corpus.where(F.col(c_vec).isNotNull()).select(F.col(c_id).cast("bigint").alias("cid"), F.col(c_vec).cast("array<double>").alias("v"))
-    got = own.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()
-    if not got.num_rows:
-        return np.zeros((0, 0))
-    x = _rows(got["v"])[:max(1, min(PIVOTS, got.num_rows // 8))]
-    return np.unique(_unit(x) if metric == "cosine" else x, axis=0)
+def _sample(corpus: DataFrame, c_id: str, c_vec: str) -> pa.Table:
+    """``(cid, cvec)`` of the rows with the smallest hashes: all of a small table."""
+    own = corpus.where(F.col(c_vec).isNotNull()).select(F.col(c_id).cast("bigint").alias("cid"), F.col(c_vec).cast("array<double>").alias("cvec"))
+    return own.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toArrow()
 
 
 def _blocks(cell_rows: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,16 +279,27 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
     if metric not in METRICS:
         raise ValueError(metric)
     spark = corpus.sparkSession
-    pivots = _choose_pivots(corpus, c_id, c_vec, metric)
-    if not len(pivots):
+    some = _sample(corpus, c_id, c_vec)
+    if not some.num_rows:
         return spark.createDataFrame([], "qid long, rank int, cid long, score double")
+    x = _unit(_rows(some["cvec"])) if metric == "cosine" else _rows(some["cvec"])
+    pivots = np.unique(x[:max(1, min(PIVOTS, len(x) // 8))], axis=0)
     mid = pivots.mean(axis=0)
+    if len(x) < SAMPLE and buckets is None:  # that was the whole corpus
+        d = _distances(x, pivots, mid)
+        cell = d.argmin(axis=1)
+        return _ranked(_from_one_group(queries, q_id, q_vec, Cells(metric, pivots, mid), x, some["cid"].to_numpy(), cell,
+                                       d[np.arange(len(x)), cell], k, counts), k)
     c = _placed(corpus, c_id, c_vec, ("cid", "cvec"), metric, pivots, mid)
     stats = c.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).orderBy("cell").collect()
+    n_rows, rows_per_group = sum(r["n"] for r in stats), group_bytes // (8 * pivots.shape[1])
+    if n_rows <= rows_per_group and buckets is None:
+        t = c.toArrow()  # at most group_bytes
+        return _ranked(_from_one_group(queries, q_id, q_vec, Cells(metric, pivots, mid), _rows(t["cvec"]),
+                                       *(t[n].to_numpy() for n in ("cid", "cell", "dist")), k, counts), k)
     number = np.array([r["cell"] for r in stats])  # of the pivots with rows; at most PIVOTS
     own = Cells(metric, pivots[number], mid, *(np.array([r[f] for r in stats]) for f in ("low", "high", "n")))
-    n_rows = int(own.rows.sum())
-    own.pack(max(1, -(-n_rows // buckets) if buckets else group_bytes // (8 * pivots.shape[1])))
+    own.pack(max(1, -(-n_rows // buckets) if buckets else rows_per_group))
     renumber = {int(old): new for new, old in enumerate(number)}
     q = _placed(queries, q_id, q_vec, ("qid", "qvec"), metric, own.pivots, mid)
     asked = {r["cell"]: r["n"] for r in q.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -277,7 +310,8 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
     first_block, n_blocks = _blocks(asked, max(1, query_blocks))
 
     def pick(values, col="cell"):
-        return F.element_at(F.lit([int(v) for v in values]).cast("array<long>"), (F.col(col) + 1).cast("int"))
+        table = F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<long>")  # folded to a constant
+        return F.element_at(table, (F.col(col) + 1).cast("int"))
 
     def spread(key: str, first, parts):
         return pick(first) + F.pmod(F.xxhash64(key, F.lit(7)), pick(parts))
@@ -303,9 +337,20 @@ def knn_topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2",
         worst = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("ord").alias("most"))
         q = q.join(worst, "qid", "left").withColumn("most", F.when(F.col("n") >= k, F.col("most")).otherwise(float("inf"))).drop("n")
         found = found.unionByName(meet(_open(q, shared)))
+    return _ranked(found, k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("qid").orderBy("ord", "cid")
-    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("qid", "rank", "cid", "score")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "rank", "cid", "score")
+
+
+def _from_one_group(queries: DataFrame, q_id: str, q_vec: str, own: Cells, x, ids, cell, dist, k: int, counts) -> DataFrame:
+    """The corpus, of bounded bytes, goes to every task of the queries."""
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast((own, Group(x, ids, cell, dist)))
+    q = queries.select(F.col(q_id).cast("bigint").alias("qid"), F.col(q_vec).cast("array<double>").alias("qvec")).where("qvec is not null")
+    return q.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(_whole_topk(shared, k, counts), _OUT)
 
 
 def _open(q: DataFrame, shared) -> DataFrame:

@@ -60,7 +60,7 @@ def test_pruned_equals_brute_force_and_skips(spark, metric):
         if metric == "l2":  # of 256 cells, most lie in groups that a query is not sent to
             assert 0 < counts[0].value < 429 * 256 / 4
     whole = sc.accumulator(0), sc.accumulator(0)
-    rows = list(enumerate(clustered(6000, 8, 300, 1)))
+    rows = list(enumerate(clustered(6000, 8, 300, 1)))  # one group, stored first
     K.knn_topk(*frames(spark, rows, rows[:300]), 6, metric, counts=whole).count()
     assert whole[1].value > 0 or metric == "ip"
 
