@@ -115,17 +115,16 @@ def shingle_hash_sha1(spark, d):
     return hs.select("doc_id", F.array_min("h").alias("min_hash"), F.array_max("h").alias("max_hash"))
 
 
-@register("near_dup_clusters_verified", "with recursive " + _edges_sql(SMALL).lstrip() + """,
-copies as (select d.doc_id as src, min(d.doc_id) over (partition by md5(d.text)) as dst from documents d join f on f.id = d.doc_id),
-v as (select e.src, e.dst from edges e join s a on a.id = e.src join s b on b.id = e.dst
-      where len(list_intersect(a.sh, b.sh)) >= 0.8 * (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)))
-      union select src, dst from copies where src <> dst),
+@register("near_dup_clusters_verified", "with recursive " + _sig_sql(1).lstrip() + """,
+g as materialized (select id, hash(unnest(sh)) as g, len(sh) as n from s),
+c as (select a.id as src, b.id as dst, count(*) as common, any_value(a.n + b.n) as n from g a join g b on a.g = b.g and a.id > b.id
+      where least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) group by a.id, b.id),
+v as (select src, dst from c where common >= 0.8 * (n - common)),
 und as (select src as a, dst as b from v union select dst, src from v),
 cc(node, comp) as (select a, a from und union select und.b, cc.comp from cc join und on und.a = cc.node),
 comps as (select node, min(comp) as component from cc group by node)
 select f.id as doc_id, coalesce(c.component, f.id) as cluster from f left join comps c on c.node = f.id
 """)
 def near_dup_clusters_verified(spark, d):
-    """All pairs at 0.8; the SQL above knows only links to the smallest id of
-    an LSH bucket, so its clusters can be finer."""
+    """All pairs of texts with a similarity of 0.8."""
     return D.similar_clusters(T.table(spark, d, "documents"), "doc_id", "text", 0.8).select(F.col("id").alias("doc_id"), "cluster")
