@@ -442,9 +442,9 @@ def _encoder(lexicon: str, tokenizer: str) -> Encoder:
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           limit: int = LEXICON_WORDS) -> DataFrame:
+           limit: int = LEXICON_WORDS, decode: bool = True) -> DataFrame:
     """``(id_col, ids, decoded)`` of every row: the ids as little-endian
-    unsigned 32-bit integers, and the text that they decode to."""
+    unsigned 32-bit integers, and (with ``decode``) the text that they decode to."""
     lexicon = build_lexicon(docs, tokenizer, text_col, limit)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -452,12 +452,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encoder = _encoder(lexicon, tokenizer)
         for b in text_slices(batches, 1 << 21):
             ids, counts = encoder.encode(utf8(b.column(1)))
-            texts = encoder.decode(ids, counts)
             ends = np.cumsum(counts)
             raw = [ids[a:z].astype("<u4").tobytes() for a, z in zip(ends - counts, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(raw, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "ids", "decoded"])
+            made = {"id": b.column(0), "ids": pa.array(raw, pa.binary())}
+            if decode:
+                made["decoded"] = pa.array(encoder.decode(ids, counts), pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_pydict(made)
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, ids binary" + ", decoded string" * decode).withColumnRenamed("id", id_col)
 

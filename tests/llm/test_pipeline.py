@@ -78,13 +78,24 @@ def test_stages_take_hard_rows(spark, docs_of):
         assert bool(got) == bool(given)
 
 
+def test_near_dedup_keeps_every_distinct_text(spark, docs_of):
+    """Ids may repeat or be missing: what stays is a row per component."""
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "twelve red blue green yellow")
+    stage = corpus_pipeline.simhash_near_dedup
+    kept = lambda rows: sorted(((r.doc_id, r.text) for r in stage(spark, docs_of(rows), SF).collect()), key=str)
+    assert kept([(1, a), (5, a), (5, b), (9, c)]) == [(1, a), (5, b), (9, c)]
+    assert kept([(None, a), (None, a), (None, b), (3, b), (None, c)]) == [(3, b), (None, a), (None, c)]
+    assert kept([(7, a), (7, a), (7, a)]) == [(7, a)]
+    assert kept([(i % 3, [a, b, c][i % 3]) for i in range(300)] + [(None, a)] * 100) == [(0, a), (1, b), (2, c)]
+
+
 catalog.load_all()
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
