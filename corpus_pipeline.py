@@ -26,12 +26,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id.  Rows that
-    repeat that id are copies by id, so one of them stays; documents without
-    an id cannot be told apart by one and stay."""
-    kept = (simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct())
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """One document of each component of fingerprints: the one with the
+    smallest id (rows without an id come last), then the smallest fingerprint,
+    then the smallest hash of its columns.  The operator runs on row numbers,
+    so rows that share an id, or have none, are told apart."""
+    path = scratch_path(spark, "numbered")
+    docs.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)  # numbers that a second reading repeats
+    rows = spark.read.parquet(path)
+    own = rows.select(F.col("_row").alias("doc_id"), "text")
+    found = simhash.near_duplicates(own).select(F.col("doc_id").alias("_row"), "fingerprint", "component_id")
+    keys = rows.select("_row", "doc_id", F.xxhash64(*docs.columns).alias("_hash"))  # no text goes through the join
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("fingerprint").alias("c"),
+                     F.col("_hash").alias("d"), F.col("_row").alias("e"))
+    first = found.join(keys, "_row").groupBy("component_id").agg(F.min(order).alias("o")).select(F.col("o.e").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +61,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids)``."""
-    out = bpe.encode(docs, TOKENIZER)
+    out = bpe.encode(docs, TOKENIZER, decode=False)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
