@@ -24,8 +24,10 @@ def sq_norm(a) -> Column:
 
 
 def l2_normalize(a) -> Column:
-    n = F.sqrt(sq_norm(a))
-    return F.transform(_c(a), lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    """The norm is a one-element array's element, so it is computed once per
+    vector and not for each of its elements."""
+    norm = F.array(F.sqrt(sq_norm(a)))
+    return F.transform(norm, lambda n: F.transform(_c(a), lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))[0]
 
 
 def cosine(a, b) -> Column:

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.order import order_key
-from tessera.operators.ranking import dense_index, rank_in_group
+from tessera.operators.ranking import dense_index, rank_in_group, running_sum
 
 
 def rank_in_group_random(df: DataFrame, group: str, key: str, seed: int = 0, out: str = "rn") -> DataFrame:
@@ -122,6 +125,62 @@ def global_row_ids(df: DataFrame, dataset: str = "dataset", key: str = "row_id",
     return r.join(offs, dataset).withColumn(out, F.col("_off") + F.col("_local") - 1).drop("_off", "_local")
 
 
+def rows_of_global_ids(ids: DataFrame, sizes: DataFrame, id_col: str = "global_id", dataset: str = "dataset",
+                       size: str = "n", order=None, few: int = 4096) -> DataFrame:
+    """Global ids back to rows: ``ids`` with ``dataset`` and ``local_row``.
+
+    ``sizes`` has a row per dataset, in the order of ``global_row_ids``; empty
+    datasets hold no id.  Negative ids count from the end, and an id out of
+    range is an error when it is read.  Up to ``few`` datasets are a sorted
+    array of offsets that each batch of ids is searched in; more are merged with
+    the ids in ranges of both."""
+    named = sizes.select(F.col(dataset).alias("_ds"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [dataset])], F.col(size).alias("_n"))
+    keys = [c for c in named.columns if c.startswith("_o")]
+    if len(head := named.orderBy(*keys).limit(few + 1).collect()) <= few:
+        return _searched(ids, head, id_col, dataset, sizes.schema[dataset].dataType)
+    offsets = running_sum(named, keys, ["_n"]).select("_ds", "_pos", (F.col("cum__n") - F.col("_n")).alias("_off"), "cum__n")
+    total = offsets.agg(F.max("cum__n")).first()[0]
+    asked = ids.withColumn("_at", _in_range(id_col, total))
+    given = [F.col(c).alias(f"_i{i}") for i, c in enumerate(ids.columns)]
+    marks = offsets.select(F.col("_off").alias("_at"), F.lit(0).alias("_asked"), F.col("_pos").alias("_tie"), F.struct("_pos", "_off", "_ds").alias("_mark"))
+    both = marks.unionByName(asked.select("_at", F.lit(1).alias("_asked"), F.monotonically_increasing_id().alias("_tie"), *given), allowMissingColumns=True)
+    by = ["_at", "_asked", "_tie"]  # the last one spreads an id that is asked for often
+    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    s = both.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_pid", F.shiftright("_mid", 33)).checkpoint()
+    ends = {r["_pid"]: r["m"] for r in s.where("_mark is not null").groupBy("_pid").agg(F.max("_mark").alias("m")).collect()}  # a row per partition
+    carried, so_far = [], (None, None, None)
+    for p in range(n):
+        carried.append((p, *so_far))
+        so_far = ends.get(p, so_far)
+    kind = marks.schema["_mark"].dataType
+    ahead = ids.sparkSession.createDataFrame(carried, T.StructType([T.StructField("_pid", T.LongType()), *[T.StructField(f"_c{f.name}", f.dataType) for f in kind.fields]]))
+    w = Window.partitionBy("_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)  # a range of the sort
+    j = s.withColumn("_own", F.last("_mark", ignorenulls=True).over(w)).where("_asked = 1").join(F.broadcast(ahead), "_pid")
+    return j.select(*[F.col(f"_i{i}").alias(c) for i, c in enumerate(ids.columns)], F.coalesce("_own._ds", "_c_ds").alias(dataset),
+                    (F.col("_at") - F.coalesce("_own._off", "_c_off")).alias("local_row"))
+
+
+def _in_range(id_col: str, total: int):
+    at = F.when(F.col(id_col) < 0, F.col(id_col) + total).otherwise(F.col(id_col))
+    return F.when(at.between(0, total - 1) | at.isNull(), at).otherwise(F.raise_error(F.concat(F.lit("no row has the global id "), F.col(id_col).cast("string"))))
+
+
+def _searched(ids: DataFrame, datasets: list, id_col: str, dataset: str, kind) -> DataFrame:
+    names, ends = [r["_ds"] for r in datasets], np.cumsum([r["_n"] for r in datasets], dtype=np.int64)
+    starts = ends - [r["_n"] for r in datasets]
+
+    @F.pandas_udf(T.StructType([T.StructField("d", kind), T.StructField("r", T.LongType())]))
+    def find(at: pd.Series) -> pd.DataFrame:
+        known = at.notna().to_numpy()
+        x = at.fillna(0).to_numpy(dtype=np.int64)
+        i = np.minimum(np.searchsorted(ends, x, side="right"), len(ends) - 1)
+        return pd.DataFrame({"d": [names[j] if k else None for j, k in zip(i, known)], "r": pd.Series(x - starts[i], dtype="Int64").mask(~known)})
+
+    found = ids.withColumn("_at", _in_range(id_col, int(ends[-1]) if len(ends) else 0)).withColumn("_f", find("_at"))
+    return found.select(*ids.columns, F.col("_f.d").alias(dataset), F.col("_f.r").alias("local_row"))
+
+
 def training_view(examples: DataFrame, registry: DataFrame, k_pos: int = 1, k_neg: int = 1, seed: int = 0,
                   dataset: str = "dataset", key: str = "row_id") -> DataFrame:
     """Example + instruction + cross-batch flag (default true) + sampled

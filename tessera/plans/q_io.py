@@ -101,6 +101,19 @@ def sink_if_absent(spark, d):
     return spark.read.schema(PAIR_SCHEMA).json(path)
 
 
+@register("run_stages", """
+select conv_id, turn, query, positive from fx_pairs where len(regexp_extract_all(query, '\\S+')) > 3
+""")
+def run_stages(spark, d):
+    """Load and filter as resumable stages; the second run finds both published."""
+    root = scratch_path(spark, "stages")
+    stages = [("load", lambda x: T.fx_pairs(spark, d)), ("long", lambda x: x["load"].where(P.short_query_predicate("query", 3)))]
+    first, second = (io.run_stages(spark, root, stages, version=d) for _ in range(2))
+    if not all(first.values()) or any(second.values()):
+        raise RuntimeError("a published stage was run again")
+    return spark.read.schema(PAIR_SCHEMA).parquet(f"{root}/long-*")
+
+
 @register("sink_replace_in_place", """
 select query, array_to_string(positive, chr(31)) as positive, array_to_string(negative, chr(31)) as negative
 from fx_examples where len(positive) > 0 and len(negative) > 0

@@ -161,6 +161,38 @@ def global_row_ids(spark, d):
     return S.global_row_ids(e, "dataset", "row_id").select("dataset", "row_id", "global_id")
 
 
+def _asked_rows_sql(group: str) -> str:
+    return f"""
+with x as (select {group} as dataset, row_id from fx_examples),
+r as (select dataset, row_number() over (partition by dataset order by row_id) - 1 as local_row from x),
+s as (select dataset, coalesce(sum(n) over (order by dataset rows between unbounded preceding and 1 preceding), 0) as off
+      from (select dataset, count(*) as n from x group by dataset)),
+g as (select r.dataset, r.local_row, s.off + r.local_row as place, (select count(*) from x) as total from r join s using (dataset))
+select cast(place as bigint) as asked, dataset, cast(local_row as bigint) as local_row from g
+union all select cast(place - total as bigint), dataset, cast(local_row as bigint) from g"""
+
+
+def _asked_rows(spark, d, group: str, few: int):
+    e = T.fx_examples(spark, d).select(F.col(group).alias("dataset"), "row_id")
+    ids = S.global_row_ids(e, "dataset", "row_id").select(F.col("global_id").alias("asked"))
+    total = ids.agg(F.count(F.lit(1))).first()[0]
+    sizes = e.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
+    both = ids.unionByName(ids.select((F.col("asked") - total).alias("asked")))  # every row from the front and from the end
+    return S.rows_of_global_ids(both, sizes, "asked", few=few).select("asked", "dataset", "local_row")
+
+
+@register("rows_of_global_ids", _asked_rows_sql("dataset"))
+def rows_of_global_ids(spark, d):
+    """Every global id back to its dataset and row there, by binary search."""
+    return _asked_rows(spark, d, "dataset", 4096)
+
+
+@register("rows_of_global_ids_merged", _asked_rows_sql("cluster"))
+def rows_of_global_ids_merged(spark, d):
+    """The same with one dataset per source, by the merge that many datasets take."""
+    return _asked_rows(spark, d, "cluster", 0)
+
+
 def registry_for(spark):
     """Fixture registry rows for the example datasets (one per language)."""
     rows = [("de", "Retrieve German passages.", False), ("en", "Retrieve passages.", True),

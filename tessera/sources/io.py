@@ -5,7 +5,11 @@ checkpoint folder's file system in tests)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,14 +83,82 @@ def sink_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
-def sink_if_absent(df: DataFrame, path: str) -> bool:
-    """Write unless output exists; True when written."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    exists = p.getFileSystem(conf).exists(p)
-    df.write.mode("ignore").json(path)
-    return not exists
+MARKER = "_PUBLISHED"  # readers skip names with an underscore
+
+
+def _fs(spark: SparkSession, path: str):
+    """The path and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, path: str) -> dict | None:
+    """What the marker of a published output says: schema, rows, the version
+    of its input; None for a folder that is absent or not complete."""
+    p, fs = _fs(spark, f"{path.rstrip('/')}/{MARKER}")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)  # one short line, below a name that Spark's readers skip
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def publish(df: DataFrame, path: str, version: str = "", fmt: str = "json") -> dict:
+    """Writes ``df`` beside ``path``, sets the marker and moves both there by
+    one rename.  A folder there that was never published gives way; a
+    published one is an error."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    if published(spark, path):
+        raise FileExistsError(path)
+    target, fs = _fs(spark, path)
+    staging, _ = _fs(spark, f"{path}.__staging-{uuid.uuid4().hex[:12]}")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format(fmt).save(str(staging))
+    said = {"schema": df.schema.jsonValue(), "rows": seen.get["rows"], "version": version}
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(staging, MARKER))
+    try:
+        out.write(json.dumps(said).encode())
+    finally:
+        out.close()
+    if fs.exists(target):  # half-written: it has no marker
+        fs.delete(target, True)
+    if not fs.rename(staging, target):
+        raise OSError(f"cannot move {staging} to {target}")
+    if not published(spark, path):  # another writer was first, and the rename went below its folder
+        raise OSError(f"{path} was written by another run")
+    return said
+
+
+def sink_if_absent(df: DataFrame, path: str, version: str = "", fmt: str = "json") -> bool:
+    """Write unless the output is published; True when written.  A published
+    output of another input version is an error, not skipped."""
+    have = published(df.sparkSession, path)
+    if have is None:
+        publish(df, path, version, fmt)
+        return True
+    if have["version"] != version:
+        raise ValueError(f"{path} was made from version {have['version']!r}, not {version!r}")
+    return False
+
+
+def run_stages(spark: SparkSession, root: str, stages, version: str = "", fmt: str = "parquet") -> dict[str, bool]:
+    """Resumable stages: ``stages`` are (name, function of the outputs so far by
+    name); each is published below ``root`` and read again by the later ones.
+    A published stage is skipped, its function not even called.  The version
+    of a stage takes in its name and the version of the one before, so a new
+    input version goes to new folders.  Returns which stages were run."""
+    done, ran = {}, {}
+    for name, make in stages:
+        version = hashlib.sha256(f"{version}/{name}".encode()).hexdigest()[:16]
+        path = f"{root.rstrip('/')}/{name}-{version}"
+        ran[name] = published(spark, path) is None
+        if ran[name]:
+            publish(make(done), path, version, fmt)
+        schema = T.StructType.fromJson(published(spark, path)["schema"])
+        done[name] = spark.read.schema(schema).format(fmt).load(path)
+    return ran
 
 
 def sink_replace_in_place(spark: SparkSession, path: str, transform, schema) -> DataFrame:
