@@ -36,13 +36,14 @@ def short_query_predicate(query: str = "query", min_words: int = 3) -> Column:
 
 
 def gated_short_query_filter(df: DataFrame, query: str = "query", gate: int = 1000,
-                             min_words: int = 3) -> DataFrame:
-    """Apply the short-query filter only if more than ``gate`` rows are present.
+                             min_words: int = 3, dataset: str = "dataset") -> DataFrame:
+    """Apply the short-query filter to the datasets of more than ``gate`` rows.
 
-    The gate is a scalar aggregate computed first (a count action), then the
-    filter is a plain predicate - no join with the aggregate."""
-    n = df.count()
-    return df.where(short_query_predicate(query, min_words)) if n > gate else df
+    The counts are one row per dataset and join back by name (a null name is a
+    dataset too); nothing runs before the result is asked for."""
+    counts = df.groupBy(F.col(dataset).alias("_ds")).agg(F.count(F.lit(1)).alias("_n"))
+    j = df.join(counts, F.col(dataset).eqNullSafe(F.col("_ds")))
+    return j.where((F.col("_n") <= gate) | short_query_predicate(query, min_words)).select(*df.columns)
 
 
 def clean_funnel(df: DataFrame, dataset: str = "dataset", gate: int = 1000,
@@ -66,9 +67,7 @@ def clean_dataset(df: DataFrame, dataset: str = "dataset", gate: int = 1000, min
     """The rows the funnel keeps, for all datasets at once: the gate is per
     dataset, taken from the grouped counts (one row per dataset)."""
     kept = df.where((F.size("positive") > 0) & (F.size("negative") > 0))
-    counts = kept.groupBy(dataset).agg(F.count(F.lit(1)).alias("_n"))
-    j = kept.join(counts, dataset)
-    return j.where((F.col("_n") <= gate) | short_query_predicate("query", min_words)).drop("_n")
+    return gated_short_query_filter(kept, "query", gate, min_words, dataset)
 
 
 def label_equals(df: DataFrame, col: str, value) -> DataFrame:

@@ -52,7 +52,7 @@ def require_pos_neg(spark, d):
 
 @register("gated_short_query_filter", f"""
 with k as (select * from fx_examples where len(positive) > 0 and len(negative) > 0)
-select row_id, query from k where (select count(*) from k) <= 1000 or {WORDS_SQL.format(c='query')} > 3
+select row_id, query from (select *, count(*) over (partition by dataset) as n from k) where n <= 1000 or {WORDS_SQL.format(c='query')} > 3
 """)
 def gated_short_query_filter(spark, d):
     k = P.require_pos_neg(T.fx_examples(spark, d))

@@ -128,16 +128,18 @@ def assign_replica(spark, d):
 
 
 @register("batch_min_truncate", "with p as (" + _plan_sql(False).strip() + f"""),
-e as (select p.batch_order, x.row_id, {_SAMPLE_ARR.format(arr='x.positive', tag='positive', k=2).replace('row_id', 'x.row_id')} as sp
+e as (select p.batch_order, x.row_id, {_SAMPLE_ARR.format(arr='x.positive', tag='positive', k=2).replace('row_id', 'x.row_id')} as sp,
+             {_SAMPLE_ARR.format(arr='x.negative', tag='negative', k=2).replace('row_id', 'x.row_id')} as sn
       from p join fx_examples x using (row_id))
-select row_id, array_to_string(sp[1:m], chr(31)) as positive from (select *, min(len(sp)) over (partition by batch_order) as m from e)
+select row_id, array_to_string(sp[1:m], chr(31)) as positive, array_to_string(sn[1:mn], chr(31)) as negative
+from (select *, min(len(sp)) over (partition by batch_order) as m, min(len(sn)) over (partition by batch_order) as mn from e)
 """)
 def batch_min_truncate(spark, d):
     e = T.fx_examples(spark, d)
     p = BT.plan_batches(e, B, seed=SEED, epoch=0).select("batch_order", "row_id")
-    j = p.join(e.select("row_id", "positive"), "row_id")
-    t = S.batch_min_truncate(j, "batch_order", cols=("positive",), k=2, seed=0, row_key="row_id")
-    return t.select("row_id", joined("positive"))
+    j = p.join(e.select("row_id", "positive", "negative"), "row_id")
+    t = S.batch_min_truncate(j, "batch_order", cols=("positive", "negative"), k=2, seed=0, row_key="row_id")
+    return t.select("row_id", joined("positive"), joined("negative"))
 
 
 @register("batch_flag_all", "with p as (" + _plan_sql(False).strip() + """)

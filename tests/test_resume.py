@@ -85,3 +85,12 @@ def test_normalising_takes_linear_time(spark):
 
     got = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>").select(l2_normalize("v").alias("v")).collect()
     assert [r.v for r in got] == [[0.6, 0.8], [0.0, 0.0], None]
+
+
+def test_gate_is_per_dataset(spark):
+    """A dataset above the gate loses its short queries, one at the gate keeps them; a null name is a dataset."""
+    from tessera.operators import filters as P
+
+    rows = [("big", "two words")] * 5 + [("big", "now there are five words")] + [("small", "two words")] * 3 + [(None, "two words")] * 4
+    got = P.gated_short_query_filter(spark.createDataFrame(rows, "dataset string, query string"), gate=3).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("big", "now there are five words")] + [("small", "two words")] * 3, key=str)
