@@ -165,26 +165,27 @@ def signature_expr(hashes: Column, num_perm: int, seed: int = 42) -> Column:
 
 
 def minhash_signature(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig,
-                      method: str = "auto") -> DataFrame:
-    """``(id, signature array<bigint>)`` for rows passing the piece-count filter."""
-    d = spread(df.select(F.col(id_col).alias("id"), tx.word_pieces(text_col).alias("w")))
+                      method: str = "auto", keep=()) -> DataFrame:
+    """``(id, *keep, signature array<bigint>)`` for rows passing the piece-count filter."""
+    d = spread(df.select(F.col(id_col).alias("id"), *keep, tx.word_pieces(text_col).alias("w")))
     if cfg.min_length > 0:
         d = d.where(F.size("w") >= cfg.min_length)
     hs = shingle_hashes("w", cfg.ngram, cfg.min_length)
     if method == "expr":
-        return d.select("id", signature_expr(hs, cfg.num_perm, cfg.seed).alias("signature"))
-    return d.select("id", signature_udf(cfg.num_perm, cfg.seed)(hs).alias("signature"))
+        return d.select("id", *keep, signature_expr(hs, cfg.num_perm, cfg.seed).alias("signature"))
+    return d.select("id", *keep, signature_udf(cfg.num_perm, cfg.seed)(hs).alias("signature"))
 
 
 # ---------------------------------------------------------------- LSH
-def lsh_bands(sigs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``(id, band, k1, k2)``: the band's R values hashed to 128 bits."""
+def lsh_bands(sigs: DataFrame, bands: int, rows: int, within=()) -> DataFrame:
+    """``(id, band, k1, k2)``: the band's R values, and the columns ``within``
+    which two rows can meet, hashed to 128 bits."""
     keyed = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda bi: F.struct(
             bi.alias("band"),
-            F.xxhash64(F.slice("signature", bi * rows + 1, rows)).alias("k1"),
-            F.xxhash64(F.lit("lsh"), F.slice("signature", bi * rows + 1, rows)).alias("k2")))
+            F.xxhash64(F.slice("signature", bi * rows + 1, rows), *within).alias("k1"),
+            F.xxhash64(F.lit("lsh"), F.slice("signature", bi * rows + 1, rows), *within).alias("k2")))
     return sigs.select("id", F.inline(keyed))
 
 
@@ -211,20 +212,23 @@ class NearDupResult:
 
 
 def near_dup_clusters(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig = REFERENCE_CALLER,
-                      method: str = "auto") -> NearDupResult:
+                      method: str = "auto", within=()) -> NearDupResult:
+    """Clusters of the rows that pass the piece-count filter; rows that differ
+    in a column of ``within`` (a language, say) are never copies."""
     bands_n, rows_n = cfg.band_rows()
-    d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    within = list(within)
+    d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *within)
     if cfg.min_length > 0:
         d = d.where(tx.n_word_pieces("text") >= cfg.min_length)
     d = d.withColumn("_th", F.md5(F.col("text")))
     # exact copies: one representative (smallest id) per distinct text
-    reps = d.groupBy("_th").agg(F.min("id").alias("rep"))
-    copy_edges = (d.join(reps, "_th").where(F.col("id") != F.col("rep"))
+    reps = d.groupBy("_th", *within).agg(F.min("id").alias("rep"))
+    copy_edges = (d.join(reps, ["_th", *within]).where(F.col("id") != F.col("rep"))
                   .select(F.col("id").alias("src"), F.col("rep").alias("dst")))
-    rep_rows = d.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text")
+    rep_rows = d.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text", *within)
     sig_cfg = MinHashConfig(cfg.ngram, cfg.min_length, cfg.num_perm, cfg.threshold, bands_n, rows_n, cfg.seed)
-    sigs = minhash_signature(rep_rows, "id", "text", sig_cfg, method)
-    stars = lsh_star_edges(lsh_bands(sigs, bands_n, rows_n))
+    sigs = minhash_signature(rep_rows, "id", "text", sig_cfg, method, within)
+    stars = lsh_star_edges(lsh_bands(sigs, bands_n, rows_n, within))
     edges = stars.unionByName(copy_edges)
     edges = edges.checkpoint(eager=True)
     comp = connected_components(edges, "src", "dst")
@@ -304,7 +308,7 @@ def _similar(pairs: DataFrame, rows: DataFrame, cfg: MinHashConfig, threshold: f
     return j.where(common >= threshold * (F.size("a") + F.size("b") - common)).select("src", "dst")
 
 
-def _stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -324,14 +328,14 @@ def similar_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     d = d.where(tx.n_word_pieces("text") >= max(cfg.min_length, 1)).withColumn("_th", F.md5(F.col("text")))
     reps = d.groupBy("_th").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    copies = _stored(d.select("id", "_th").join(reps, "_th").where("id <> rep"), "copies")
+    copies = stored(d.select("id", "_th").join(reps, "_th").where("id <> rep"), "copies")
     rows = spread(d.join(copies, ["_th", "id"], "left_anti").select("id", "text"))
 
     ranked = df.sparkSession.sparkContext.broadcast(_ranked_grams(rows, cfg))
     keys = _gram_table(rows, cfg, threshold, ranked).select("id", "n", F.posexplode("grams").alias("at", "key"))
     roots = (keys.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("root"), F.count(F.lit(1)).alias("c"))
              .where("c > 1").drop("c"))
-    shared = _stored(keys.join(roots, "key"), "prefixes")
+    shared = stored(keys.join(roots, "key"), "prefixes")
 
     def may(n, at, m, bt):
         """By length, and by what is left after the first common gram."""
@@ -341,18 +345,18 @@ def similar_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float
     c = F.col
     stars = (shared.where((c("id") != c("root.id")) & may(c("n"), c("at"), c("root.n"), c("root.at")))
              .select(c("id").alias("src"), c("root.id").alias("dst")).distinct())
-    links = _stored(_similar(_stored(stars, "stars"), rows, cfg, threshold), "links")
+    links = stored(_similar(stored(stars, "stars"), rows, cfg, threshold), "links")
 
     comp = connected_components(links, "src", "dst").select(c("node").alias("id"), "component")
     placed = shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where("lo <> hi").select("key"))
-    open_rows = _stored(placed.join(mixed, "key", "left_semi").where(c("id") != c("root.id")).drop("root"), "open")
+    open_rows = stored(placed.join(mixed, "key", "left_semi").where(c("id") != c("root.id")).drop("root"), "open")
     a, b = open_rows.alias("a"), open_rows.alias("b")
     rest = (a.join(b, c("a.key") == c("b.key"))
             .where((c("a.id") > c("b.id")) & (c("a.component") != c("b.component")) & may(c("a.n"), c("a.at"), c("b.n"), c("b.at")))
             .select(c("a.id").alias("src"), c("b.id").alias("dst")).distinct())
-    more = _similar(_stored(rest, "rest"), rows, cfg, threshold)
+    more = _similar(stored(rest, "rest"), rows, cfg, threshold)
 
     edges = links.unionByName(more).unionByName(copies.select(c("id").alias("src"), c("rep").alias("dst")))
     comp = connected_components(edges, "src", "dst")
@@ -361,21 +365,21 @@ def similar_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float
 
 
 def dedup(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig = REFERENCE_CALLER,
-          method: str = "auto") -> DataFrame:
+          method: str = "auto", within=()) -> DataFrame:
     """Rows that pass the piece-count filter and are their cluster's root."""
-    res = near_dup_clusters(df, id_col, text_col, cfg, method)
+    res = near_dup_clusters(df, id_col, text_col, cfg, method, within)
     drop = res.clusters.where(F.col("id") != F.col("cluster")).select(F.col("id").alias(id_col))
     keep_ids = res.clusters.select(F.col("id").alias(id_col))
     return df.join(keep_ids, id_col, "left_semi").join(drop, id_col, "left_anti")
 
 
 def dedup_columns(df: DataFrame, id_col: str, columns, cfg: MinHashConfig = REFERENCE_CALLER,
-                  method: str = "auto") -> DataFrame:
+                  method: str = "auto", within=()) -> DataFrame:
     """Sequential dedup over several columns, in the given order; each pass
     removes whole rows."""
     out = df
     for c in columns:
-        out = dedup(out, id_col, c, cfg, method).checkpoint(eager=True)
+        out = dedup(out, id_col, c, cfg, method, within).checkpoint(eager=True)
     return out
 
 

@@ -57,9 +57,10 @@ class HashingEncoder:
         return out / np.where(n == 0, 1.0, n)
 
 
-def hashing_embedding(df: DataFrame, key: str, text_col: str, dim: int = 64, out: str = "embedding") -> DataFrame:
+def hashing_embedding(df: DataFrame, key: str, text_col: str, dim: int = 64, out: str = "embedding",
+                      normalize: bool = True) -> DataFrame:
     """``(key, out array<double>)``: word pieces hashed into ``dim`` buckets
-    (md5), counts L2-normalised.  Words are counted per key and bucket, mostly
+    (md5), counts L2-normalised unless asked otherwise.  Words are counted per key and bucket, mostly
     before the shuffle; rows of one key count together."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     x = spread(df.select(key, text_col)).select(key, F.explode_outer(words).alias("_w"))
@@ -69,7 +70,8 @@ def hashing_embedding(df: DataFrame, key: str, text_col: str, dim: int = 64, out
         F.when(F.col("_b").isNotNull(), F.struct("_b", "_n")))).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)))
     # a one-row generator keeps the vector from being built per use
-    return counts.select(key, F.explode(F.array(dense)).alias("_v")).select(key, vx.l2_normalize("_v").alias(out))
+    return counts.select(key, F.explode(F.array(dense)).alias("_v")).select(
+        key, (vx.l2_normalize("_v") if normalize else F.col("_v")).alias(out))
 
 
 def encode_texts(df: DataFrame, text_col: str, encoder_factory=HashingEncoder, out: str = "embedding",

@@ -12,14 +12,16 @@ from tessera.operators import dedup as D
 from tessera.operators import filters as P
 from tessera.operators import knn as K
 from tessera.operators import sampling as S
+from tessera.operators.ranking import dense_index
 from tessera.plans import registry as REG
 from tessera.plans.catalog import joined, register
-from tessera.plans.q_dedup import FULL, SMALL, _clusters_sql, _edges_sql, _sig_sql
+from tessera.plans.q_builders import CATS_SQL, MD5U
+from tessera.plans.q_dedup import FULL, SMALL, _kept_sql, _clusters_sql, _edges_sql, _sig_sql
 from tessera.plans.q_eval import _values
 from tessera.plans.q_retrieval import _B9_SQL, _tables
 from tessera.plans.q_sampling import _SAMPLE_ARR, _plan_sql
 from tessera.plans.q_vectors import _corpus, _pairs_sql, _qvecs
-from tessera.plans.recipes import RECIPES, run_recipe
+from tessera.plans.recipes import MIRACL, RECIPES, build_examples, run_recipe
 from tessera.sources import tables as T
 
 
@@ -34,7 +36,7 @@ with kc as ({_dedup_sql('fx_corpus', '_id', 'text')}), kq as ({_dedup_sql('fx_qu
     "join fx_queries fq on", "join (select * from fx_queries where _id in (select id from kq)) fq on"))
 def recipe_beir(spark, d):
     qrels, corpus, queries = _tables(spark, d)
-    ex = run_recipe(RECIPES["beir"], {"qrels": qrels, "corpus": corpus, "queries": queries})
+    ex = build_examples(RECIPES["beir"], {"qrels": qrels, "corpus": corpus, "queries": queries})
     return ex.select("query_id", "query", joined("positive_ids"),
                      F.size("positive_ids").cast("bigint").alias("n_positive_ids"),
                      joined("positive"), F.size("positive").cast("bigint").alias("n_positive"))
@@ -42,7 +44,156 @@ def recipe_beir(spark, d):
 
 @register("recipe_qa_pairs", "select conv_id, turn, query, positive from fx_pairs where length(query) > 0")
 def recipe_qa_pairs(spark, d):
-    return run_recipe(RECIPES["qa_pairs"], {"pairs": T.fx_pairs(spark, d)}).select("conv_id", "turn", "query", joined("positive"))
+    return run_recipe(RECIPES["qa_pairs"], {"rows": T.fx_pairs(spark, d)}).select("conv_id", "turn", "query", joined("positive"))
+
+
+_STRIP_SQL = "regexp_replace(regexp_replace({c}, '^\\s+', ''), '\\s+$', '')"
+
+
+def _counts_sql(name: str, key: str, text: str, rows: str) -> str:
+    """CTEs ``{name}v(key, dim, n)`` and ``{name}s(key, s)``: hashed word counts and their squared length."""
+    return f"""
+{name}w as (select {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) as w from {rows}),
+{name}v as (select {key}, ('0x' || substr(md5(w), 1, 8))::UBIGINT::BIGINT % 64 as dim, count(*) as n from {name}w group by all),
+{name}s as (select {key}, sum(n * n) as s from {name}v group by {key})"""
+
+
+def _mined_sql(k: int, skip: int, take: int | None, drop: str = "false") -> str:
+    """CTEs over ``e(row_id, query, ...)`` and ``c(cid, text, ...)`` up to
+    ``neg(row_id, n, m)``: the texts that mining leaves over."""
+    last = f" and rr <= {skip + take}" if take else ""
+    return (_counts_sql("c", "cid", "'passage: ' || text", "c") + "," + _counts_sql("q", "row_id", "'query: ' || query", "e") + f""",
+dot as (select row_id, cid, sum(qv.n * cv.n) as d from qv join cv using (dim) group by row_id, cid),
+near as (select qs.row_id, cs.cid, row_number() over (partition by qs.row_id order by qs.s + cs.s - 2 * coalesce(dot.d, 0), cs.cid) as rank
+         from qs cross join cs left join dot on dot.row_id = qs.row_id and dot.cid = cs.cid),
+left_over as (select near.row_id, c.text, row_number() over (partition by near.row_id order by rank) as rr
+              from near join c using (cid) join e on e.row_id = near.row_id where rank <= {k} and not ({drop})),
+neg as (select row_id, count(*) as n, md5(string_agg({_STRIP_SQL.format(c='text')}, chr(31) order by rr)) as m
+        from left_over where rr > {skip}{last} group by row_id)""")
+
+
+_NEG_COLS = "coalesce(neg.n, 0) as n_negative, coalesce(neg.m, md5('')) as negative_md5"
+
+
+def _digest(df, *keep):
+    return df.select(*keep, F.size("negative").cast("bigint").alias("n_negative"),
+                     F.md5(F.array_join("negative", "\x1f")).alias("negative_md5"))
+
+
+def _within_sql(column: str, rows: str, langs) -> str:
+    """Rows of ``rows`` that stay when copies are removed within each language."""
+    return " union all ".join(f"select row_id from ({_kept_sql(column, f'(select * from {rows} where lang = {lang!r})')})" for lang in langs)
+
+
+@register("recipe_squad", f"""
+with r as (select cast(row_number() over (order by conv_id, turn) - 1 as bigint) as row_id, query, positive from fx_pairs),
+k as ({_kept_sql('query', 'r')}),
+e as (select * from r where row_id in (select row_id from k)),
+c0 as (select cast(row_number() over (order by row_id) - 1 as bigint) as cid, positive as text from e),
+ck as ({_dedup_sql('c0', 'cid', 'text')}),
+c as (select * from c0 where cid in (select id from ck)),
+""" + _mined_sql(128, 30, None) + f"""
+select e.row_id, query, positive, {_NEG_COLS} from e left join neg using (row_id)
+""")
+def recipe_squad(spark, d):
+    """Question and passage pairs: near copies of a question go, negatives are mined among all passages."""
+    rows = dense_index(T.fx_pairs(spark, d), ["conv_id", "turn"], out="row_id").select(
+        "row_id", F.col("query").alias("question"), F.col("positive").alias("context"))
+    return _digest(run_recipe(RECIPES["squad"], {"rows": rows}), "row_id", "query", joined("positive"))
+
+
+@register("recipe_arxiv_abstracts", f"""
+with r as (select doc_id as row_id, text, categories from fx_grouped where length(text) > 100 and length(text) < 2000),
+k0 as ({_kept_sql('text', 'r')}),
+g0 as (select * from r where row_id in (select row_id from k0)),
+g as (select * from g0 where categories in (select categories from g0 group by categories having count(*) >= 5)),
+b as (select *, cast(floor((row_number() over (partition by categories order by row_id) - 1) / 32) as bigint) as chunk,
+             row_number() over (partition by categories order by row_id) as rn from g),
+kk as (select categories, chunk, row_number() over (partition by categories order by md5(concat_ws(':', '0', 'chunk', categories, cast(chunk as varchar))), chunk) as kk
+       from (select distinct categories, chunk from b where rn <= 3000)),
+m as (select categories, chunk, list(text order by rn) as l from b join kk using (categories, chunk) where rn <= 3000 and kk.kk <= 16 group by categories, chunk),
+e as (select cast(row_number() over (order by categories, chunk) - 1 as bigint) as row_id, l[1] as query, l[2:] as positive,
+             {CATS_SQL.format(c='categories')} as cluster from m),
+c0 as (select cast(row_number() over (order by row_id, pos) - 1 as bigint) as cid, text, cluster
+       from (select row_id, cluster, unnest(range(len(positive) + 1)) as pos, unnest([query] || positive) as text from e)),
+ck as ({_dedup_sql('c0', 'cid', 'text')}),
+c as (select * from c0 where cid in (select id from ck)),
+""" + _mined_sql(2048, 20, 120, "c.cluster = e.cluster") + f"""
+select e.row_id, query, array_to_string(positive, chr(31)) as positive, cluster, {_NEG_COLS} from e left join neg using (row_id)
+""")
+def recipe_arxiv_abstracts(spark, d):
+    """Texts of a length range, near copies gone, in chunks of their category; negatives come from other categories."""
+    rows = T.fx_grouped(spark, d).select(F.col("doc_id").alias("row_id"), F.col("text").alias("abstract"), F.col("categories").alias("category"))
+    return _digest(run_recipe(RECIPES["arxivP2P"], {"rows": rows}), "row_id", "query", joined("positive"), "cluster")
+
+
+_BEIR_SQL = _B9_SQL.strip()[len("with "):].replace("from fx_corpus)", "from fx_corpus where _id in (select id from kc))").replace(
+    "join fx_queries fq on", "join (select * from fx_queries where _id in (select id from kq)) fq on")
+
+
+@register("recipe_beir_mined", f"""
+with kc as ({_dedup_sql('fx_corpus', '_id', 'text')}), kq as ({_dedup_sql('fx_queries', '_id', 'text')}),
+ex as (with {_BEIR_SQL}),
+e as (select *, cast(row_number() over (order by query_id) - 1 as bigint) as row_id from ex),
+c as (select _id, cast(row_number() over (order by _id) - 1 as bigint) as cid, {_STRIP_SQL.format(c="coalesce(title, '') || ' ' || coalesce(text, '')")} as text
+      from fx_corpus where _id in (select id from kc)),
+""" + _mined_sql(128, 30, None, "list_contains(string_split(e.positive_ids, chr(31)), c._id)") + f"""
+select query_id, query, positive, {_NEG_COLS} from e left join neg using (row_id)
+""")
+def recipe_beir_mined(spark, d):
+    """Judged queries with passages, negatives from the same corpus without the judged ones."""
+    qrels, corpus, queries = _tables(spark, d)
+    out = run_recipe(RECIPES["beir"], {"qrels": qrels, "corpus": corpus, "queries": queries})
+    return _digest(out, "query_id", "query", joined("positive"))
+
+
+@register("recipe_imdb", f"""
+with r as (select doc_id as row_id, text as query, label_text from fx_labelled),
+v as (select list_sort(list(distinct label_text)) as vocab from r),
+k as ({_kept_sql('query', 'r')})
+select row_id, query, label_text as positive, array_to_string(list_filter(v.vocab, lambda x: x <> label_text), chr(31)) as negative
+from r, v where row_id in (select row_id from k)
+""")
+def recipe_imdb(spark, d):
+    """Labelled texts of all splits: the other labels are the negatives."""
+    rows = T.fx_labelled(spark, d).withColumnRenamed("doc_id", "row_id")
+    return run_recipe(RECIPES["imdb"], {"rows": rows}).select("row_id", "query", joined("positive"), joined("negative"))
+
+
+@register("recipe_nllb", f"""
+with r0 as (select item_id as row_id, {MD5U.format(parts="'0', 'bitext', cast(item_id as varchar)")} > 0.5 as fwd, t1, t2 from fx_bitext),
+r as (select row_id, case when fwd then t1 else t2 end as query, case when fwd then t2 else t1 end as positive from r0),
+k1 as ({_kept_sql('query', 'r')}),
+k2 as ({_kept_sql('positive', 'r join k1 using (row_id)')}),
+e as (select * from r where row_id in (select row_id from k2)),
+c0 as (select cast(row_number() over (order by row_id) - 1 as bigint) as cid, positive as text from e),
+ck as ({_dedup_sql('c0', 'cid', 'text')}),
+c as (select * from c0 where cid in (select id from ck)),
+""" + _mined_sql(128, 30, None) + f"""
+select e.row_id, query, positive, {_NEG_COLS} from e left join neg using (row_id)
+""")
+def recipe_nllb(spark, d):
+    """Translation pairs in a random direction, copies of either side gone, mined among the second sides."""
+    rows = T.fx_bitext(spark, d).select(F.col("item_id").alias("row_id"),
+                                        F.create_map(F.lit("a"), "t1", F.lit("b"), "t2").alias("translation"))
+    return _digest(run_recipe(RECIPES["nllb"], {"rows": rows}), "row_id", "query", joined("positive"))
+
+
+@register("recipe_miracl", f"""
+with r as (select row_id, dataset as lang, query, list_transform(positive, lambda x: query || chr(10) || x) as positive,
+                  list_transform(negative, lambda x: query || chr(10) || x) as negative
+           from fx_examples where len(positive) > 0 and len(negative) > 0),
+k as ({_within_sql('query', 'r', MIRACL)})
+select row_id, lang, query, array_to_string(positive, chr(31)) as positive, array_to_string(negative, chr(31)) as negative
+from r where row_id in (select row_id from k)
+""")
+def recipe_miracl(spark, d):
+    """Passages with a title of all languages of the set, in one plan; copies of a query go within its language."""
+    e = T.fx_examples(spark, d)
+    titled = lambda c: F.transform(c, lambda x: F.struct(F.col("query").alias("title"), x.alias("text")))
+    rows = e.select("row_id", F.col("dataset").alias("lang"), "query", titled(F.col("positive")).alias("positive_passages"),
+                    titled(F.col("negative")).alias("negative_passages"))
+    return run_recipe(RECIPES["miracl"], {"rows": rows}).select("row_id", "lang", "query", joined("positive"), joined("negative"))
 
 
 @register("hard_negative_texts", "with " + _pairs_sql("l2") + """,
