@@ -4,12 +4,13 @@ cosine (V1-V7)."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,12 +41,13 @@ class Encoder(Protocol):
 
 class HashingEncoder:
     """Deterministic test encoder of the protocol: word pieces hashed into
-    ``dim`` buckets (md5), counts L2-normalised.  A real encoder implements the
-    same ``encode`` and is built once per task (weights are not shipped per
-    row); :func:`hashing_embedding` is the same as column expressions."""
+    ``dim`` buckets (md5), counts L2-normalised unless asked otherwise.  A real
+    encoder implements the same ``encode``; :func:`hashing_embedding` is the
+    same as column expressions."""
 
-    def __init__(self, dim: int = 64):
+    def __init__(self, dim: int = 64, normalize: bool = True):
         self.dim = dim
+        self.normalize = normalize
 
     def encode(self, texts):
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
@@ -53,6 +55,8 @@ class HashingEncoder:
             for w in re.split(r"\W+", (t or "").lower()):
                 if w:
                     out[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dim] += 1.0
+        if not self.normalize:
+            return out
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(n == 0, 1.0, n)
 
@@ -74,21 +78,39 @@ def hashing_embedding(df: DataFrame, key: str, text_col: str, dim: int = 64, out
         key, (vx.l2_normalize("_v") if normalize else F.col("_v")).alias(out))
 
 
+@functools.lru_cache(maxsize=4)
+def _encoder(factory) -> Encoder:
+    """The encoder of a factory, kept for the life of the worker process: an
+    importable factory is the same object in all its tasks."""
+    return factory()
+
+
 def encode_texts(df: DataFrame, text_col: str, encoder_factory=HashingEncoder, out: str = "embedding",
                  batch_rows: int = 512) -> DataFrame:
-    """Append ``out: array<float>`` computed batch-wise in ``mapInPandas``;
-    the encoder is constructed once per task (iterator prologue)."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    """Append ``out: array<float>`` computed batch-wise over Arrow.
 
-    def run(it):
-        enc = encoder_factory()
-        for pdf in it:
-            for s in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[s:s + batch_rows].copy()
-                vecs = enc.encode(part[text_col].tolist())
-                part[out] = list(vecs.astype(np.float32))
-                yield part
-    return df.mapInPandas(run, schema)
+    The encoder is built once per worker process.  The rows of an Arrow batch
+    go through it sorted by length, ``batch_rows`` at a time, so that a batch
+    pads little, and come out in their order; all columns stay as they are.  A
+    null text is an empty one."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.FloatType()))])
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        enc = _encoder(encoder_factory)
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            if not texts:
+                continue
+            order = np.argsort([len(t) for t in texts], kind="stable")
+            vecs = np.empty((len(texts), enc.dim), dtype=np.float32)
+            for s in range(0, len(texts), batch_rows):
+                own = order[s:s + batch_rows]
+                vecs[own] = enc.encode([texts[i] for i in own])
+            flat = pa.array(vecs.ravel())
+            offsets = pa.array(np.arange(0, vecs.size + 1, enc.dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat)], [*b.schema.names, out])
+    return df.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- V3-V5

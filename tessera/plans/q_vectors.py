@@ -10,6 +10,7 @@ from tessera.operators import cluster as C
 from tessera.operators import knn as K
 from tessera.operators import metrics as M
 from tessera.operators import vectors as V
+from tessera.operators.dedup import spread
 from tessera.plans.catalog import register, r6
 from tessera.sources import tables as T
 
@@ -61,6 +62,22 @@ def encode_texts(spark, d):
     return e.where("value <> 0").select("_id", F.col("dim").cast("bigint").alias("dim"), r6("value"))
 
 
+def word_count_encoder():
+    return V.HashingEncoder(64, normalize=False)
+
+
+@register("encode_texts_batched", f"""
+with c as (select _id, case when coalesce(title, '') <> '' then title || ' ' || text else text end as t from fx_corpus),
+p as (select _id, unnest(list_filter(regexp_split_to_array(lower('passage: ' || t), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '')) as w from c)
+select _id, ('0x' || substr(md5(w), 1, 8))::UBIGINT::BIGINT % 64 as dim, cast(count(*) as double) as value from p group by all
+""")
+def encode_texts_batched(spark, d):
+    """The encoder protocol: whole texts in Arrow batches through an encoder built once per worker."""
+    c = spread(T.fx_corpus(spark, d).select("_id", V.format_encoder_input("text", "passage:", title="title").alias("t")))
+    e = V.encode_texts(c, "t", word_count_encoder).select("_id", F.posexplode("embedding").alias("dim", "value"))
+    return e.where("value <> 0").select("_id", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value"))
+
+
 @register("format_encoder_input", f"""
 select _id, '{INSTR} ' || case when coalesce(title, '') <> '' then title || ' ' || text else text end as input from fx_corpus
 """)
