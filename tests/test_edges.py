@@ -65,15 +65,17 @@ def test_first_row_per_id_is_by_order(spark):
 
 
 @pytest.mark.parametrize("offset", [0, 100, 10_000])
-def test_knn_is_exact_off_the_unit_sphere(offset):
-    import pandas as pd
+def test_knn_is_exact_off_the_unit_sphere(spark, offset):
     rng = np.random.default_rng(4)
     C = offset + rng.integers(0, 4, (400, 6)) / 8
     Q = offset + rng.integers(0, 4, (50, 6)) / 8
-    out = K._local_topk(50, "l2", cells=1600)(pd.DataFrame({"cid": range(400), "cvec": list(C)}), pd.DataFrame({"qid": range(50), "qvec": list(Q)}))
-    for q in range(50):
-        want = np.lexsort((np.arange(400), ((C - Q[q]) ** 2).sum(axis=1)))[:50]
-        assert out[out.qid == q].cid.tolist() == want.tolist()
+    corpus = spark.createDataFrame([(i, C[i].tolist()) for i in range(400)], "cid long, cvec array<double>")
+    queries = spark.createDataFrame([(i, Q[i].tolist()) for i in range(50)], "qid long, qvec array<double>")
+    for group_bytes in (64 << 20, 4096):  # one group, several
+        out = K.knn_topk(queries, corpus, 50, "l2", group_bytes=group_bytes).toPandas().sort_values(["qid", "rank"])
+        for q in range(50):
+            want = np.lexsort((np.arange(400), ((C - Q[q]) ** 2).sum(axis=1)))[:50]
+            assert out[out.qid == q].cid.tolist() == want.tolist()
 
 
 def test_centroid_blocks_agree(spark):
