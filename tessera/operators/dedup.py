@@ -34,6 +34,16 @@ from tessera.session import scratch_path
 
 PRIME = 2147483647  # 2^31 - 1: a*h + b < 2^59 fits a signed 64-bit integer
 
+# ---- fixed values: modulus and largest value of a signature per hash width;
+# 28 is this library's own width, which SQL computes in 64-bit integers too
+HASH_WIDTHS = {
+    16: ((1 << 16) - 15, (1 << 16) - 1),
+    28: (PRIME, PRIME),
+    32: ((1 << 32) - 5, (1 << 32) - 1),
+    64: ((1 << 61) - 1, (1 << 32) - 1),
+}
+HASH_FUNCS = ("md5", "sha1", "xxh3")
+
 
 # ---------------------------------------------------------------- parameters
 def _integrate(f, lo: float, hi: float, n: int = 2001) -> float:
@@ -59,14 +69,37 @@ def lsh_params(threshold: float, num_perm: int, fp_weight: float = 0.5, fn_weigh
     return opt
 
 
-def permutations(num_perm: int, seed: int = 42):
+def permutations(num_perm: int, seed: int = 42, bits: int = 28):
     """Universal-hash parameters ``(a_i, b_i)``, a in [1, p), b in [0, p),
-    from md5 of ``seed:a:i`` / ``seed:b:i`` (same values in SQL)."""
+    from the first 8 hex digits (16 at 64 bits) of md5 of ``seed:a:i`` /
+    ``seed:b:i`` (same values in SQL)."""
+    prime, digits = HASH_WIDTHS[bits][0], 16 if bits == 64 else 8
+
     def h(tag, i):
-        return int(hashlib.md5(f"{seed}:{tag}:{i}".encode()).hexdigest()[:8], 16)
-    a = np.array([1 + h("a", i) % (PRIME - 1) for i in range(num_perm)], dtype=np.int64)
-    b = np.array([h("b", i) % PRIME for i in range(num_perm)], dtype=np.int64)
-    return a, b
+        return int(hashlib.md5(f"{seed}:{tag}:{i}".encode()).hexdigest()[:digits], 16)
+    a = np.array([1 + h("a", i) % (prime - 1) for i in range(num_perm)], dtype=np.uint64)
+    b = np.array([h("b", i) % prime for i in range(num_perm)], dtype=np.uint64)
+    return (a.astype(np.int64), b.astype(np.int64)) if bits == 28 else (a, b)
+
+
+def _affine_mod61(a: np.ndarray, h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(a*h + b) mod 2^61 - 1 for a, b < 2^61 and h < 2^32 in unsigned 64-bit
+    words: 2^61 counts as 1, so high parts are added back to the low ones."""
+    p, low32, low29 = np.uint64((1 << 61) - 1), np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+    w29, w32, w61 = np.uint64(29), np.uint64(32), np.uint64(61)
+    high = (a >> w32) * h                                # < 2^61, worth 2^32 each
+    x = (high >> w29) + ((high & low29) << w32)          # high * 2^32 mod p, < 2^61 + 2^32
+    y = (a & low32) * h                                  # < 2^64
+    x = x + (y & p) + (y >> w61) + b                     # < 2^63
+    x = (x & p) + (x >> w61)
+    return np.where(x >= p, x - p, x)
+
+
+def _affine(a: np.ndarray, h: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """((a*h + b) mod prime) cut to the width of a signature; broadcasts."""
+    if bits == 64:
+        return _affine_mod61(a, h, b) & np.uint64(HASH_WIDTHS[64][1])
+    return (a * h + b) % a.dtype.type(HASH_WIDTHS[bits][0])
 
 
 @dataclass(frozen=True)
@@ -78,6 +111,14 @@ class MinHashConfig:
     bands: int | None = None
     rows: int | None = None
     seed: int = 42
+    hash_func: str = "md5"
+    hash_bits: int = 28
+
+    def __post_init__(self):
+        if self.hash_func not in HASH_FUNCS or self.hash_bits not in HASH_WIDTHS:
+            raise ValueError(f"{self.hash_func}, {self.hash_bits} bits")
+        if self.hash_bits == 28 and self.hash_func != "md5":
+            raise ValueError("28-bit hashes are of md5")
 
     def band_rows(self):
         if self.bands and self.rows:
@@ -89,12 +130,27 @@ REFERENCE_CALLER = MinHashConfig(ngram=5, min_length=5, num_perm=1000, threshold
 
 
 # ---------------------------------------------------------------- shingles
-def shingle_hashes(pieces, ngram: int = 5, min_length: int = 5) -> Column:
-    """array<bigint>: 28-bit md5 hash of every distinct word n-gram of a
-    piece-array column (project the pieces first: the lambda reads them once
-    per window)."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _xxh3_low32(shingles: pd.Series) -> pd.Series:
+    import xxhash
+
+    low = (1 << 32) - 1
+    return pd.Series([None if x is None else [xxhash.xxh3_64_intdigest(s.encode()) & low for s in x] for x in shingles])
+
+
+def shingle_hashes(pieces, ngram: int = 5, min_length: int = 5, func: str = "md5", bits: int = 28) -> Column:
+    """array<bigint>: hash of every distinct word n-gram of a piece-array
+    column (project the pieces first: the lambda reads them once per window).
+    ``bits`` 16 and 32 give hashes of that size, 64 hashes of 32 bits (its
+    modulus is larger), 28 the first 7 hex digits of md5.  md5 and sha1 are
+    column expressions; xxh3 (the low bits of its 64) is an Arrow UDF."""
     sh = tx.word_ngrams(pieces, ngram, min_length)
-    return F.transform(sh, lambda s: tx.hash28(s))
+    if bits == 28:
+        return F.transform(sh, lambda s: tx.hash28(s))
+    if func == "xxh3":
+        hs = _xxh3_low32(sh)
+        return F.transform(hs, lambda h: h.bitwiseAND(0xFFFF)) if bits == 16 else hs
+    return F.transform(sh, lambda s: tx.shingle_hash(s, func, min(bits, 32)))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -106,12 +162,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- signatures
-def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, budget: int = 1 << 22) -> list:
+def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, bits: int = 28,
+                     budget: int = 1 << 22) -> list:
     """Row-wise min of (a*h + b) mod p over the hashes of each row; rows are
     stacked in blocks of ~``budget`` cells so numpy works on big arrays."""
     k = len(a)
     out: list = [None] * len(hashes)
-    full = np.full(k, PRIME, dtype=np.int64)
+    full = np.full(k, HASH_WIDTHS[bits][1], dtype=a.dtype)
     ac, bc = a[:, None], b[:, None]
     i, n = 0, len(hashes)
     while i < n:
@@ -124,7 +181,7 @@ def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, bud
             step = max(1, budget // k)
             acc = full.copy()
             for s in range(0, h.size, step):
-                acc = np.minimum(acc, ((ac * h[None, s:s + step] + bc) % PRIME).min(axis=1))
+                acc = np.minimum(acc, _affine(ac, h[None, s:s + step], bc, bits).min(axis=1))
             out[i] = acc
             i += 1
             continue
@@ -135,7 +192,7 @@ def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, bud
         seg = hashes[i:j]
         cat = np.concatenate(seg)
         starts = np.cumsum([0] + [x.size for x in seg[:-1]])
-        m = (ac * cat[None, :] + bc) % PRIME
+        m = _affine(ac, cat[None, :], bc, bits)
         mins = np.minimum.reduceat(m, starts, axis=1)
         for t in range(j - i):
             out[i + t] = mins[:, t]
@@ -143,18 +200,18 @@ def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, bud
     return out
 
 
-def signature_udf(num_perm: int, seed: int = 42):
-    a, b = permutations(num_perm, seed)
+def signature_udf(num_perm: int, seed: int = 42, bits: int = 28):
+    a, b = permutations(num_perm, seed, bits)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sig(hs: pd.Series) -> pd.Series:
-        arrs = [np.asarray(x, dtype=np.int64) if x is not None else np.zeros(0, np.int64) for x in hs]
-        return pd.Series([r.tolist() for r in _signature_block(arrs, a, b)])
+        arrs = [np.asarray(x, dtype=a.dtype) if x is not None else np.zeros(0, a.dtype) for x in hs]
+        return pd.Series([r.tolist() for r in _signature_block(arrs, a, b, bits)])
     return sig
 
 
 def signature_expr(hashes: Column, num_perm: int, seed: int = 42) -> Column:
-    """JVM-only signature (higher-order functions); for small ``num_perm``."""
+    """JVM-only signature (higher-order functions) of 28-bit hashes; for small ``num_perm``."""
     a, b = permutations(num_perm, seed)
     cols = []
     for i in range(num_perm):
@@ -170,10 +227,12 @@ def minhash_signature(df: DataFrame, id_col: str, text_col: str, cfg: MinHashCon
     d = spread(df.select(F.col(id_col).alias("id"), *keep, tx.word_pieces(text_col).alias("w")))
     if cfg.min_length > 0:
         d = d.where(F.size("w") >= cfg.min_length)
-    hs = shingle_hashes("w", cfg.ngram, cfg.min_length)
+    hs = shingle_hashes("w", cfg.ngram, cfg.min_length, cfg.hash_func, cfg.hash_bits)
     if method == "expr":
+        if cfg.hash_bits != 28:
+            raise ValueError("expressions hold 28-bit hashes only")
         return d.select("id", *keep, signature_expr(hs, cfg.num_perm, cfg.seed).alias("signature"))
-    return d.select("id", *keep, signature_udf(cfg.num_perm, cfg.seed)(hs).alias("signature"))
+    return d.select("id", *keep, signature_udf(cfg.num_perm, cfg.seed, cfg.hash_bits)(hs).alias("signature"))
 
 
 # ---------------------------------------------------------------- LSH
@@ -226,8 +285,7 @@ def near_dup_clusters(df: DataFrame, id_col: str, text_col: str, cfg: MinHashCon
     copy_edges = (d.join(reps, ["_th", *within]).where(F.col("id") != F.col("rep"))
                   .select(F.col("id").alias("src"), F.col("rep").alias("dst")))
     rep_rows = d.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "text", *within)
-    sig_cfg = MinHashConfig(cfg.ngram, cfg.min_length, cfg.num_perm, cfg.threshold, bands_n, rows_n, cfg.seed)
-    sigs = minhash_signature(rep_rows, "id", "text", sig_cfg, method, within)
+    sigs = minhash_signature(rep_rows, "id", "text", cfg, method, within)
     stars = lsh_star_edges(lsh_bands(sigs, bands_n, rows_n, within))
     edges = stars.unionByName(copy_edges)
     edges = edges.checkpoint(eager=True)

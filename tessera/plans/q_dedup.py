@@ -12,27 +12,36 @@ from tessera.plans.catalog import register
 from tessera.sources import tables as T
 
 NONWORD = "'[^\\p{L}\\p{N}_]'"
-P = D.PRIME
 
-# Parameters of the registered queries: the reference callers' setting for
-# the full pipeline; 16 permutations (4 bands x 4 rows) where the signature
-# itself is the output.
+# Parameters of the registered queries: 1000 permutations at 0.8, as all
+# callers set them, and the defaults of the function (250 at 0.7) for the
+# other hash widths.
 FULL = D.REFERENCE_CALLER
-SMALL = D.MinHashConfig(ngram=5, min_length=5, num_perm=16, threshold=0.7, bands=4, rows=4)
-
-
-def _sig_sql(num_perm: int, seed: int = 42) -> str:
+WIDTHS = {
+    "16": D.MinHashConfig(hash_func="md5", hash_bits=16),
+    "32": D.MinHashConfig(hash_func="sha1", hash_bits=32),
+    "64": D.MinHashConfig(hash_func="sha1", hash_bits=64),
+    "xxh3": D.MinHashConfig(hash_func="xxh3", hash_bits=64),
+}
+
+
+def _sig_sql(num_perm: int, seed: int = 42, func: str = "md5", bits: int = 28) -> str:
+    prime, most = D.HASH_WIDTHS[bits]
+    digits = 16 if bits == 64 else 8
+    value = f"(p.a * h.h + p.b) % {prime}"
+    if bits in (32, 64):  # wider than 64 bits
+        value = f"(((p.a::HUGEINT * h.h + p.b) % {prime})::BIGINT & {most})"
     return f"""
 w as (select doc_id as id, regexp_split_to_array(lower(text), {NONWORD}) as w from documents),
 f as (select * from w where len(w) >= 5),
 s as (select id, case when len(w) < 5 then [array_to_string(w, ' ')]
                       else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as sh from f),
-h as (select distinct id, ('0x' || substr(md5(unnest(sh)), 1, 7))::UBIGINT::BIGINT as h from s),
+h as (select distinct id, ('0x' || substr({func}(unnest(sh)), 1, {min(bits, 32) // 4}))::UBIGINT::BIGINT as h from s),
 p as (select i as perm,
-             1 + (('0x' || substr(md5('{seed}:a:' || i), 1, 8))::UBIGINT % {P - 1})::BIGINT as a,
-             (('0x' || substr(md5('{seed}:b:' || i), 1, 8))::UBIGINT % {P})::BIGINT as b
+             1 + (('0x' || substr(md5('{seed}:a:' || i), 1, {digits}))::UBIGINT % {prime - 1})::BIGINT as a,
+             (('0x' || substr(md5('{seed}:b:' || i), 1, {digits}))::UBIGINT % {prime})::BIGINT as b
       from range(0, {num_perm}) t(i)),
-sig as (select h.id, p.perm, min((p.a * h.h + p.b) % {P}) as v from h, p group by h.id, p.perm)"""
+sig as (select h.id, p.perm, min({value}) as v from h, p group by h.id, p.perm)"""
 
 
 def _edges_sql(cfg) -> str:
@@ -87,27 +96,71 @@ def shingle_hash(spark, d):
                                     F.sum("h").alias("sum_hash"))
 
 
-@register("minhash_signature", "with " + _sig_sql(SMALL.num_perm).lstrip() + """
-select id as doc_id, array_to_string(list(v order by perm), ',') as signature from sig group by id
-""")
+SIGNATURES = """
+select id as doc_id, count(*) as n_values, cast(min(v) as bigint) as min_value,
+       md5(array_to_string(list(v order by perm), ',')) as signature_md5
+from sig group by id
+"""
+
+
+def _signatures(spark, d, cfg):
+    """One row per document: size, smallest value and digest of its signature."""
+    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", cfg)
+    return s.select(F.col("id").alias("doc_id"), F.size("signature").cast("bigint").alias("n_values"),
+                    F.array_min("signature").alias("min_value"), _digest("signature").alias("signature_md5"))
+
+
+def _digest(values):
+    return F.md5(F.array_join(F.transform(values, lambda x: x.cast("string")), ","))
+
+
+@register("minhash_signature", "with " + _sig_sql(FULL.num_perm).lstrip() + SIGNATURES)
 def minhash_signature(spark, d):
-    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", SMALL, method="arrow")
-    return s.select(F.col("id").alias("doc_id"),
-                    F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
+    return _signatures(spark, d, FULL)
+
 
+def _sig_width_sql(cfg) -> str:
+    return "with " + _sig_sql(cfg.num_perm, cfg.seed, cfg.hash_func, cfg.hash_bits).lstrip() + SIGNATURES
 
-@register("lsh_bands", "with " + _sig_sql(SMALL.num_perm).lstrip() + f"""
-select id as doc_id, perm // {SMALL.rows} as band, array_to_string(list(v order by perm), ',') as band_values
-from sig where perm < {SMALL.bands * SMALL.rows} group by id, perm // {SMALL.rows}
+
+@register("minhash_signature_16", _sig_width_sql(WIDTHS["16"]))
+def minhash_signature_16(spark, d):
+    """16 bits of md5, modulus 2^16 - 15."""
+    return _signatures(spark, d, WIDTHS["16"])
+
+
+@register("minhash_signature_32", _sig_width_sql(WIDTHS["32"]))
+def minhash_signature_32(spark, d):
+    """32 bits of sha1, modulus 2^32 - 5."""
+    return _signatures(spark, d, WIDTHS["32"])
+
+
+@register("minhash_signature_64", _sig_width_sql(WIDTHS["64"]))
+def minhash_signature_64(spark, d):
+    """32 bits of sha1, modulus 2^61 - 1, low 32 bits of the values."""
+    return _signatures(spark, d, WIDTHS["64"])
+
+
+@register("minhash_signature_xxh3")
+def minhash_signature_xxh3(spark, d):
+    """32 bits of xxh3, modulus 2^61 - 1 (DuckDB has no xxh3: tests compare
+    with whole-number Python)."""
+    return _signatures(spark, d, WIDTHS["xxh3"])
+
+
+@register("lsh_bands", "with " + _sig_sql(FULL.num_perm).lstrip() + f"""
+select id as doc_id, perm // {FULL.band_rows()[1]} as band,
+       md5(array_to_string(list(v order by perm), ',')) as band_md5
+from sig where perm < {FULL.band_rows()[0] * FULL.band_rows()[1]} group by id, perm // {FULL.band_rows()[1]}
 """)
 def lsh_bands(spark, d):
-    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", SMALL)
-    r = SMALL.rows
+    """Every band of every document, its values as a digest."""
+    s = D.minhash_signature(T.table(spark, d, "documents"), "doc_id", "text", FULL)
+    n, r = FULL.band_rows()
     b = s.select(F.col("id").alias("doc_id"), F.posexplode(
-        F.transform(F.sequence(F.lit(0), F.lit(SMALL.bands - 1)), lambda i: F.slice("signature", i * r + 1, r))
-    ).alias("band", "vals"))
-    return b.select("doc_id", F.col("band").cast("bigint").alias("band"),
-                    F.array_join(F.transform("vals", lambda x: x.cast("string")), ",").alias("band_values"))
+        F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: _digest(F.slice("signature", i * r + 1, r)))
+    ).alias("band", "band_md5"))
+    return b.select("doc_id", F.col("band").cast("bigint").alias("band"), "band_md5")
 
 
 @register("lsh_star_edges", "with " + _edges_sql(FULL).lstrip() + """

@@ -16,7 +16,7 @@ from tessera.operators.ranking import dense_index
 from tessera.plans import registry as REG
 from tessera.plans.catalog import joined, register
 from tessera.plans.q_builders import CATS_SQL, MD5U
-from tessera.plans.q_dedup import FULL, SMALL, _kept_sql, _clusters_sql, _edges_sql, _sig_sql
+from tessera.plans.q_dedup import FULL, _kept_sql, _clusters_sql, _edges_sql, _sig_sql
 from tessera.plans.q_eval import _values
 from tessera.plans.q_retrieval import _B9_SQL, _tables
 from tessera.plans.q_sampling import _SAMPLE_ARR, _plan_sql
