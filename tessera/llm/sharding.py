@@ -1,7 +1,8 @@
 """Sharding through fixed virtual slots.
 
-Every record hashes into one of ``n_slots`` slots by its id, for good.  A
-versioned map says which shard holds each slot.  The first map is filled from
+Every record hashes into one of ``n_slots`` slots by its id, for good; rows
+that repeat an id hash by the id and their rank among its rows, so an id that
+fills a third of the table is spread over all slots.  A versioned map says which shard holds each slot.  The first map is filled from
 the bytes per slot, largest slot first into the lightest shard; later versions
 edit the one before, moving only the slots that a new shard or a drifted size
 asks for.  A map has one row per slot, a fixed number, so it may be broadcast
@@ -10,8 +11,8 @@ and worked on in the driver; records are only joined to it.
 The law of the shards is ``bytes``: sizes near equal (apart by about one slot).
 
 Defined cases: a null text has no bytes and the CRC of the empty text; a null
-id hashes by the text; rows that repeat an id share a slot, and each has its
-own place; ties go to the lower shard; an empty table gives no rows and a map
+id hashes by the text; rows that repeat an id (or a text without id) are ranked
+by size and CRC, equal rows in any order, and each has its own place; ties go to the lower shard; an empty table gives no rows and a map
 that deals the slots out evenly.
 """
 
@@ -23,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import rank_in_group
+
 N_SLOTS = 1 << 13
 ROW_BYTES = 16
 LAW = "bytes"
@@ -52,9 +55,28 @@ class SlotMap:
         return SlotMap(version, rows[0]["n_shards"], tuple(r["shard"] for r in rows))
 
 
-def slot_of(id_col: str, text_col: str, n_slots: int = N_SLOTS) -> Column:
+def slot_key(id_col: str, text_col: str) -> Column:
+    """64-bit hash of the id, or of the text where there is none."""
     by_id = F.xxhash64(F.col(id_col).cast("string"))
-    return F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(by_id), F.lit(n_slots)).cast("int")
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(by_id)
+
+
+def with_slots(rows: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """``virtual_slot`` from ``slot_key`` (dropped): the first row of a key has
+    the key's slot, the others that of (key, rank by size and CRC).  Only rows
+    of repeated keys are sorted, by ranges that also split equal rows."""
+    def slot(key):
+        return F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot")
+
+    others = [F.col(c) for c in rows.columns if c != "slot_key"]
+    repeated = rows.groupBy("slot_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("slot_key").checkpoint()
+    if repeated.isEmpty():
+        return rows.select(*others, slot(F.col("slot_key")))
+    single = rows.join(repeated, "slot_key", "left_anti").select(*others, slot(F.col("slot_key")))
+    several = rows.join(repeated, "slot_key", "left_semi").withColumn("slot_row", F.monotonically_increasing_id())
+    ranked = rank_in_group(several, ["slot_key"], ["size", "text_crc32", "slot_row"], out="slot_rank")
+    salted = F.when(F.col("slot_rank") == 1, F.col("slot_key")).otherwise(F.xxhash64("slot_key", "slot_rank"))
+    return single.unionByName(ranked.select(*others, slot(salted)))
 
 
 def record_bytes(text_col: str) -> Column:
@@ -134,19 +156,24 @@ def map_table(spark: SparkSession, m: SlotMap) -> DataFrame:
     return spark.range(1).select(F.posexplode(shards).alias("virtual_slot", "shard"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    return [record_bytes(text_col).alias("size"),
+            F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")).alias("text_crc32"),
+            slot_key(id_col, text_col).alias("slot_key")]
+
+
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """``(id_col, size, text_crc32, virtual_slot)`` of every row."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.select(F.col("id").alias(id_col), record_bytes("text").alias("size"),
-                    F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-                    slot_of("id", "text", n_slots).alias("virtual_slot"))
+    keyed = d.select("id", *_keyed(d, "id", "text")).checkpoint()
+    return with_slots(keyed, n_slots).withColumnRenamed("id", id_col)
 
 
 def assign(recs: DataFrame, m: SlotMap, id_col: str = "doc_id") -> DataFrame:
     """Adds ``shard`` and ``slot``, the row's place in its shard (gapless from
     0): rows in front of its virtual slot in that shard, and its place in the
     virtual slot.  A window holds one virtual slot, a small fixed share of all
-    ids."""
+    rows."""
     spark = recs.sparkSession
     rows = recs.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n"))
     table = map_table(spark, m).join(rows, "virtual_slot")
@@ -161,10 +188,12 @@ def assign(recs: DataFrame, m: SlotMap, id_col: str = "doc_id") -> DataFrame:
 def write_shards(docs: DataFrame, m: SlotMap, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the rows of ``docs`` as ``path/shard=N``; a task writes a few
     virtual slots, not a shard."""
-    n_slots = len(m.shard_of)
-    shard = F.element_at(F.array(*[F.lit(s) for s in m.shard_of]), slot_of(id_col, text_col, n_slots) + 1)
-    (docs.withColumn("shard", shard).repartition("shard", slot_of(id_col, text_col, n_slots) % 16)
-     .write.partitionBy("shard").parquet(path))
+    d = docs.select(F.struct(*[c for c in docs.columns if c != "shard"]).alias("doc"), F.col(id_col).alias("id"),
+                    F.col(text_col).alias("text"))
+    slots = with_slots(d.select("doc", *_keyed(d, "id", "text")), len(m.shard_of))
+    shard = F.element_at(F.array(*[F.lit(s) for s in m.shard_of]), F.col("virtual_slot") + 1)
+    (slots.select("doc", shard.alias("shard"), (F.col("virtual_slot") % 16).alias("lane")).repartition("shard", "lane")
+     .select("doc.*", "shard").write.partitionBy("shard").parquet(path))
 
 
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text",

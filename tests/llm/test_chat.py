@@ -53,3 +53,26 @@ def test_cases(spark):
     df = df.withColumns({c: F.lit(1) for c in ("segment", "loss_start", "n_turns")})
     assert sorted(map(tuple, chat.read_back(chat.format_turns(df)).collect()), key=str) == brute(rows)
     assert chat.read_back(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_a_hot_conversation_is_spread(spark):
+    rnd = random.Random(4)
+    rows = [(5, i // 3, rnd.choice(["user", "assistant"]), f"{i % 11} " + rnd.choice(BITS) * rnd.randint(0, 40)) for i in range(1500)]
+    rows += [(5, 900, "assistant", "the same")] * 1500
+    rows += [(i, 0, "assistant", "z" * (i % 3)) for i in range(1000, 1400)] + [(None, None, None, None)] * 700
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    segments = chat.format_turns(df)
+    from pyspark.sql import functions as F
+    sizes = [r["count"] for r in segments.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 0.3 * len(rows)
+    assert sorted(map(tuple, chat.read_back(segments).collect()), key=str) == brute(rows)
+
+
+def test_pieces_are_bounded(monkeypatch, spark):
+    monkeypatch.setattr(chat, "PIECE", 100)
+    reader = chat._Reader(1, whole=True)
+    for t in ("a" * 1000, "", "b" * 30):
+        reader.add(*chat.render_turn("assistant", t))
+    out = list(reader.pieces())
+    assert all(len(r[5]) <= 100 and len(r[6]) <= 100 for r in out) and [r[1] for r in out] == list(range(len(out)))
+    assert b"".join(r[6] for r in out).decode() == "a" * 1000 + "b" * 30
