@@ -32,3 +32,8 @@ def l2_normalize(a) -> Column:
 
 def cosine(a, b) -> Column:
     return dot(a, b) / (F.sqrt(sq_norm(a)) * F.sqrt(sq_norm(b)))
+
+
+def sq_distance(a, b) -> Column:
+    d = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") - y.cast("double"))
+    return F.aggregate(d, F.lit(0.0).cast("double"), lambda t, v: t + v * v)

@@ -26,12 +26,34 @@ def kmeans_clusters(df: DataFrame, vec: str = "embedding", k: int = 1024, max_it
     d = df.withColumn("_v", vx.l2_normalize(vec) if normalize else vx.as_double(vec))
     n = d.count()
     kk = effective_k(n, k)
+    if kk == 1:  # fewer than 40 rows; Spark's k-means asks for two clusters
+        mean = centroids_by_label(d.select("_v", F.lit(0).alias("_one")), "_v", "_one").first()
+        return d.drop("_v").withColumn("cluster", F.lit(0)), [list(mean["centroid"])] if mean else []
     feats = d.withColumn("_f", array_to_vector("_v"))
     model = KMeans(k=kk, maxIter=max_iter, seed=seed, featuresCol="_f", predictionCol="cluster").fit(feats)
     out = model.transform(feats).drop("_f", "_v")
     return out, [c.tolist() for c in model.clusterCenters()]
 
 
+def kmeans_report(df: DataFrame, id_col: str, vec: str = "embedding", k: int = 1024, max_iter: int = 200, seed: int = 7) -> DataFrame:
+    """One row that says whether a fit can be trusted: rows, the shrunk k, rows
+    without a cluster, clusters that are no fitted centre, and rows whose
+    centre is not a nearest one (by distance, so that ties count as right)."""
+    v = df.select(F.col(id_col).alias("id"), vx.l2_normalize(vec).alias("v"))
+    out, centres = kmeans_clusters(v, "v", k, max_iter, seed, normalize=False)
+    spark = df.sparkSession
+    made = spark.createDataFrame([(i, c) for i, c in enumerate(centres)], "cid long, centroid array<double>")
+    own = out.select("id", "v", F.col("cluster").cast("long").alias("mine")).checkpoint()
+    near = assign_nearest_centroid(own, made, "v", out="best")
+    gap = vx.sq_distance("v", "centroid") - F.col("best_dist")
+    judged = near.join(made, F.col("mine") == F.col("cid"), "left")
+    return judged.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("mine").isNull().cast("long")).alias("n_unassigned"),
+                      F.sum(F.col("cid").isNull().cast("long")).alias("n_unknown"),
+                      F.sum((gap > 1e-9).cast("long")).alias("n_not_nearest")).withColumn(
+        "k", F.when(F.col("n_rows") < 20 * k, F.greatest(F.lit(1), F.floor(F.col("n_rows") / 20))).otherwise(k).cast("long")).withColumn(
+        "k_fits", F.lit(len(centres)) <= F.col("k"))
+
+
 def centroids_by_label(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Exact per-label mean vectors (the test centroids): (label, dim) grouped mean."""
     e = df.select(F.col(label).alias("cid"), F.posexplode(vx.as_double(vec)).alias("dim", "x"))
@@ -64,20 +86,24 @@ def _nearest(shared, vec: str, out: str, cells: int):
 
 
 def assign_nearest_centroid(df: DataFrame, centroids: DataFrame, vec: str = "embedding",
-                            block: int = 65_536, out: str = "cluster") -> DataFrame:
+                            block_bytes: int = 64 << 20, out: str = "cluster") -> DataFrame:
     """Nearest centroid (squared L2; ties -> smallest centroid id).  The
-    centroid table is split into blocks of about ``block`` rows; each is
-    shipped as a broadcast variable to one Arrow pass over the vectors, which
-    carry their best so far.  No vector x centroid join is materialised."""
-    n = max(1, -(-centroids.count() // block))
+    centroid table is split into blocks of about ``block_bytes`` by count and
+    dimension; each comes through Arrow and is shipped as a broadcast variable
+    to one Arrow pass over the vectors, which carry their best so far.  No
+    vector x centroid join is materialised."""
+    size = centroids.agg(F.sum(8 * (F.size("centroid").cast("long") + 1))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
     schema = T.StructType(df.schema.fields + [T.StructField(out, T.LongType()),
                                               T.StructField(out + "_dist", T.DoubleType())])
     d = df.withColumns({out: F.lit(2 ** 63 - 1), out + "_dist": F.lit(float("inf"))})
     for b in range(n):
-        rows = centroids.where(F.pmod(F.xxhash64("cid"), F.lit(n)) == b).select("cid", "centroid").orderBy("cid").collect()
-        if not rows:
+        rows = centroids.where(F.pmod(F.xxhash64("cid"), F.lit(n)) == b).select(
+            F.col("cid").cast("long"), F.col("centroid").cast("array<double>")).orderBy("cid").toArrow().combine_chunks()
+        if not rows.num_rows:
             continue
+        flat = rows.column("centroid").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         shared = df.sparkSession.sparkContext.broadcast(
-            (np.array([r["cid"] for r in rows], dtype=np.int64), np.array([r["centroid"] for r in rows], dtype=np.float64)))
+            (rows.column("cid").to_numpy(), flat.reshape(rows.num_rows, -1)))
         d = d.mapInPandas(_nearest(shared, vec, out, 1 << 22), schema)
     return d

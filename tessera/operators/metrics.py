@@ -130,17 +130,10 @@ def v_measure(assign: DataFrame, truth: str, pred: str) -> DataFrame:
                                  / (F.col("homogeneity") + F.col("completeness"))).alias("v_measure"))
 
 
-def probe_accuracy(train: DataFrame, test: DataFrame, vec: str, label: str, max_iter: int = 100) -> DataFrame:
-    """Linear probe: multinomial logistic regression on the vectors; test
-    accuracy and macro-F1 from a grouped confusion table."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    tr = train.select(array_to_vector(vec).alias("f"), F.col(label).cast("double").alias("y"))
-    te = test.select(array_to_vector(vec).alias("f"), F.col(label).cast("double").alias("y"))
-    model = LogisticRegression(featuresCol="f", labelCol="y", maxIter=max_iter).fit(tr)
-    pred = model.transform(te).select("y", "prediction")
-    conf = pred.groupBy("y", "prediction").agg(F.count(F.lit(1)).alias("n"))
+def classification_scores(pred: DataFrame, truth: str = "y", guess: str = "prediction") -> DataFrame:
+    """Accuracy and macro-F1 (over the classes seen on either side) from a
+    grouped confusion table."""
+    conf = pred.groupBy(F.col(truth).alias("y"), F.col(guess).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
     tp = conf.where(F.col("y") == F.col("prediction")).select(F.col("y").alias("c"), F.col("n").alias("tp"))
     act = conf.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("na"))
     prd = conf.groupBy(F.col("prediction").alias("c")).agg(F.sum("n").alias("np"))
@@ -148,3 +141,20 @@ def probe_accuracy(train: DataFrame, test: DataFrame, vec: str, label: str, max_
     return per.agg(
         _safe_div(F.sum("tp").cast("double"), F.sum("na").cast("double")).alias("accuracy"),
         F.avg(_safe_div(2.0 * F.col("tp"), (F.col("na") + F.col("np")).cast("double"))).alias("macro_f1"))
+
+
+def probe_predictions(train: DataFrame, test: DataFrame, vec: str, label: str, max_iter: int = 100) -> DataFrame:
+    """``(y, prediction)`` of the test rows by a multinomial logistic
+    regression on the vectors of the training rows."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    tr = train.select(array_to_vector(vec).alias("f"), F.col(label).cast("double").alias("y"))
+    te = test.select(array_to_vector(vec).alias("f"), F.col(label).cast("double").alias("y"))
+    model = LogisticRegression(featuresCol="f", labelCol="y", maxIter=max_iter).fit(tr)
+    return model.transform(te).select("y", "prediction")
+
+
+def probe_accuracy(train: DataFrame, test: DataFrame, vec: str, label: str, max_iter: int = 100) -> DataFrame:
+    """Linear probe: test accuracy and macro-F1."""
+    return classification_scores(probe_predictions(train, test, vec, label, max_iter))

@@ -146,15 +146,14 @@ select c.lang, c.dataset, case when c.dataset in ('src0', 'src1', 'src2', 'src3'
 from cells c
 """)
 def results_store_lookup(spark, d):
+    """Files of two models below one root; those of one are read."""
     root = scratch_path(spark, "store")
-    cells = R.dataset_language_score(T.fx_scores(spark, d))
+    cells = R.dataset_language_score(T.fx_scores(spark, d)).withColumn("split", F.lit("test"))
     stored = cells.where(F.col("dataset").isin([f"src{i}" for i in range(10)]))
-    (stored.select("lang", F.lit("model-a").alias("model"), F.lit("r1").alias("revision"),
-                   F.col("dataset").alias("task"), "score")
-     .write.partitionBy("lang", "model", "revision", "task").parquet(root))
-    (cells.select("lang", F.lit("model-b").alias("model"), F.lit("r1").alias("revision"),
-                  F.col("dataset").alias("task"), (F.col("score") + 1).alias("score"))
-     .write.mode("append").partitionBy("lang", "model", "revision", "task").parquet(root))
+    io.results_store_publish(stored, root, "model-a", "r1")
+    io.results_store_publish(cells.withColumn("score", F.col("score") + 1), root, "model-b", "r1")
+    if io.results_store_publish(stored.withColumn("score", F.col("score") + 2), root, "model-a", "r1"):
+        raise RuntimeError("a stored result was replaced")
     out = io.results_store_lookup(spark, root, cells.select("lang", "dataset"), "model-a", "r1")
     return out.select("lang", "dataset", r6("score"))
 

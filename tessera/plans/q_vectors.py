@@ -197,6 +197,16 @@ def kmeans_clusters(spark, d):
     return out.select("vec_id", F.col("cluster").cast("bigint").alias("cluster"))
 
 
+@register("kmeans_report", """
+select count(*) as n_rows, cast(0 as bigint) as n_unassigned, cast(0 as bigint) as n_unknown, cast(0 as bigint) as n_not_nearest,
+       cast(case when count(*) < 20 * 1024 then greatest(1, count(*) // 20) else 1024 end as bigint) as k, true as k_fits
+from fx_vectors
+""")
+def kmeans_report(spark, d):
+    """The fit of kmeans_clusters, judged row by row."""
+    return C.kmeans_report(T.fx_vectors(spark, d), "vec_id")
+
+
 _CENT_SQL = """
 cx as (select cluster as cid, unnest(range(len(embedding))) as dim, unnest(embedding)::double as x from fx_vectors),
 cent as (select cid, list(v order by dim) as centroid from (select cid, dim, avg(x) as v from cx group by cid, dim) group by cid),
@@ -324,3 +334,17 @@ def probe_accuracy(spark, d):
     train = v.where(key < "c")
     test = v.where(key >= "c")
     return M.probe_accuracy(train, test, "embedding", "cluster").select(r6("accuracy"), r6("macro_f1"))
+
+
+@register("classification_scores", "with " + _CENT_SQL + """,
+cls as (select distinct truth as c from asg union select distinct pred from asg),
+per as (select c, (select count(*) from asg where truth = c and pred = c) as tp, (select count(*) from asg where truth = c) as na,
+               (select count(*) from asg where pred = c) as np from cls)
+select round((select count(*) from asg where truth = pred) / (select count(*) from asg), 6) as accuracy,
+       round(avg(2.0 * tp / (na + np)), 6) as macro_f1 from per
+""")
+def classification_scores(spark, d):
+    """The probe's figures for the nearest-centroid classifier."""
+    v = T.fx_vectors(spark, d)
+    a = C.assign_nearest_centroid(v, C.centroids_by_label(v, "embedding", "cluster"), "embedding", out="pred")
+    return M.classification_scores(a, "cluster", "pred").select(r6("accuracy"), r6("macro_f1"))

@@ -214,12 +214,66 @@ def results_from_json(docs: DataFrame, col: str = "value") -> DataFrame:
     return a.select("lang", F.explode("inner").alias("dataset", "score"))
 
 
+# one result document: scores per split, each for some languages
+TASK_RESULT = "task_name string, scores map<string,array<struct<main_score:double,languages:array<string>>>>"
+SAFE_NAME = r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$"  # a path element that needs no escape and is not hidden
+
+
+def results_store_publish(cells: DataFrame, root: str, model: str, revision: str) -> list[str]:
+    """``(lang, dataset, split, score)`` -> one JSON document per task at
+    ``root/lang/model/revision/dataset.json``.  Spark writes the documents to
+    a staging folder; the driver moves each by one rename (as many as there are
+    tasks, no data).  A task that has a result keeps it.  Returns the paths
+    that are new; names that are no plain path element are an error."""
+    spark, root = cells.sparkSession, root.rstrip("/")
+    names = F.array(F.col("lang"), F.col("dataset"), F.lit(model), F.lit(revision))
+    bad = cells.where(~F.coalesce(F.forall(names, lambda n: n.rlike(SAFE_NAME)), F.lit(False))).select("lang", "dataset").first()
+    if bad:
+        raise ValueError(f"no file name for {bad['lang']!r}, {bad['dataset']!r}, {model!r}, {revision!r}")
+    entry = F.struct(F.col("score").alias("main_score"), F.array("lang").alias("languages"))
+    per_split = cells.groupBy("lang", "dataset", "split").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+    docs = per_split.groupBy("lang", "dataset").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "entries")))).alias("scores"))
+    staging, fs = _fs(spark, f"{root}/.staging-{uuid.uuid4().hex[:12]}")
+    (docs.select(F.col("dataset").alias("task_name"), "scores", F.col("lang").alias("l"), F.col("dataset").alias("t"))
+     .write.partitionBy("l", "t").json(str(staging)))
+    jvm_path, made = spark._jvm.org.apache.hadoop.fs.Path, []
+    files = fs.listFiles(staging, True)
+    while files.hasNext():
+        at = files.next().getPath()
+        if not at.getName().startswith("part-"):
+            continue
+        task, lang = (p.getName().split("=", 1)[1] for p in (at.getParent(), at.getParent().getParent()))
+        folder = jvm_path(f"{root}/{lang}/{model}/{revision}")
+        target = jvm_path(folder, f"{task}.json")
+        fs.mkdirs(folder)
+        if not fs.exists(target) and fs.rename(at, target):
+            made.append(target.toString())
+    fs.delete(staging, True)
+    return sorted(made)
+
+
+def results_store_scan(spark: SparkSession, root: str, model: str, revision: str) -> DataFrame:
+    """``(lang, dataset, score)`` of one model and revision, and of no other
+    file: a glob picks the paths, language and task come from each path, and
+    the score is the mean over a document's entries for that language."""
+    glob, fs = _fs(spark, f"{root.rstrip('/')}/*/{model}/{revision}/*.json")
+    found = fs.globStatus(glob)
+    if not found:  # nothing stored yet
+        return spark.createDataFrame([], "lang string, dataset string, score double")
+    docs = spark.read.schema(TASK_RESULT).json(str(glob)).select(
+        F.split("_metadata.file_path", "/").alias("path"), F.flatten(F.map_values("scores")).alias("entries"))
+    lang = F.element_at("path", -4)
+    scores = docs.select(lang.alias("lang"), F.regexp_replace(F.element_at("path", -1), r"\.json$", "").alias("dataset"),
+                         F.filter("entries", lambda e: F.array_contains(e["languages"], lang)).alias("own"))
+    total = F.aggregate("own", F.lit(0.0), lambda acc, e: acc + e["main_score"])
+    return scores.select("lang", "dataset", F.when(F.size("own") > 0, total / F.size("own")).alias("score"))
+
+
 def results_store_lookup(spark: SparkSession, root: str, wanted: DataFrame, model: str, revision: str) -> DataFrame:
-    """Stored results under ``lang/model/revision/task`` partitions; the
-    requested cells left-joined (missing -> null score); partition filters
-    prune the scan."""
-    store = spark.read.parquet(root).where((F.col("model") == model) & (F.col("revision") == revision))
-    return wanted.join(store.select("lang", F.col("task").alias("dataset"), "score"), ["lang", "dataset"], "left")
+    """The requested ``(lang, dataset)`` cells with the stored score of the
+    model and revision, null where there is none."""
+    return wanted.join(results_store_scan(spark, root, model, revision), ["lang", "dataset"], "left")
 
 
 def report_by_language(sheet: DataFrame, path: str) -> DataFrame:

@@ -84,8 +84,8 @@ def test_centroid_blocks_agree(spark):
     df = spark.createDataFrame([(i, X[i].tolist()) for i in range(80)], "id long, embedding array<double>")
     cents = spark.createDataFrame([(i, C[i].tolist()) for i in range(40)], "cid long, centroid array<double>")
     want = {i: int(np.lexsort((np.arange(40), ((C - X[i]) ** 2).sum(axis=1)))[0]) for i in range(80)}
-    for block in (65_536, 7):
-        assert {r.id: r.cluster for r in assign_nearest_centroid(df, cents, block=block).collect()} == want
+    for block_bytes in (64 << 20, 7 * 32):  # all, and 7 centroids of 32 bytes
+        assert {r.id: r.cluster for r in assign_nearest_centroid(df, cents, block_bytes=block_bytes).collect()} == want
 
 
 def test_average_precision_counts_what_is_beyond_the_cut(spark):
