@@ -11,6 +11,8 @@ from tessera.operators import joins as J
 from tessera.operators import rollups as R
 from tessera.plans import registry as REG
 from tessera.plans.catalog import joined, r6, register
+from tessera.session import scratch_path
+from tessera.sources import catalogue as CT
 from tessera.sources import tables as T
 
 MD5U = "((('0x' || substr(md5(concat_ws(':', {parts})), 1, 8))::UBIGINT) / 4294967296.0)"
@@ -169,6 +171,56 @@ def task_instruction_lookup(spark, d):
     return R.task_instruction_lookup(_cells(spark, d), f, p)
 
 
+# stand-in catalogue from the documents: an entry per language and source but
+# every third, for all languages every second source, some twice or empty
+_CATALOGUE_SQL = """src as (select distinct lang, source, cast(substr(source, 4) as int) as i from documents),
+entries as (select lang, source as dataset, 'In ' || lang || ', find texts of ' || source || '.' as instruction from src where i % 3 <> 0
+  union all select lang, source, 'Find ' || lang || ' ' || source || '.' from src where i % 8 = 1
+  union all select '*', source, case when i % 5 <> 0 then 'Find texts of ' || source || '.' else ' ' end
+  from (select distinct source, i from src) where i % 2 = 0),
+one as (select lang, dataset, min(instruction) as instruction from entries where trim(instruction) <> '' group by lang, dataset)"""
+
+
+def _catalogue_file(spark, d):
+    src = T.table(spark, d, "documents").select("lang", F.col("source").alias("dataset"), F.substring("source", 4, 9).cast("int").alias("i")).distinct()
+    own = src.where("i % 3 <> 0").select("lang", "dataset", F.expr("concat('In ', lang, ', find texts of ', dataset, '.')").alias("instruction"))
+    again = src.where("i % 8 = 1").select("lang", "dataset", F.expr("concat('Find ', lang, ' ', dataset, '.')").alias("instruction"))
+    everyone = src.select("dataset", "i").distinct().where("i % 2 = 0").select(
+        F.lit(CT.ANY).alias("lang"), "dataset", F.expr("case when i % 5 <> 0 then concat('Find texts of ', dataset, '.') else ' ' end").alias("instruction"))
+    path = scratch_path(spark, "catalogue")
+    for rows in (own, again, everyone):
+        tasks = rows.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("dataset", F.struct(
+            "instruction", F.lit("Retrieval").alias("task_type"))))).alias("tasks"))
+        tasks.select(F.to_json(F.create_map("lang", "tasks"))).write.mode("append").text(path)
+    return path
+
+
+@register("catalogue_lookup", "with " + CELLS_SQL + ", " + _CATALOGUE_SQL + """
+select c.lang, c.dataset, coalesce(a.instruction, b.instruction) as instruction,
+       case when coalesce(a.instruction, b.instruction) is not null then 'Retrieval' end as task_type, coalesce(a.lang, b.lang) as found_in
+from cells c left join one a on a.lang = c.lang and a.dataset = c.dataset left join one b on b.lang = '*' and b.dataset = c.dataset
+""")
+def catalogue_lookup(spark, d):
+    """Instructions from catalogue files: a cell's language, then the entries for all."""
+    entries, _ = CT.scan_catalogue(spark, _catalogue_file(spark, d))
+    return CT.catalogue_lookup(_cells(spark, d).select("lang", "dataset"), entries)
+
+
+@register("catalogue_problems", "with " + CELLS_SQL + ", " + _CATALOGUE_SQL + ", known as " + _values(
+    [(lang,) for lang in REG.LANG_TO_CODES if lang != "fr"], ["lang"]) + """
+select 'duplicate' as kind, lang, dataset, count(*) as n from entries group by lang, dataset having count(*) > 1
+union all select 'unknown language', lang, null, count(*) from entries where lang <> '*' and lang not in (select lang from known) group by lang
+union all select 'no instruction', lang, dataset, count(*) from entries where trim(instruction) = '' group by lang, dataset
+union all select 'not found', c.lang, c.dataset, count(*) from cells c
+where not exists (select 1 from one where one.dataset = c.dataset and one.lang in (c.lang, '*')) group by c.lang, c.dataset
+""")
+def catalogue_problems(spark, d):
+    """What is wrong with the catalogue files, for a user without French."""
+    entries, _ = CT.scan_catalogue(spark, _catalogue_file(spark, d))
+    known = REG.lang_codes(spark).where(F.col("lang") != "fr").select("lang").distinct()
+    return CT.catalogue_problems(entries, known, _cells(spark, d).select("lang", "dataset"))
+
+
 # fixed values: short language code -> script-qualified code
 SCRIPT_CODES = [("de", "deu_Latn"), ("en", "eng_Latn"), ("es", "spa_Latn"), ("fr", "fra_Latn"), ("ru", "rus_Cyrl")]
 
@@ -186,6 +238,19 @@ def lang_pair_parse(spark, d):
     return J.lang_pair_parse(pairs, sc, "pair").select("pair", "src_script", "tgt_script", "unknown")
 
 
+@register("script_pair_parse", "with sc as " + _values(SCRIPT_CODES, ["short", "script"]) + """,
+p as (select distinct lang as src from documents where lang <> 'en')
+select sc.script || '-eng_Latn' as pair, p.src, 'en' as tgt from p join sc on sc.short = p.src
+""")
+def script_pair_parse(spark, d):
+    """The other direction: pairs of script codes back to short codes."""
+    sc = spark.createDataFrame(SCRIPT_CODES, "short string, script string")
+    known = lang_pair_parse(spark, d).where(F.col("unknown") == "")
+    pairs = known.select(F.concat_ws("-", "src_script", "tgt_script").alias("pair"))
+    back = J.lang_pair_parse(pairs, sc.select(F.col("script").alias("short"), F.col("short").alias("script")), "pair")
+    return back.select("pair", F.col("src_script").alias("src"), F.col("tgt_script").alias("tgt"))
+
+
 # --------------------------------------------------------------- alignment
 @register("select_training_datasets", "with g as " + _values(
     [(lang, n) for lang, ns in REG.LANG_GROUPS.items() for n in ns], ["lang", "name"]) + """
@@ -225,6 +290,25 @@ def _aligned(spark, d):
 _U = MD5U.format(parts="'777', '{t}', cast(e.row_id as varchar)")
 
 
+ALIGN_MODES = [("reconstruct", True, False), ("align", False, True), ("both", True, True)]
+
+
+@register("alignment_datasets", "with m as " + _values(ALIGN_NAMES, ["lang", "name", "instruction"]) + ", rt as " + _routes_sql()
+          + ", modes as " + _values(ALIGN_MODES, ["mode", "r", "a"]) + """
+select mode, rt.name, rt.route, count(*) as n_examples
+from fx_examples e join m on m.lang = e.dataset join rt on rt.name = m.name
+join modes on case when rt.route = 'reconstruct' then r else a end
+group by mode, rt.name, rt.route
+""")
+def alignment_datasets(spark, d):
+    """Examples that each mode of pre-training takes, by dataset and route."""
+    m = spark.createDataFrame(ALIGN_NAMES, "dataset string, name string, instruction string").select("dataset", "name")
+    sizes = T.fx_examples(spark, d).join(m, "dataset").groupBy("name").agg(F.count(F.lit(1)).alias("n_examples"))
+    modes = [AL.alignment_datasets(REG.alignment_routes(spark), r, a).join(sizes, "name").withColumn("mode", F.lit(mode))
+             for mode, r, a in ALIGN_MODES]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2]).select("mode", "name", "route", "n_examples")
+
+
 @register("route_alignment_task", "with m as " + _values(ALIGN_NAMES, ["lang", "name", "instruction"])
           + ", rt as " + _routes_sql() + f""",
 x as (select e.row_id, m.name as dataset, e.query, e.positive, m.instruction, rt.route,

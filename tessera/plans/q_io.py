@@ -4,6 +4,8 @@ reads it back through the operator under test."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
@@ -69,6 +71,21 @@ def scan_with_fallback_path(spark, d):
     return io.scan_with_fallback_path(spark, "tessera_no_such_table", path, PAIR_SCHEMA)
 
 
+@register("scan_with_fallback_table", """
+select conv_id, turn, query, positive, case when turn % 4 = 0 then 'table' else 'file' end as branch from fx_pairs
+""")
+def scan_with_fallback_table(spark, d):
+    """Both branches: a named table that exists, and a file for one that does not."""
+    pairs, path = T.fx_pairs(spark, d), scratch_path(spark, "fallback")
+    in_table = F.col("turn") % 4 == 0
+    name = f"tessera_pairs_{uuid.uuid4().hex[:12]}"
+    io.sink_catalog_table(pairs.where(in_table), name, f"{path}-table")
+    io.sink_jsonl(pairs.where(~in_table), f"{path}-file")
+    have = io.scan_with_fallback_path(spark, name, f"{path}-file", PAIR_SCHEMA).withColumn("branch", F.lit("table"))
+    rest = io.scan_with_fallback_path(spark, name + "_absent", f"{path}-file", PAIR_SCHEMA).withColumn("branch", F.lit("file"))
+    return have.unionByName(rest).select("conv_id", "turn", "query", "positive", "branch")
+
+
 @register("scan_split_slice", "select doc_id, lang from documents order by doc_id limit 100")
 def scan_split_slice(spark, d):
     return io.scan_split_slice(T.table(spark, d, "documents").select("doc_id", "lang"), 100, "doc_id")
@@ -132,6 +149,19 @@ def sink_table(spark, d):
     return t.select("row_id", "dataset", "cluster", "query")
 
 
+@register("sink_catalog_table", """
+select row_id, case when dataset = 'en' then 'again ' || query else query end as query, dataset from fx_examples
+""")
+def sink_catalog_table(spark, d):
+    """A named table, partitioned by dataset and bucketed by row; the English
+    partition is then written anew and the others stay."""
+    ex = T.fx_examples(spark, d).select("row_id", "query", "dataset")
+    name = f"tessera_examples_{uuid.uuid4().hex[:12]}"
+    io.sink_catalog_table(ex, name, scratch_path(spark, "named"), ["dataset"], ["row_id"])
+    english = ex.where(F.col("dataset") == "en").withColumn("query", F.concat(F.lit("again "), "query"))
+    return io.overwrite_partitions(english, name)
+
+
 @register("results_json_io", "with " + CELLS_SQL + " select lang, dataset, round(score, 6) as score from cells")
 def results_json_io(spark, d):
     path = scratch_path(spark, "results")

@@ -214,6 +214,33 @@ def results_from_json(docs: DataFrame, col: str = "value") -> DataFrame:
     return a.select("lang", F.explode("inner").alias("dataset", "score"))
 
 
+def sink_catalog_table(df: DataFrame, table: str, path: str, partition_by=(), bucket_by=(), buckets: int = 8) -> DataFrame:
+    """Saves a named table of the session's catalog, its files below ``path``,
+    partitioned and bucketed; a table of that name is an error."""
+    w = df.write.format("parquet").option("path", path)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if bucket_by:
+        w = w.bucketBy(buckets, *bucket_by).sortBy(*bucket_by)
+    w.saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def overwrite_partitions(df: DataFrame, table: str) -> DataFrame:
+    """Replaces those partitions of a named table that ``df`` has rows of;
+    columns go by name."""
+    spark = df.sparkSession
+    ordered = df.select(*spark.table(table).columns)
+    mode = "spark.sql.sources.partitionOverwriteMode"  # a writer's option does not reach insertInto
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        ordered.write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(mode, before)
+    return spark.table(table)
+
+
 # one result document: scores per split, each for some languages
 TASK_RESULT = "task_name string, scores map<string,array<struct<main_score:double,languages:array<string>>>>"
 SAFE_NAME = r"^[A-Za-z0-9_-][A-Za-z0-9._-]*$"  # a path element that needs no escape and is not hidden
