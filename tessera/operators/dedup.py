@@ -79,7 +79,7 @@ def permutations(num_perm: int, seed: int = 42, bits: int = 28):
         return int(hashlib.md5(f"{seed}:{tag}:{i}".encode()).hexdigest()[:digits], 16)
     a = np.array([1 + h("a", i) % (prime - 1) for i in range(num_perm)], dtype=np.uint64)
     b = np.array([h("b", i) % prime for i in range(num_perm)], dtype=np.uint64)
-    return (a.astype(np.int64), b.astype(np.int64)) if bits == 28 else (a, b)
+    return a, b
 
 
 def _affine_mod61(a: np.ndarray, h: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,11 +95,25 @@ def _affine_mod61(a: np.ndarray, h: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(x >= p, x - p, x)
 
 
+# ---- primes below a power of two: 2^k counts as c, so high bits are folded
+# onto the low ones (as often as named) in place of a division
+FOLDS = {16: (16, 15, 2), 28: (31, 1, 1), 32: (32, 5, 2)}
+
+
 def _affine(a: np.ndarray, h: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
     """((a*h + b) mod prime) cut to the width of a signature; broadcasts."""
     if bits == 64:
         return _affine_mod61(a, h, b) & np.uint64(HASH_WIDTHS[64][1])
-    return (a * h + b) % a.dtype.type(HASH_WIDTHS[bits][0])
+    k, c, times = FOLDS[bits]
+    x = a * h
+    x += b
+    for _ in range(times):
+        high = x >> np.uint64(k)
+        if c > 1:
+            high *= np.uint64(c)
+        x &= np.uint64((1 << k) - 1)
+        x += high
+    return np.minimum(x, x - np.uint64(HASH_WIDTHS[bits][0]))  # below the prime the difference wraps round
 
 
 @dataclass(frozen=True)
@@ -163,40 +177,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- signatures
 def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, bits: int = 28,
-                     budget: int = 1 << 22) -> list:
-    """Row-wise min of (a*h + b) mod p over the hashes of each row; rows are
-    stacked in blocks of ~``budget`` cells so numpy works on big arrays."""
-    k = len(a)
-    out: list = [None] * len(hashes)
-    full = np.full(k, HASH_WIDTHS[bits][1], dtype=a.dtype)
-    ac, bc = a[:, None], b[:, None]
-    i, n = 0, len(hashes)
-    while i < n:
-        h = hashes[i]
-        if h.size == 0:
-            out[i] = full.copy()
-            i += 1
-            continue
-        if h.size * k >= budget:  # one big row: running min over column chunks
-            step = max(1, budget // k)
-            acc = full.copy()
-            for s in range(0, h.size, step):
-                acc = np.minimum(acc, _affine(ac, h[None, s:s + step], bc, bits).min(axis=1))
-            out[i] = acc
-            i += 1
-            continue
-        j, cells = i, 0
-        while j < n and hashes[j].size > 0 and (cells + hashes[j].size) * k < budget:
-            cells += hashes[j].size
-            j += 1
-        seg = hashes[i:j]
-        cat = np.concatenate(seg)
-        starts = np.cumsum([0] + [x.size for x in seg[:-1]])
-        m = _affine(ac, cat[None, :], bc, bits)
-        mins = np.minimum.reduceat(m, starts, axis=1)
-        for t in range(j - i):
-            out[i + t] = mins[:, t]
-        i = j
+                     budget: int = 12_000) -> list:
+    """Row-wise min of (a*h + b) mod p over the hashes of each row, by a few
+    hashes at a time: ~``budget`` cells, which stay in a core's cache."""
+    step = max(1, budget // len(a))
+    ar, br = a[None, :], b[None, :]
+    out = []
+    for h in hashes:
+        least = np.full(len(a), HASH_WIDTHS[bits][1], dtype=a.dtype)
+        for s in range(0, h.size, step):
+            np.minimum(least, _affine(ar, h[s:s + step, None], br, bits).min(axis=0), out=least)
+        out.append(least)
     return out
 
 
@@ -206,7 +197,7 @@ def signature_udf(num_perm: int, seed: int = 42, bits: int = 28):
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sig(hs: pd.Series) -> pd.Series:
         arrs = [np.asarray(x, dtype=a.dtype) if x is not None else np.zeros(0, a.dtype) for x in hs]
-        return pd.Series([r.tolist() for r in _signature_block(arrs, a, b, bits)])
+        return pd.Series([r.view(np.int64) for r in _signature_block(arrs, a, b, bits)])
     return sig
 
 
