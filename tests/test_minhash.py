@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -83,3 +84,24 @@ def test_near_duplicates_by_xxh3(spark):
     cfg = D.MinHashConfig(num_perm=250, threshold=0.7, hash_func="xxh3", hash_bits=64)
     got = {r["id"]: r["cluster"] for r in D.near_dup_clusters(docs, "doc_id", "text", cfg).clusters.collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+@pytest.mark.parametrize("cfg", CONFIGS, ids=lambda c: f"{c.hash_func}-{c.hash_bits}")
+def test_signatures_of_many_sizes_leave_in_bounded_batches(cfg, monkeypatch):
+    """Repeated hashes, rows longer than a piece, the ends of the range, null and
+    empty lists; a worker hands on at most OUT_BYTES of signatures at a time."""
+    monkeypatch.setattr(D, "OUT_BYTES", 1 << 18)
+    rng = np.random.default_rng(11)
+    top = (1 << min(cfg.hash_bits, 32)) - 1
+    rows = [rng.integers(0, top + 1, n).astype(np.int64) for n in (0, 1, 7, 31, 32, 33, 300, 301, D.PIECE, 5 * D.PIECE + 3)]
+    rows += [np.array([0] * 40 + [top] * 40), np.array([top, 0, 1, top - 1] * 20), np.repeat(rows[6], 3), np.arange(200)] * 3
+    rows = [*rows, None] * 10
+    a, b = D.permutations(250, 3, cfg.hash_bits)
+    want = D._signature_block([np.asarray(x if x is not None else [], dtype=np.uint64) for x in rows[:53]], a, b, cfg.hash_bits)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.int64()))], ["id", "signature"])
+    out = list(D._signed(250, 3, cfg.hash_bits)([batch.slice(5), batch.slice(0, 5)]))
+    assert len(out) > 2 and max(x.num_rows * 250 * 8 for x in out) <= D.OUT_BYTES
+    got = {i: v for x in out for i, v in zip(x.column("id").to_pylist(), x.column("signature"))}
+    assert len(got) == len(rows)
+    for i in range(53):
+        assert got[i].values.to_numpy().tolist() == want[i].tolist(), i
