@@ -1,6 +1,7 @@
 """Exact k-NN with metric pruning against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.operators import knn as K
@@ -118,3 +119,36 @@ def test_cases(spark):
     assert K.knn_topk(*frames(spark, [], [(1, [1.0])]), 3).count() == 0
     assert K.knn_topk(*frames(spark, rows, []), 3).count() == 0
     assert K.knn_topk(*frames(spark, [(1, None)], [(1, [1.0])]), 3).count() == 0
+
+
+def test_results_leave_a_worker_in_bounded_batches(monkeypatch):
+    """One batch of 2,000 queries of 100 neighbours each; few queries at a time, the same rows."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(K, "RESULTS", 20_000)
+    monkeypatch.setattr(K, "CHUNK", 1 << 12)
+    x = np.array(clustered(3000, 6, 30, 8))
+    pivots = x[:50]
+    mid = pivots.mean(axis=0)
+    d = K._distances(x, pivots, mid)
+    cell = d.argmin(axis=1)
+    group = K.Group(x, np.arange(3000), cell, d[np.arange(3000), cell])
+    q = x[:2000]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(2000)), pa.array(list(q))], ["qid", "qvec"])
+    out = list(K._whole_topk(SimpleNamespace(value=(K.Cells("l2", pivots, mid), group)), 100)([batch]))
+    assert max(b.num_rows for b in out) <= 20_000
+    got = {}
+    for b in out:
+        for i, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            got.setdefault(i, []).append(c)
+    for i in range(0, 2000, 37):
+        true = ((x - q[i]) ** 2).sum(axis=1)
+        assert got[i] == np.lexsort((np.arange(3000), true))[:100].tolist()
+    assert sorted(got) == list(range(2000))
+
+
+def test_few_true_cells_are_found():
+    rng = np.random.default_rng(9)
+    for share in (0.0, 0.01, 0.5, 1.0):
+        mask = rng.random((7, 40)) < share
+        assert [a.tolist() for a in K._true(mask)] == [a.tolist() for a in np.nonzero(mask)]
