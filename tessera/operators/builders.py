@@ -4,7 +4,7 @@ use ranks (no whole-group lists) and collect at most one chunk per row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -124,7 +124,6 @@ def build_chunked_cluster_examples(df: DataFrame, text: str, group: str, order:
     r = r.where(F.col("rn") <= cap).withColumn("chunk", F.floor((F.col("rn") - 1) / chunk).cast("bigint"))
     chunks = r.select(group, "chunk").distinct()
     # chunks per group <= cap / chunk, so this window is bounded in size
-    from pyspark.sql import Window
     w = Window.partitionBy(group).orderBy(order_key(seed, "chunk", group, "chunk"), "chunk")
     picked = chunks.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= max_chunks).drop("_k")
     members = r.join(picked, [group, "chunk"], "left_semi").join(df.select(group, order, text), [group, order])
@@ -137,26 +136,49 @@ def build_chunked_cluster_examples(df: DataFrame, text: str, group: str, order:
         cl.alias("cluster"))
 
 
+RING_BLOCK = 1024  # ring places whose texts meet in one window
+
+
 def classification_to_clustering(df: DataFrame, text: str, label: str, key: str,
                                  window: int = 16, seed: int = 0) -> DataFrame:
     """Every text becomes a query; its positives are the next ``window`` label
     mates in an md5 ring order of the label (never itself; all mates when the
-    label has at most ``window + 1`` members).  O(window * n) rows via an
-    equi-join on ``(label, ring rank)``; no per-label list is built."""
+    label has at most ``window + 1`` members).  The ring is cut into blocks that
+    also hold the ``window`` places after them, so a text travels about once and
+    not once per mate, and no per-label list is built.  Rows that repeat a key
+    share the mates of all of them."""
     base = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_label"))
     ranked = rank_in_group(base.select("_key", "_label", order_key(seed, "ring", "_key").alias("_ok")),
                            ["_label"], ["_ok", "_key"], out="_r", size_col="_n")
     ranked = ranked.withColumn("_r", F.col("_r") - 1).drop("_ok")
-    offs = ranked.select(
-        "_key", "_label", "_n", "_r",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(window), F.col("_n") - 1))).alias("_k")
-    ).where(F.col("_n") > 1)
-    offs = offs.withColumn("_tr", F.pmod(F.col("_r") + F.col("_k"), F.col("_n")))
-    mates = ranked.select("_label", F.col("_r").alias("_tr"), F.col("_key").alias("_mk"))
-    texts = base.select(F.col("_key").alias("_mk"), F.col("_text").alias("_mate"))
-    pos = offs.join(mates, ["_label", "_tr"]).join(texts, "_mk").groupBy("_key").agg(
-        F.sort_array(F.collect_list(F.struct("_k", "_mate"))).alias("_p"))
-    out = base.join(pos, "_key", "left")
-    return out.select(F.col("_key").alias(key), F.col("_text").alias("query"),
-                      F.coalesce(F.col("_p._mate"), F.array().cast("array<string>")).alias("positive"),
-                      F.col("_label").alias("cluster"))
+    texts = base.where(F.col("_key").isNotNull()).groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("_text"))).alias("_t"), F.count(F.lit(1)).alias("_c"))
+    again = base.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
+
+    size = max(RING_BLOCK, window)
+    block = lambda place: F.floor(place / size)
+    e, n = F.col("_e"), F.col("_n")
+    # the first places of a ring come once more after its last one
+    ring = ranked.join(texts, "_key", "left").withColumn("_e", F.explode(
+        F.when(F.col("_r") < F.least(F.lit(window), n), F.array("_r", F.col("_r") + n)).otherwise(F.array("_r"))))
+    ring = ring.withColumn("_b", F.explode(F.array_distinct(F.array(block(e), block(e - window))))).where("_b >= 0")
+    w = Window.partitionBy("_label", "_b").orderBy("_e").rowsBetween(1, window)
+    ring = ring.withColumn("_p", F.collect_list(F.struct("_e", "_t")).over(w))
+    ring = ring.where((e < n) & (F.col("_b") == block(e)) & (F.col("_c") == 1))
+    mates = F.filter("_p", lambda x: (x["_e"] - e < n) & x["_t"].isNotNull())
+    out = ring.select("_key", F.col("_t")[0]["_text"].alias("_text"),
+                      F.flatten(F.transform(mates, lambda x: F.transform(x["_t"], lambda t: t["_text"]))).alias("_p"), "_label")
+
+    offs = ranked.join(again, "_key", "left_semi").where(n > 1).select(
+        "_key", "_label", F.explode(F.sequence(F.lit(1), F.least(F.lit(window), n - 1))).alias("_k"), "_r", "_n")
+    offs = offs.withColumn("_tr", F.pmod(F.col("_r") + F.col("_k"), n))
+    places = ranked.select("_label", F.col("_r").alias("_tr"), F.col("_key").alias("_mk"))
+    mate_texts = base.select(F.col("_key").alias("_mk"), F.col("_text").alias("_mate"))
+    shared = offs.join(places, ["_label", "_tr"]).join(mate_texts, "_mk").groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("_k", "_mate"))).alias("_s"))
+    no_ring = F.col("_key").isNull() | F.col("_label").isNull()
+    rest = base.where(no_ring).unionByName(base.where(~no_ring).join(again, "_key", "left_semi"))
+    rest = rest.join(shared, "_key", "left").select(
+        "_key", "_text", F.coalesce(F.col("_s._mate"), F.array().cast("array<string>")).alias("_p"), "_label")
+    return out.unionByName(rest).select(F.col("_key").alias(key), F.col("_text").alias("query"), F.col("_p").alias("positive"),
+                                        F.col("_label").alias("cluster"))
