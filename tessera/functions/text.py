@@ -23,6 +23,11 @@ def word_pieces(col) -> Column:
     return F.split(F.lower(_c(col)), NON_WORD, -1)
 
 
+def spaced_pieces(col) -> Column:
+    """The pieces of ``word_pieces`` as one string, a blank between two."""
+    return F.regexp_replace(F.lower(_c(col)), NON_WORD, " ")
+
+
 def n_word_pieces(col) -> Column:
     return F.size(word_pieces(col))
 

@@ -5,7 +5,7 @@ Scale notes
 - Exact copies are collapsed first (grouped by an md5 of the column, a
   partial aggregation): only one signature per distinct text is computed and
   a hot duplicate group never sits in one task.
-- The signature is computed per row over Arrow batches (numpy, no per-row
+- Grams are hashed and signed per row over Arrow batches (numpy, no per-row
   Python loop over permutations), which leave the worker a few MB at a time; a
   JVM higher-order-function path exists for small ``num_perm``.
 - Buckets are found by a grouped ``min``/``count`` (partial aggregation), not
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,10 +177,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- signatures
+CELLS = 1 << 15      # cells (hashes x permutations) at a time: they stay in a core's cache
 FEW = 32             # rows of fewer hashes are computed in full
-TILE = 1 << 17       # cells (permutations x hashes) at a time: they stay in a core's cache
+TILE = 1 << 17       # cells (permutations x hashes) at a time
 SIDE = 1 << 12       # hashes of several rows side by side
 PIECE = 1 << 10      # a longer row is cut
+HASHED = 1 << 16     # grams of a text at a time
+TEXT_BYTES = 2 << 20 # texts are hashed by so many bytes at a time
 OUT_BYTES = 8 << 20  # signatures leave a Python worker in batches of so many bytes
 
 
@@ -198,29 +202,52 @@ def _signature_block(hashes: list[np.ndarray], a: np.ndarray, b: np.ndarray, bit
     return out
 
 
+class ScaledSigner:
+    """Signatures of hashes of up to 32 bits in 64-bit words: 2^64 / prime times
+    as large, (a*h + b) mod prime is A*h + B modulo 2^64, as whole numbers wrap
+    round.  A and B are rounded down and B then raised by 2^bits, so a word is
+    too large by more than 0 and at most 2^bits < 2^64 / prime: words are in the
+    order of the values, and the smallest divided by the scale is the minimum."""
+
+    def __init__(self, num_perm: int, seed: int, bits: int):
+        self.prime, self.most = HASH_WIDTHS[bits]
+        a, b = permutations(num_perm, seed, bits)
+        self.a = np.array([(int(x) << 64) // self.prime for x in a], dtype=np.uint64)
+        self.b = np.array([((int(x) << 64) // self.prime) + (1 << bits) for x in b], dtype=np.uint64)
+
+    def sign(self, rows: list[np.ndarray]) -> np.ndarray:
+        """One signature per array of hashes."""
+        least = np.full((len(rows), len(self.a)), np.iinfo(np.uint64).max, dtype=np.uint64)
+        step = max(1, CELLS // len(self.a))
+        cells = np.empty((step, len(self.a)), dtype=np.uint64)
+        for out, h in zip(least, rows):
+            for s in range(0, h.size, step):
+                x = cells[:len(h[s:s + step])]
+                np.multiply(h[s:s + step, None], self.a, out=x)
+                x += self.b
+                np.minimum(out, x.min(axis=0), out=out)
+        prime, low, w = np.uint64(self.prime), np.uint64(0xFFFFFFFF), np.uint64(32)
+        values = ((least >> w) * prime + (((least & low) * prime) >> w)) >> w  # least * prime / 2^64
+        values[[h.size == 0 for h in rows]] = self.most
+        return values
+
+
 class Signer:
-    """Signatures by way of 32-bit words.  Scaled values, 2^32 / prime times as
-    large (at 64 bits: the low 32 bits themselves), come from one matrix product
-    of whole numbers below 2^53: 2^52 is added, so the low word of a double is
-    the sum modulo 2^32.  They are too large by at most ``error``.  The smallest
-    names the hash of the minimum if no other is within ``error`` and none can
-    have wrapped round (all are above ``error``); its value is then computed in
-    full.  The other permutations, about one in a hundred, are computed in full
-    for all hashes: the result is exact."""
+    """Signatures of 32 bits of values below 2^61 - 1 by way of 32-bit words.  The
+    low 32 bits come from one matrix product of whole numbers below 2^53: 2^52
+    is added, so the low word of a double is the sum modulo 2^32.  They are too
+    large by at most ``error``.  The smallest names the hash of the minimum if no
+    other is within ``error`` and none can have wrapped round (all are above
+    ``error``); its value is then computed in full.  The other permutations are
+    computed in full for all hashes: the result is exact."""
 
     def __init__(self, num_perm: int, seed: int, bits: int):
         self.a, self.b = permutations(num_perm, seed, bits)
-        self.bits, prime = bits, HASH_WIDTHS[bits][0]
-        cut = 16 if bits == 64 else -(-bits // 3)  # hashes are split into parts of so many bits
-        self.shifts = range(0, min(bits, 32), cut)
-        self.error = 4 if bits == 64 else len(self.shifts) << cut
+        self.bits, self.shifts, self.error = bits, range(0, 32, 16), 4  # hashes are split into parts of 16 bits
         a, b = [int(x) for x in self.a], [int(x) for x in self.b]
         word = lambda values: np.array([x % (1 << 32) for x in values], dtype=np.float64)
-        if bits == 64:  # 2^61 counts as 1: what a*h has above it, a*h / 2^61, is added to the low bits
-            columns = [*(word(x << k for x in a) for k in self.shifts), word(x + 3 for x in b) + 2.0 ** 52, np.array([x / 2 ** 61 for x in a])]
-        else:
-            scaled = lambda values, k: word((x << (32 + k)) // prime for x in values)
-            columns = [*(scaled(a, k) for k in self.shifts), scaled(b, 0) + (2.0 ** 52 + self.error)]
+        # 2^61 counts as 1: what a*h has above it, a*h / 2^61, is added to the low bits
+        columns = [*(word(x << k for x in a) for k in self.shifts), word(x + 3 for x in b) + 2.0 ** 52, np.array([x / 2 ** 61 for x in a])]
         self.factors = np.stack([*columns, np.ones(num_perm)], axis=1)
 
     def sign(self, rows: list[np.ndarray]) -> np.ndarray:
@@ -243,8 +270,7 @@ class Signer:
         again = np.zeros(h.shape, dtype=bool)
         again[:, 1:] = h[:, 1:] == h[:, :-1]
         mask = np.uint64((1 << self.shifts.step) - 1)
-        x = np.stack([*((h >> np.uint64(k)) & mask for k in self.shifts), np.ones_like(h), *([h] if self.bits == 64 else []),
-                      np.zeros_like(h)]).astype(np.float64)
+        x = np.stack([*((h >> np.uint64(k)) & mask for k in self.shifts), np.ones_like(h), h, np.zeros_like(h)]).astype(np.float64)
         x[:, again] = 0
         x[-1, again] = 2.0 ** 52 + 0xFFFFFFFF  # a repeated hash is never the smallest
         x = x.reshape(len(x), -1)
@@ -264,8 +290,10 @@ class Signer:
             first[s:s + step] = best.reshape(-1, d)
         out = _affine(self.a[:, None], h[np.arange(d), first], self.b[:, None], self.bits)
         i, j = np.nonzero(unsure)
-        if i.size:
-            out[i, j] = _affine(self.a[i, None], h[j], self.b[i, None], self.bits).min(axis=1)
+        step = max(1, TILE // h.shape[1])
+        for s in range(0, i.size, step):
+            p, q = i[s:s + step], j[s:s + step]
+            out[p, q] = _affine(self.a[p, None], h[q], self.b[p, None], self.bits).min(axis=1)
         return out.T
 
 
@@ -282,7 +310,7 @@ def _signed(num_perm: int, seed: int, bits: int):
     step = max(1, OUT_BYTES // (8 * num_perm))
 
     def run(batches):
-        signer = Signer(num_perm, seed, bits)
+        signer = (Signer if bits == 64 else ScaledSigner)(num_perm, seed, bits)
         for b in batches:
             for s in range(0, b.num_rows, step):
                 some = b.slice(s, step)
@@ -293,6 +321,50 @@ def _signed(num_perm: int, seed: int, bits: int):
     return run
 
 
+def _text_hashes(text: bytes, ngram: int, func: str, bits: int) -> np.ndarray:
+    """Hashes of the word n-grams (fewer words: one gram) of words parted by
+    single blanks: each gram is a part of the text as it stands."""
+    at = np.flatnonzero(np.frombuffer(text, dtype=np.uint8) == 32)
+    starts, ends = np.append(0, at + 1), np.append(at, len(text))
+    starts, ends = starts[:max(1, starts.size - ngram + 1)], ends[min(ngram, ends.size) - 1:]
+    parts = []
+    for s in range(0, starts.size, HASHED):
+        grams = [text[i:j] for i, j in zip(starts[s:s + HASHED].tolist(), ends[s:s + HASHED].tolist())]
+        if func == "xxh3":
+            import xxhash
+
+            parts.append(np.array([xxhash.xxh3_64_intdigest(g) for g in grams], dtype=np.uint64) & np.uint64((1 << min(bits, 32)) - 1))
+        else:
+            of = getattr(hashlib, func)
+            words = np.frombuffer(b"".join([of(g).digest() for g in grams]), dtype=">u4")
+            parts.append(words[::len(words) // len(grams)].astype(np.uint64) >> np.uint64(32 - min(bits, 32)))
+    return np.unique(np.concatenate(parts))
+
+
+def _hashed(cfg: MinHashConfig):
+    """Batches whose last column holds texts, words parted by single blanks -> of
+    the rows with enough words the same with hashes there, a few MB at a time."""
+    def run(batches):
+        for b in batches:
+            texts = b.column(b.num_columns - 1)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // TEXT_BYTES)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                kept, lists = [], []
+                for i, x in enumerate(texts.slice(s, e - s)):
+                    text = x.as_py()
+                    if cfg.min_length > 0 and (text is None or text.count(" ") + 1 < cfg.min_length):
+                        continue
+                    kept.append(i)
+                    lists.append(_text_hashes(text.encode(), cfg.ngram, cfg.hash_func, cfg.hash_bits) if text is not None else np.zeros(0, np.uint64))
+                if kept:
+                    some = b.slice(s, e - s).take(pa.array(kept, pa.int64()))
+                    at = pa.array(np.cumsum([0] + [x.size for x in lists]), pa.int32())
+                    flat = pa.array(np.concatenate(lists).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.ListArray.from_arrays(at, flat)], b.schema.names)
+    return run
+
+
 def signature_expr(hashes: Column, num_perm: int, seed: int = 42) -> Column:
     """JVM-only signature (higher-order functions) of 28-bit hashes; for small ``num_perm``."""
     a, b = permutations(num_perm, seed)
@@ -306,18 +378,23 @@ def signature_expr(hashes: Column, num_perm: int, seed: int = 42) -> Column:
 
 def minhash_signature(df: DataFrame, id_col: str, text_col: str, cfg: MinHashConfig,
                       method: str = "auto", keep=()) -> DataFrame:
-    """``(id, *keep, signature array<bigint>)`` for rows passing the piece-count filter."""
-    d = spread(df.select(F.col(id_col).alias("id"), *keep, tx.word_pieces(text_col).alias("w")))
-    if cfg.min_length > 0:
-        d = d.where(F.size("w") >= cfg.min_length)
-    hs = shingle_hashes("w", cfg.ngram, cfg.min_length, cfg.hash_func, cfg.hash_bits)
+    """``(id, *keep, signature array<bigint>)`` for rows passing the piece-count filter.
+
+    The pieces are found in the JVM and reach a worker as one string, parted by
+    blanks; there each gram is a part of it, so no grams are built or shipped."""
+    d = df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("signature"))
     if method == "expr":
         if cfg.hash_bits != 28:
             raise ValueError("expressions hold 28-bit hashes only")
+        d = spread(d.select("id", *keep, tx.word_pieces("signature").alias("w")))
+        if cfg.min_length > 0:
+            d = d.where(F.size("w") >= cfg.min_length)
+        hs = shingle_hashes("w", cfg.ngram, cfg.min_length, cfg.hash_func, cfg.hash_bits)
         return d.select("id", *keep, signature_expr(hs, cfg.num_perm, cfg.seed).alias("signature"))
-    d = d.select("id", *keep, hs.alias("signature"))
+    d = spread(d).withColumn("signature", tx.spaced_pieces("signature"))
     schema = T.StructType([*d.schema.fields[:-1], T.StructField("signature", T.ArrayType(T.LongType()))])
-    return d.mapInArrow(_signed(cfg.num_perm, cfg.seed, cfg.hash_bits), schema)
+    hashed, signed = _hashed(cfg), _signed(cfg.num_perm, cfg.seed, cfg.hash_bits)
+    return d.mapInArrow(lambda batches: signed(hashed(batches)), schema)
 
 
 # ---------------------------------------------------------------- LSH

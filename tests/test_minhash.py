@@ -105,3 +105,42 @@ def test_signatures_of_many_sizes_leave_in_bounded_batches(cfg, monkeypatch):
     assert len(got) == len(rows)
     for i in range(53):
         assert got[i].values.to_numpy().tolist() == want[i].tolist(), i
+
+
+@pytest.mark.parametrize("cfg", CONFIGS, ids=lambda c: f"{c.hash_func}-{c.hash_bits}")
+def test_texts_are_hashed_a_few_at_a_time(cfg, monkeypatch):
+    """However many rows a batch has, and however long a text is; null, empty
+    and short texts; blanks at both ends are empty pieces."""
+    monkeypatch.setattr(D, "TEXT_BYTES", 1 << 12)
+    monkeypatch.setattr(D, "HASHED", 50)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"wört{j}" for j in rng.integers(0, 90, n)) for n in rng.integers(1, 60, 300)]
+    texts += [None, "", "a b c", "    ", " a b c ", "a  b c d", " ".join(f"w{j}" for j in range(3000)), texts[0]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "signature"])
+    out = list(D._hashed(cfg)([batch.slice(3), batch.slice(0, 3)]))
+    most = max(len(x.encode()) for x in texts[:300])
+    assert len(out) > 10
+    assert all(sum(len((texts[i] or "").encode()) for i in x.column("id").to_pylist()) <= max(D.TEXT_BYTES + most, 20_000) for x in out)
+    got = {i: v for x in out for i, v in zip(x.column("id").to_pylist(), x.column("signature").to_pylist())}
+    want = {}
+    for i, t in enumerate(texts):
+        words = t.split(" ") if t is not None else []
+        if len(words) >= cfg.min_length:
+            grams = {" ".join(words[k:k + cfg.ngram]) for k in range(len(words) - cfg.ngram + 1)}
+            want[i] = sorted({plain_hash(g, cfg.hash_func, cfg.hash_bits) for g in grams})
+    assert got == want
+
+
+@pytest.mark.parametrize("bits", [16, 28, 32])
+def test_scaled_words_keep_the_order_of_the_values(bits):
+    """The ends of the range, where rounding is closest to the scale."""
+    prime, most = D.HASH_WIDTHS[bits]
+    signer = D.ScaledSigner(2, 1, bits)
+    h = [0, 1, (1 << bits) - 1, (1 << bits) - 2, 1 << (bits - 1), *range(2, 40)]
+    for a, b in [(1, 0), (1, prime - 1), (prime - 1, 0), (prime - 1, prime - 1), (prime // 2, 1), (prime - 2, prime // 2)]:
+        signer.a[:] = (a << 64) // prime
+        signer.b[:] = ((b << 64) // prime) + (1 << bits)
+        for x in h:
+            assert signer.sign([np.array([x], dtype=np.uint64)])[0, 0] == (a * x + b) % prime
+        assert signer.sign([np.array(h, dtype=np.uint64)])[0, 0] == min((a * x + b) % prime for x in h)
+    assert signer.sign([np.zeros(0, np.uint64)])[0, 0] == most
