@@ -499,35 +499,89 @@ def _gram_rows(ngram: int, threshold: float | None = None, ranked=None):
     return run
 
 
-def _gram_table(rows: DataFrame, cfg: MinHashConfig, threshold: float | None = None, ranked=None) -> DataFrame:
-    words = rows.select("id", F.transform(tx.word_pieces("text"), lambda w: F.xxhash64(w)).alias("w"))
-    kind = rows.schema["id"].dataType.simpleString()
+def _word_hashes(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.transform(tx.word_pieces("text"), lambda w: F.xxhash64(w)).alias("w"))
+
+
+def _gram_table(words: DataFrame, cfg: MinHashConfig, threshold: float | None = None, ranked=None) -> DataFrame:
+    kind = words.schema["id"].dataType.simpleString()
     return words.mapInArrow(_gram_rows(cfg.ngram, threshold, ranked), f"id {kind}, n int, grams array<long>")
 
 
-def _ranked_grams(rows: DataFrame, cfg: MinHashConfig):
+def _ranked_grams(words: DataFrame, cfg: MinHashConfig):
     """``(hashes, ranks)`` of the commonest grams of a sample of texts, for a
     global order; any order gives the same pairs."""
     share = 1 << 20
-    part = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(share)) < int(share * min(1.0, SAMPLE / max(rows.count(), 1)))
-    seen = _gram_table(rows.where(part), cfg).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    part = F.pmod(F.xxhash64("id", F.lit(cfg.seed)), F.lit(share)) < int(share * min(1.0, SAMPLE / max(words.count(), 1)))
+    seen = _gram_table(words.where(part), cfg).select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     top = seen.where("c > 1").orderBy(F.desc("c"), "g").limit(RANKED).toPandas()
     hashes = top["g"].to_numpy(dtype=np.int64)
     by = np.argsort(hashes)
     return hashes[by], (len(hashes) - np.arange(len(hashes), dtype=np.int64))[by]
 
 
-def _similar(pairs: DataFrame, rows: DataFrame, cfg: MinHashConfig, threshold: float) -> DataFrame:
+def _parities(ngram: int):
+    """Of ``(id, word hashes)`` the ``(id, n, bits)``: the parity of the number of
+    grams per place, in as many places (a power of two, 64 or more) as grams."""
+    def run(batches):
+        for b in batches:
+            sizes, lists = [], []
+            for w in b.column(1):
+                g = _grams(w.values.to_numpy(), ngram).view(np.uint64)
+                places = 1 << max(6, int(g.size - 1).bit_length())
+                odd = np.bincount((g & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+                sizes.append(g.size)
+                lists.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+            offsets = np.cumsum([0] + [x.size for x in lists]).astype(np.int32)
+            flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                ["id", "n", "bits"])
+    return run
+
+
+def _at_least_apart() -> Column:
+    """So many grams at least are in one only of two texts: each changes one
+    parity.  The longer bits are folded onto the shorter; two texts of very
+    unlike length are not compared (0)."""
+    def differing(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    def folded(a, size):
+        return F.zip_with(F.slice(a, 1, size), F.slice(a, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+    a, b = F.col("a"), F.col("b")
+    i, j = F.size(a), F.size(b)
+    return (F.when(i == j, differing(a, b)).when(i == 2 * j, differing(folded(a, j), b))
+            .when(j == 2 * i, differing(a, folded(b, i))).otherwise(0))
+
+
+def _not_far(pairs: DataFrame, words: DataFrame, cfg: MinHashConfig, threshold: float) -> DataFrame:
+    """The pairs less those that parities of their grams show to be less
+    similar than ``threshold``: a few bytes a pair in place of all grams."""
+    kind = words.schema["id"].dataType.simpleString()
+    p = words.mapInArrow(_parities(cfg.ngram), f"id {kind}, n int, bits array<long>")
+    j = (pairs.join(p.select(F.col("id").alias("src"), F.col("n").alias("na"), F.col("bits").alias("a")), "src")
+         .join(p.select(F.col("id").alias("dst"), F.col("n").alias("nb"), F.col("bits").alias("b")), "dst"))
+    most = (1 - threshold) / (1 + threshold) * (F.col("na") + F.col("nb"))
+    alike = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    return j.where(alike & (_at_least_apart() <= most + 1e-9)).select("src", "dst")
+
+
+def _similar(pairs: DataFrame, words: DataFrame, cfg: MinHashConfig, threshold: float) -> DataFrame:
     """The ``(src, dst)`` whose texts have a Jaccard similarity of at least
     ``threshold`` over their distinct grams."""
-    used = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    g = _gram_table(rows.join(used, "id", "left_semi"), cfg)
-    j = (pairs.join(g.select(F.col("id").alias("src"), F.col("grams").alias("a")), "src")
+    near = stored(_not_far(pairs, _used(pairs, words), cfg, threshold), "near")
+    g = _gram_table(_used(near, words), cfg)
+    j = (near.join(g.select(F.col("id").alias("src"), F.col("grams").alias("a")), "src")
          .join(g.select(F.col("id").alias("dst"), F.col("grams").alias("b")), "dst"))
     common = F.size(F.array_intersect("a", "b"))
     return j.where(common >= threshold * (F.size("a") + F.size("b") - common)).select("src", "dst")
 
 
+def _used(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    return words.join(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     path = scratch_path(df.sparkSession, tag)
     df.write.parquet(path)
@@ -543,16 +597,19 @@ def similar_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float
     Texts that similar share a gram of their prefixes, the rarest grams, so an
     equality join on those finds every pair.  First each bucket's members meet
     its smallest id only; then those pairs of a bucket that are still in
-    different components meet, so a bucket of near-copies is not squared.
+    different components meet, so a bucket of near-copies is not squared.  Pairs
+    meet by parities of their grams first; only those that these cannot tell
+    apart get the grams.
     """
     d = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     d = d.where(tx.n_word_pieces("text") >= max(cfg.min_length, 1)).withColumn("_th", F.md5(F.col("text")))
     reps = d.groupBy("_th").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     copies = stored(d.select("id", "_th").join(reps, "_th").where("id <> rep"), "copies")
     rows = spread(d.join(copies, ["_th", "id"], "left_anti").select("id", "text"))
+    words = stored(_word_hashes(rows), "words")  # read about ten times
 
-    ranked = df.sparkSession.sparkContext.broadcast(_ranked_grams(rows, cfg))
-    keys = _gram_table(rows, cfg, threshold, ranked).select("id", "n", F.posexplode("grams").alias("at", "key"))
+    ranked = df.sparkSession.sparkContext.broadcast(_ranked_grams(words, cfg))
+    keys = _gram_table(words, cfg, threshold, ranked).select("id", "n", F.posexplode("grams").alias("at", "key"))
     roots = (keys.groupBy("key").agg(F.min(F.struct("id", "n", "at")).alias("root"), F.count(F.lit(1)).alias("c"))
              .where("c > 1").drop("c"))
     shared = stored(keys.join(roots, "key"), "prefixes")
@@ -565,7 +622,7 @@ def similar_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float
     c = F.col
     stars = (shared.where((c("id") != c("root.id")) & may(c("n"), c("at"), c("root.n"), c("root.at")))
              .select(c("id").alias("src"), c("root.id").alias("dst")).distinct())
-    links = stored(_similar(stored(stars, "stars"), rows, cfg, threshold), "links")
+    links = stored(_similar(stored(stars, "stars"), words, cfg, threshold), "links")
 
     comp = connected_components(links, "src", "dst").select(c("node").alias("id"), "component")
     placed = shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -576,7 +633,7 @@ def similar_clusters(df: DataFrame, id_col: str, text_col: str, threshold: float
     rest = (a.join(b, c("a.key") == c("b.key"))
             .where((c("a.id") > c("b.id")) & (c("a.component") != c("b.component")) & may(c("a.n"), c("a.at"), c("b.n"), c("b.at")))
             .select(c("a.id").alias("src"), c("b.id").alias("dst")).distinct())
-    more = _similar(stored(rest, "rest"), rows, cfg, threshold)
+    more = _similar(stored(rest, "rest"), words, cfg, threshold)
 
     edges = links.unionByName(more).unionByName(copies.select(c("id").alias("src"), c("rep").alias("dst")))
     comp = connected_components(edges, "src", "dst")

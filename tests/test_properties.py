@@ -213,3 +213,20 @@ def test_verified_clusters_lose_no_link(spark):
     got = {r.doc_id: r.cluster for r in E.queries()["near_dup_clusters_verified"](spark, SF_SMALL).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     assert got == _all_pairs_clusters(texts, 0.8)
+
+
+def test_only_pairs_that_may_be_similar_get_their_grams(spark):
+    """Texts that share a passage do not reach the comparison of all grams; pairs
+    at the threshold do, also where one has twice as many parities."""
+    texts = {k: " ".join([f"p{i}" for i in range(90)] + [f"u{k}_{i}" for i in range(90)]) for k in range(12)}
+    texts |= {100 + k: " ".join(f"c{i}" for i in range(60 + k)) for k in range(16)}  # 56 to 71 grams, a border at 64
+    texts |= {200 + k: " ".join(f"d{i}" for i in range(k * 60, k * 60 + 544)) for k in range(3)}  # 540 grams, 480 in common: 0.8
+    grams = {i: {" ".join(t.split(" ")[k:k + 5]) for k in range(len(t.split(" ")) - 4)} for i, t in texts.items()}
+    pairs = [(a, b) for a in texts for b in texts if a > b]
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    df, words = spark.createDataFrame(pairs, "src long, dst long"), D._word_hashes(rows)
+    near = {tuple(r) for r in D._not_far(df, words, D.REFERENCE_CALLER, 0.8).collect()}
+    similar = {(a, b) for a, b in pairs if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    assert (201, 200) in similar and (115, 100) not in similar and (112, 100) in similar and similar <= near
+    assert not [(a, b) for a, b in near if a < 12] and len(near) <= len(similar) + 60
+    assert {tuple(r) for r in D._similar(df, words, D.REFERENCE_CALLER, 0.8).collect()} == similar
