@@ -99,7 +99,8 @@ def links(fps: DataFrame, max_bits: int = 2, crowd: int = 64) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("n"), F.min("on").alias("lo"), F.max("on").alias("hi"))
              .where((F.col("n") > 1) & (F.col("first") | (F.col("lo") < F.col("hi"))))
              .select("bit", "part", "n"))
-    met = index.join(sizes, ["bit", "part"]).checkpoint()
+    # Spark sizes an exploded table as if it had its rows before; by hint neither side is ever broadcast
+    met = index.join(sizes.hint("merge"), ["bit", "part"]).checkpoint()
     few = met.where(F.col("n") <= crowd)
     other = few.select("bit", "part", F.col("fp").alias("fp2"), F.col("on").alias("on2"))
     pairs = (few.join(other, ["bit", "part"])

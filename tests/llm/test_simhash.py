@@ -99,3 +99,26 @@ def test_links_keep_every_component(spark):
             for a, b in edges:
                 parent[max(find(a), find(b))] = min(find(a), find(b))
             assert {f: find(f) for f in fps} == want
+
+
+def test_exploded_variants_are_not_broadcast(spark, monkeypatch):
+    """64 variants of each fingerprint are sized as one row by Spark: under the
+    threshold as it sees them, far above it in fact."""
+    rnd = random.Random(5)
+    fps = spark.createDataFrame([(rnd.getrandbits(63),) for _ in range(2000)], "fp long")
+    plans, kind = [], type(fps)
+    checkpoint = kind.checkpoint
+
+    def noted(self, *a, **b):
+        out = checkpoint(self, *a, **b)
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(kind, "checkpoint", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 18))
+    try:
+        simhash.links(fps).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
