@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import knn as K
 
@@ -152,3 +153,53 @@ def test_few_true_cells_are_found():
     for share in (0.0, 0.01, 0.5, 1.0):
         mask = rng.random((7, 40)) < share
         assert [a.tolist() for a in K._true(mask)] == [a.tolist() for a in np.nonzero(mask)]
+
+
+@pytest.mark.parametrize("buckets", [None, 5])
+def test_enough_of_other_labels_end_a_list(spark, buckets):
+    """Few rows leave the search; the negatives are those of the whole lists."""
+    rng = np.random.default_rng(12)
+    x = np.array(clustered(2500, 6, 25, 4, spread=1.0))
+    labels = [None if i % 50 == 0 else int(v) for i, v in enumerate(rng.integers(0, 3, len(x)))]
+    rows = [(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, labels))]
+    corpus = spark.createDataFrame([(i, v, c) for i, v, c in rows], "cid long, cvec array<double>, cluster long")
+    asked = rows[:150] + rows[30:40]  # ten ids twice
+    queries = spark.createDataFrame(asked, "qid long, qvec array<double>, cluster long")
+    labelled = queries.where("cluster is not null")
+    sent = K.knn_topk(labelled, corpus, 800, buckets=buckets, query_blocks=buckets and 3, enough=("cluster", "cluster", 20))
+    per = {r.qid: r.n for r in sent.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert max(n for i, n in per.items() if not 30 <= i < 40) < 400 and min(per.values()) >= 20
+    got = {}
+    for k in (800, 25):  # of 25, fewer than 20 are of another label
+        for r in K.hard_negatives(queries, corpus, k, 5, 15, exclusion="same_cluster", q_cluster="cluster", c_cluster="cluster",
+                                  buckets=buckets, query_blocks=buckets and 3).orderBy("qid", "rank").collect():
+            got.setdefault((k, r.qid), []).append((r.rank, r.cid))
+        for i in range(150):
+            if 30 <= i < 40:
+                continue
+            best = np.lexsort((np.arange(len(x)), ((x - x[i]) ** 2).sum(axis=1)))[:k]
+            left = [int(j) for j in best if None not in (labels[i], labels[j]) and labels[i] != labels[j]][5:20]
+            assert got.get((k, i), []) == [(6 + n, j) for n, j in enumerate(left)]
+
+
+def test_rows_of_the_corpus_travel_once_per_block_of_queries(spark):
+    """Blocks are cut by the bytes of the queries, not by those of their results."""
+    rows = list(enumerate(clustered(2400, 4, 10, 2)))
+    q, c = frames(spark, rows, rows[:1200])
+    seen = []
+    kind, plain = type(q), type(q).mapInArrow
+
+    def noted(self, func, schema, *a, **b):
+        if func.__qualname__.startswith("_block_topk"):
+            seen.append(self)
+        return plain(self, func, schema, *a, **b)
+
+    kind.mapInArrow = noted
+    try:
+        top = K.knn_topk(q, c, 1000, buckets=4, block_bytes=1200 * 32)
+    finally:
+        kind.mapInArrow = plain
+    assert top.count() == 1200 * 1000
+    assert len(seen) == 2
+    for sent in seen:
+        assert sent.where("grp >= 0").count() <= len(rows) * 2 * spark.sparkContext.defaultParallelism
