@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -597,11 +598,116 @@ def hard_negatives(queries: DataFrame, corpus: DataFrame, k: int = 128, skip: in
     return rank_slice(top, skip, take, "qid", [o]).drop("_r0")
 
 
+#: Entries of the lists of a block of queries, and bits of the filter of the ids that are asked for.
+LISTED, FILTER = 1 << 23, 1 << 23
+
+
+def _packed(wanted):
+    """``(cid, text)`` of the ids that the filter lets pass, texts compressed."""
+    def run(batches):
+        import pandas as pd
+
+        codec, bits = pa.Codec("zstd"), wanted.value
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            at = np.flatnonzero(bits[pd.util.hash_array(ids).astype(np.uint64) % np.uint64(FILTER)])
+            for s in range(0, len(at), 1024):
+                some = at[s:s + 1024]
+                texts = [None if t is None else t.encode() for t in b.column(1).take(pa.array(some)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array([None if t is None else len(t) for t in texts], pa.int64()),
+                                                  pa.array([None if t is None else codec.compress(t, asbytes=True) for t in texts], pa.binary())],
+                                                 ["cid", "size", "packed"])
+
+    return run
+
+
+def _asked_bits(lists: DataFrame) -> np.ndarray:
+    """A filter of bounded size: which hashes of ids are in any list."""
+    def run(batches):
+        import pandas as pd
+
+        seen = np.zeros(FILTER, dtype=bool)
+        for b in batches:
+            seen[pd.util.hash_array(b.column(0).flatten().to_numpy()).astype(np.uint64) % np.uint64(FILTER)] = True
+        at = np.flatnonzero(seen).astype(np.int32)
+        for s in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[s:s + (1 << 16)])], ["bit"])
+
+    bits = np.zeros(FILTER, dtype=bool)
+    bits[lists.select("cids").mapInArrow(run, "bit int").distinct().toArrow()["bit"].to_numpy()] = True  # FILTER numbers at most
+    return bits
+
+
+def _lists_of_texts(batches):
+    """A block's texts, stored in a file of the task, and its lists of ids ->
+    ``(qid, negative)``, some MB at a time."""
+    import mmap
+    import tempfile
+
+    asked, places, end = [], {}, 1
+    with tempfile.TemporaryFile() as store:
+        store.write(b"\0")  # an empty file cannot be mapped
+        for b in batches:
+            listed = b.column(3).is_valid()
+            asked.append(b.filter(listed).select(["qid", "ranks", "cids"]))
+            texts = b.filter(pc.invert(listed))
+            for cid, size, packed in zip(*(texts.column(i).to_pylist() for i in (4, 5, 6))):
+                held = 0 if packed is None else len(packed)
+                places.setdefault(cid, []).append((end, end + held, size))
+                store.write(packed or b"")
+                end += held
+        store.flush()
+        with mmap.mmap(store.fileno(), 0, access=mmap.ACCESS_READ) as texts:
+            yield from _filled(asked, places, texts)
+
+
+def _filled(asked: list[pa.RecordBatch], places: dict, texts) -> Iterator[pa.RecordBatch]:
+    codec, ids, flat, ends, held = pa.Codec("zstd"), [], [], [0], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.string()))], ["qid", "negative"])
+
+    for b in asked:
+        for i in range(b.num_rows):
+            ranks, cids = (b.column(c)[i].values.to_numpy() for c in (1, 2))
+            found = [(r, c, at) for r, c in zip(ranks.tolist(), cids.tolist()) for at in places.get(c, ())]
+            row = [None if size is None else codec.decompress(texts[a:z], size, asbytes=True) for _, _, (a, z, size) in found]
+            if any(x[0] == y[0] for x, y in zip(found, found[1:])):  # of a rank by text, nulls first
+                by = sorted(range(len(row)), key=lambda j: (found[j][0], row[j] is not None, row[j] or b""))
+                row = [row[j] for j in by]
+            if row:
+                ids.append(b.column(0)[i].as_py())
+                flat += row
+                ends.append(len(flat))
+                held += sum(len(t or b"") for t in row)
+            if held > 4 << 20:
+                yield batch()
+                ids, flat, ends, held = [], [], [0], 0
+    if ids:
+        yield batch()
+
+
 def attach_negative_texts(neg: DataFrame, corpus_text: DataFrame, c_id: str = "cid",
                           text: str = "text") -> DataFrame:
     """``(qid, negative array<string>)`` in rank order, stripped; texts joined
-    by id after the top-k."""
-    t = corpus_text.select(F.col(c_id).cast("bigint").alias("cid"), strip(text).alias("_t"))
-    j = neg.join(t, "cid")
-    return j.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "_t"))).alias("_n")).select(
-        "qid", F.col("_n._t").alias("negative"))
+    by id after the top-k.
+
+    A text goes once, compressed, to each block of queries that asks for it, not
+    once to each query; a block's task keeps them in a file of its own and reads
+    the lists off it."""
+    spark = neg.sparkSession
+    lists = neg.where("cid is not null").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("cid").cast("bigint").alias("cid")))).alias("_n"))
+    path = scratch_path(spark, "lists")
+    lists.select("qid", F.col("_n.rank").alias("ranks"), F.col("_n.cid").alias("cids")).write.parquet(path)
+    lists = spark.read.parquet(path)
+    n_rows, entries = lists.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("cids")), F.lit(0))).first()
+    n = max(1, -(-entries // LISTED), min(n_rows, spark.sparkContext.defaultParallelism))
+    lists = lists.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int"))
+    wanted = spark.sparkContext.broadcast(_asked_bits(lists))
+    t = corpus_text.select(F.col(c_id).cast("bigint").alias("cid"), strip(text).alias("_t")).where("cid is not null")
+    t = t.mapInArrow(_packed(wanted), "cid long, size long, packed binary")
+    sent = lists.select("block", F.explode("cids").alias("cid")).distinct().join(t, "cid")
+    none = lambda kind: F.lit(None).cast(kind)
+    ask = lists.select("block", "qid", "ranks", "cids", none("bigint").alias("cid"), none("bigint").alias("size"), none("binary").alias("packed"))
+    sent = sent.select("block", none("bigint").alias("qid"), none("array<bigint>").alias("ranks"), none("array<bigint>").alias("cids"), "cid", "size", "packed")
+    return ask.unionByName(sent).repartitionById(n, "block").mapInArrow(_lists_of_texts, "qid long, negative array<string>")

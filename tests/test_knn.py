@@ -203,3 +203,17 @@ def test_rows_of_the_corpus_travel_once_per_block_of_queries(spark):
     assert len(seen) == 2
     for sent in seen:
         assert sent.where("grp >= 0").count() <= len(rows) * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_negative_texts_go_once_to_a_block(spark, monkeypatch):
+    """As joined and sorted: null, empty, padded and missing texts, an id with two, ids without a list."""
+    monkeypatch.setattr(K, "LISTED", 50)
+    texts = [(i, None if i % 7 == 0 else f" \n text é {i} " * (i % 5)) for i in range(60)] + [(3, " other\t"), (3, None), (None, "x")]
+    neg = [(q, r, (q * 7 + r * 3) % 64) for q in range(40) for r in range(31, 31 + q % 9)] + [(100, 31, 900), (None, 31, 5), (5, 99, None)]
+    n = spark.createDataFrame(neg, "qid long, rank int, cid long")
+    t = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.qid: r.negative for r in K.attach_negative_texts(n, t, "doc_id", "text").collect()}
+    want = {}
+    for q, r, c in neg:
+        want.setdefault(q, []).extend((r, t is not None, t and t.strip() or "", t) for i, t in texts if i is not None and i == c)
+    assert got == {q: [None if t is None else t.strip() for _, _, _, t in sorted(x, key=lambda y: y[:3])] for q, x in want.items() if x}
