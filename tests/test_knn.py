@@ -203,6 +203,15 @@ def test_rows_of_the_corpus_travel_once_per_block_of_queries(spark):
     assert len(seen) == 2
     for sent in seen:
         assert sent.where("grp >= 0").count() <= len(rows) * 2 * spark.sparkContext.defaultParallelism
+    few = frames(spark, rows, rows[:50])[0]  # one block: its groups go to several tasks, each once
+    seen.clear()
+    kind.mapInArrow = noted
+    try:
+        top = K.knn_topk(few, c, 5, buckets=4)
+    finally:
+        kind.mapInArrow = plain
+    assert top.count() == 50 * 5
+    assert seen[1].where("grp >= 0").count() <= len(rows) and seen[1].select("task").distinct().count() >= 4
 
 
 def test_negative_texts_go_once_to_a_block(spark, monkeypatch):
